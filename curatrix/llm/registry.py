@@ -6,11 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from curatrix.llm.mixing import op4_pfair_mix
+from curatrix.llm.pieces import op5_sentencepiece
+from curatrix.llm.quality_rules import op7_quality_rules
+from curatrix.llm.secrets import op2_secret_ledger
 from curatrix.llm.simhash import op8_simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_secret_ledger": op2_secret_ledger,
+        "op4_pfair_mix": op4_pfair_mix,
+        "op5_sentencepiece": op5_sentencepiece,
+        "op7_quality_rules": op7_quality_rules,
         "op8_simhash": op8_simhash,
     }
 
