@@ -3,3 +3,9 @@
 Nothing else in the library imports this subpackage; ``queries`` in
 ``registry`` lists what it adds to the entry module.
 """
+
+import os
+
+# small matrices only: numeric libraries must not take more cores than a task has
+for _name in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS", "MKL_NUM_THREADS"):
+    os.environ.setdefault(_name, "1")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 from collections.abc import Iterable, Iterator
 
@@ -56,9 +55,3 @@ def slices(batches: Iterable[pa.RecordBatch], max_bytes: int = 4_000_000, column
         step = max(1, max_bytes // per_row)
         for at in range(0, batch.num_rows, step):
             yield batch.slice(at, step)
-
-
-def one_thread() -> None:
-    """Numeric libraries must not take more cores than the task has."""
-    for name in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS", "MKL_NUM_THREADS"):
-        os.environ.setdefault(name, "1")
