@@ -8,7 +8,7 @@ between the hands. All arithmetic is in doubles.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 POINTS, AXES, SLOT = 21, ("x", "y", "z"), 63
@@ -51,7 +51,8 @@ def hand_problem(points: Column) -> Column:
 
 def normalize(points: Column) -> Column:
     """O-86: flat array of the points from the wrist in palm units; null where there is a problem."""
-    flat = F.flatten(F.transform(points, lambda p: F.array(*((p[a] - points[0][a]) / palm(points) for a in AXES))))
+    base = F.array(F.struct(points[0].alias("w"), palm(points).alias("s")))  # evaluated once, then bound as a lambda's variable
+    flat = F.flatten(F.flatten(F.transform(base, lambda k: F.transform(points, lambda p: F.array(*((p[a] - k["w"][a]) / k["s"] for a in AXES))))))
     return F.when(hand_problem(points).isNull(), flat)
 
 
@@ -91,34 +92,48 @@ def _zeros(n: int) -> Column:
     return F.array_repeat(F.lit(0.0), n)
 
 
-def vector(ordered: Column, expected: Column) -> Column:
-    """The 132 numbers of the chosen hands in their order."""
-    first, second = F.get(ordered, F.lit(0))["points"], F.get(ordered, F.lit(1))["points"]
-    two = F.size(ordered) >= 2
+def vector(first: Column, second: Column, expected: Column) -> Column:
+    """The 132 numbers of one or two hands; ``second`` may be null. Give it columns rather than long expressions."""
+    two = second.isNotNull()
     between = F.when((expected == 2) & two, interhand(first, second)).otherwise(_zeros(4))
     return F.concat(normalize(first), F.when(two, normalize(second)).otherwise(_zeros(SLOT)), F.array(F.lit(1.0), two.cast("double")), between)
 
 
-def build_feature(hands: Column, expected: Column) -> Column:
-    """O-87, O-142: struct (features, usable, reason, detected_hands, handedness, scores)."""
-    n = F.size(hands)
-    ordered = F.when(expected == 2, top_hands(hands)).otherwise(largest_hand(hands))
-    problem = F.array_max(F.transform(ordered, lambda h: hand_problem(h["points"])))
-    features = vector(ordered, expected)
-    broken = ~F.coalesce(F.forall(features, _finite), F.lit(False))
-    slots = lambda f: F.transform(F.sequence(F.lit(0), F.lit(1)), lambda i: F.coalesce(f(F.get(ordered, i)), F.lit(0.0)))
-
-    def result(x: Column, usable: bool, reason: Column, empty: bool) -> Column:
-        hand, score = (_zeros(2), _zeros(2)) if empty else (slots(lambda h: F.when(h.isNotNull(), handedness_value(h["handedness"]))), slots(lambda h: h["score"]))
-        return F.struct(x.alias("features"), F.lit(usable).alias("usable"), reason.alias("reason"), n.alias("detected_hands"), hand.alias("handedness"), score.alias("scores"))
-
-    none, good = _zeros(SIZE), F.when(expected == 0, "hard_negative").when((expected == 2) & (n < 2), "partial_hands").otherwise("ok")
-    return (
-        F.when(n == 0, result(none, False, F.when(expected == 0, "no_hands_expected").otherwise("no_hands_detected"), True))
-        .when(problem.isNotNull(), result(none, False, F.concat(F.lit("invalid_geometry:"), problem), True))
-        .when(broken, result(none, False, F.lit("invalid_feature_vector"), False))
-        .otherwise(result(features, True, good, False))
+def add_features(df: DataFrame, hands: str = "hands", expected: str = "expected", out: str = "feature") -> DataFrame:
+    """O-87, O-142: adds a struct (features, usable, reason, detected_hands, handedness, scores).
+
+    Built in steps, each a column of its own, so that no step is evaluated again
+    for every use of it.
+    """
+    n, want = F.size(hands), F.col(expected)
+    steps = df.withColumn("_ordered", F.when(want == 2, top_hands(F.col(hands))).otherwise(largest_hand(F.col(hands))))
+    first, second = F.get("_ordered", F.lit(0))["points"], F.get("_ordered", F.lit(1))["points"]
+    steps = steps.withColumn("_first", first).withColumn("_second", second)
+    problem = F.coalesce(hand_problem(F.col("_first")), F.when(F.col("_second").isNotNull(), hand_problem(F.col("_second"))))
+    steps = steps.withColumn("_problem", F.when(F.col("_first").isNotNull(), problem))
+    steps = steps.withColumn("_features", F.when(F.col("_problem").isNull() & F.col("_first").isNotNull(), vector(F.col("_first"), F.col("_second"), want)))
+    finite = F.coalesce(F.forall("_features", _finite), F.lit(False))
+    reason = (
+        F.when(n == 0, F.when(want == 0, "no_hands_expected").otherwise("no_hands_detected"))
+        .when(F.col("_problem").isNotNull(), F.concat(F.lit("invalid_geometry:"), F.col("_problem")))
+        .when(~finite, "invalid_feature_vector")
+        .when(want == 0, "hard_negative")
+        .when((want == 2) & (n < 2), "partial_hands")
+        .otherwise("ok")
     )
+    steps = steps.withColumn("_reason", reason)
+    usable = F.col("_reason").isin("hard_negative", "partial_hands", "ok")
+    told = usable | (F.col("_reason") == "invalid_feature_vector")
+    slots = lambda f: F.transform(F.sequence(F.lit(0), F.lit(1)), lambda i: F.when(told, F.coalesce(f(F.get("_ordered", i)), F.lit(0.0))).otherwise(0.0))
+    struct = F.struct(
+        F.when(usable, F.col("_features")).otherwise(_zeros(SIZE)).alias("features"),
+        usable.alias("usable"),
+        F.col("_reason").alias("reason"),
+        n.alias("detected_hands"),
+        slots(lambda h: F.when(h.isNotNull(), handedness_value(h["handedness"]))).alias("handedness"),
+        slots(lambda h: h["score"]).alias("scores"),
+    )
+    return steps.withColumn(out, struct).drop("_ordered", "_first", "_second", "_problem", "_features", "_reason")
 
 
 def mirror(features: Column) -> Column:
@@ -140,10 +155,14 @@ def to_pixels(points: Column, width: Column, height: Column) -> Column:
     return F.when((width > 0) & (height > 0), scaled)
 
 
-def hypotheses(hands: Column) -> Column:
-    """O-95..O-97: up to two (feature_hands, features) structs to explode: the largest hand alone, then both hands by x."""
-    ordered = F.transform(F.array_sort(F.transform(hands, lambda h, i: F.struct(h["points"][0]["x"].alias("x"), i.alias("i"), h.alias("h")))), lambda r: r["h"])
-    entry = lambda n, x: F.struct(F.lit(n).alias("feature_hands"), x.alias("features"))
-    one = F.when(F.size(hands) >= 1, entry(1, vector(largest_hand(hands), F.lit(1))))
-    two = F.when(F.size(hands) >= 2, entry(2, vector(F.slice(ordered, 1, 2), F.lit(2))))
-    return F.array_compact(F.array(one, two))
+def hypotheses(df: DataFrame, hands: str = "hands") -> DataFrame:
+    """O-95..O-97: rows (.., feature_hands, features): the largest hand alone, then both hands by wrist x; none without hands."""
+    by_x = F.transform(F.array_sort(F.transform(hands, lambda h, i: F.struct(h["points"][0]["x"].alias("x"), i.alias("i"), h.alias("h")))), lambda r: r["h"])
+    entry = lambda n, a, b: F.struct(F.lit(n).alias("n"), a["points"].alias("a"), b.alias("b"))
+    rows = df.withColumn("_x", by_x).withColumn("_one", F.get(largest_hand(F.col(hands)), F.lit(0)))
+    nothing = F.lit(None).cast(rows.schema["_one"].dataType["points"].dataType)
+    one = F.when(F.size(hands) >= 1, entry(1, F.col("_one"), nothing))
+    two = F.when(F.size(hands) >= 2, entry(2, F.get("_x", F.lit(0)), F.get("_x", F.lit(1))["points"]))
+    rows = rows.withColumn("_h", F.explode(F.array_compact(F.array(one, two))))
+    rows = rows.withColumn("_a", F.col("_h.a")).withColumn("_b", F.col("_h.b")).withColumn("feature_hands", F.col("_h.n"))
+    return rows.withColumn("features", vector(F.col("_a"), F.col("_b"), F.col("feature_hands"))).drop("_x", "_one", "_h", "_a", "_b")

@@ -31,13 +31,13 @@ def recovery(df: DataFrame, baseline: Column, strategy: Column, expected: Column
     rows = df.select(baseline.alias("b"), strategy.alias("s"), expected.alias("e")).where("s is not null")
     counts = rows.agg(
         F.count("*").alias("evaluated"),
-        F.count_if("s >= e").alias("requirement_met"),
-        F.count_if("b < e").alias("baseline_failures"),
-        F.count_if("b < e and s >= e").alias("recovered"),
-        F.count_if("b >= e").alias("baseline_passes"),
-        F.count_if("b >= e and s < e").alias("regressed"),
-        F.count_if("e = 0").alias("zero_hand_samples"),
-        F.count_if("e = 0 and s > 0").alias("zero_hand_false_detections"),
+        F.count_if(F.expr("s >= e")).alias("requirement_met"),
+        F.count_if(F.expr("b < e")).alias("baseline_failures"),
+        F.count_if(F.expr("b < e and s >= e")).alias("recovered"),
+        F.count_if(F.expr("b >= e")).alias("baseline_passes"),
+        F.count_if(F.expr("b >= e and s < e")).alias("regressed"),
+        F.count_if(F.expr("e = 0")).alias("zero_hand_samples"),
+        F.count_if(F.expr("e = 0 and s > 0")).alias("zero_hand_false_detections"),
     )
     rate = lambda a, b: share(F.col(a), F.col(b))
     return counts.select("*", F.coalesce(rate("recovered", "baseline_failures"), F.lit(0.0)).alias("recovery_rate"), F.coalesce(rate("regressed", "baseline_passes"), F.lit(0.0)).alias("regression_rate"), rate("zero_hand_false_detections", "zero_hand_samples").alias("zero_hand_false_detection_rate"))

@@ -37,7 +37,7 @@ def mirror_difference(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """O-44: one row: distinct keys missing on either side, and the rows they have on the left."""
     sides = left.select(key, F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(right.select(key, F.lit(0).alias("l"), F.lit(1).alias("r")))
     counts = sides.groupBy(key).agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
-    return counts.agg(F.count_if("l > 0 and r = 0").alias("missing_right"), F.count_if("l = 0 and r > 0").alias("missing_left"), F.coalesce(F.sum(F.when(F.expr("r = 0"), F.col("l"))), F.lit(0)).alias("left_rows"))
+    return counts.agg(F.count_if(F.expr("l > 0 and r = 0")).alias("missing_right"), F.count_if(F.expr("l = 0 and r > 0")).alias("missing_left"), F.coalesce(F.sum(F.when(F.expr("r = 0"), F.col("l"))), F.lit(0)).alias("left_rows"))
 
 
 def cross_collection(df: DataFrame, digest: str, collection: str, path: str) -> DataFrame:
@@ -55,7 +55,7 @@ def duplicate_summary(df: DataFrame, digest: str, label: str) -> DataFrame:
     """O-56: one row over groups of equal digest with two rows or more."""
     groups = df.groupBy(digest).agg(F.count("*").alias("n"), F.count_distinct(label).alias("labels")).where("n > 1")
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
-    return groups.agg(F.count("*").alias("group_count"), total("n").alias("files_in_groups"), total(F.col("n") - 1).alias("redundant_files"), F.count_if("labels > 1").alias("cross_label_groups"))
+    return groups.agg(F.count("*").alias("group_count"), total("n").alias("files_in_groups"), total(F.col("n") - 1).alias("redundant_files"), F.count_if(F.expr("labels > 1")).alias("cross_label_groups"))
 
 
 def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
