@@ -49,10 +49,12 @@ def mlp_score(df: DataFrame, vector: str, model: dict, out: str = "probabilities
         net = shared.value
         for part in parts:
             good = part.map(lambda v: v is not None and len(v) == width)
-            result = pd.Series([None] * len(part), index=part.index, dtype=object)
+            rows: list = [None] * len(part)
             if good.any():
-                result[good] = list(forward(net, np.stack(part[good].tolist()).astype(np.float64)))
-            yield result
+                found = forward(net, np.stack(part[good].tolist()).astype(np.float64))
+                for at, p in zip(np.flatnonzero(good.to_numpy()), found, strict=True):
+                    rows[at] = p
+            yield pd.Series(rows, index=part.index, dtype=object)
 
     return df.withColumn(out, run(F.col(vector)))
 

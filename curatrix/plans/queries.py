@@ -621,10 +621,10 @@ def crop_box(spark, d):
     return _boxes(spark, d).select("l_orderkey", "l_linenumber", crop.alias("c")).select("l_orderkey", "l_linenumber", *(F.get("c", F.lit(k)).alias(n) for k, n in enumerate("ltro")))
 
 
-@query("SELECT p_partkey, greatest(1, round_even(greatest(p_size * 10, p_partkey % 500) * 0.25::DOUBLE, 0)::INT) AS border, CAST((p_partkey - 1) % 7 AS BIGINT) AS col, CAST((p_partkey - 1) // 7 AS BIGINT) AS row, CAST(least(greatest(p_size - 5, 0), 39) AS INTEGER) AS source FROM part")
+@query("SELECT p_partkey, greatest(1, round_even(greatest(p_size * 10, p_partkey % 500) * 0.25::DOUBLE, 0)::INT) AS border, CAST(p_partkey % 7 AS BIGINT) AS col, CAST(p_partkey // 7 AS BIGINT) AS row, CAST(least(greatest(p_size - 5, 0), 39) AS INTEGER) AS source FROM part")
 def pad_border(spark, d):
     """O-14, O-99, O-136."""
-    place = geometry.grid_place(F.col("p_partkey") - 1)
+    place = geometry.grid_place(F.col("p_partkey"))
     rows = _t(spark, d, "part").select("p_partkey", geometry.border(F.col("p_size") * 10, F.col("p_partkey") % 500, 0.25).alias("border"), place.alias("at"), geometry.clamp_index(F.col("p_size"), 5, F.lit(40)).alias("source"))
     return rows.select("p_partkey", "border", F.col("at.column").alias("col"), F.col("at.row").cast("long").alias("row"), "source")
 
@@ -672,8 +672,8 @@ def _model() -> dict:
 
 
 _NET = """x AS (SELECT vec_id, unnest(embedding)::DOUBLE v, unnest(range(len(embedding))) i FROM embeddings),
-    h AS (SELECT vec_id, j, greatest(0, sum((v - 0.01 * sin(i)) / (1 + i / 64.0::DOUBLE) * sin(i * 8 + j)) + 0.1 * cos(j)) h FROM x, range(8) r(j) GROUP BY ALL),
-    o AS (SELECT vec_id, k, sum(h * cos(j * 3 + k)) + 0.01 * k o FROM h, range(3) r(k) GROUP BY ALL),
+    h AS (SELECT vec_id, j, greatest(0, sum((v - 0.01 * sin(i)) / (1 + i / 64.0::DOUBLE) * sin(i * 8 + j)) + 0.1 * cos(j)) h FROM x, range(8) r(j) GROUP BY vec_id, j),
+    o AS (SELECT vec_id, k, sum(h * cos(j * 3 + k)) + 0.01 * k o FROM h, range(3) r(k) GROUP BY vec_id, k),
     p AS (SELECT vec_id, k, exp(o - max(o) OVER (PARTITION BY vec_id)) / sum(exp(o)) OVER (PARTITION BY vec_id) * exp(max(o) OVER (PARTITION BY vec_id)) p FROM o)"""
 
 
