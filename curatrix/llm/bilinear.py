@@ -97,8 +97,8 @@ class Vocabulary:
 def vocabulary(counts: DataFrame, head: int = HEAD) -> Vocabulary:
     """Collects the ``head`` most frequent tokens and one row for each class, nothing else."""
     totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    top = counts.orderBy(F.desc("n"), "token").limit(head).toPandas()
-    tokens, number = [bytes(t) for t in top["token"]], top["n"].to_numpy(dtype=np.int64)
+    top = counts.orderBy(F.desc("n"), "token").limit(head).toArrow()
+    tokens, number = top["token"].to_pylist(), top["n"].to_numpy().astype(np.int64)
     index = {t: k for k, t in enumerate(tokens)}
     own = [t for t in tokens[:WORD_CLASSES] if t != END][: WORD_CLASSES - 1]
     named = {END: 0} | {t: k + 1 for k, t in enumerate(own)}
@@ -209,8 +209,8 @@ def score(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: s
     counts = durable(token_counts(texts))
     words = vocabulary(counts, head)
     shared = spark.sparkContext.broadcast(words)
-    triples = class_triples(texts, shared).toPandas().sort_values("cell")
-    model = fit_bilinear(triples["cell"].to_numpy(dtype=np.int64), triples["n"].to_numpy(dtype=np.float64))
+    triples = class_triples(texts, shared).toArrow().sort_by("cell")
+    model = fit_bilinear(triples["cell"].to_numpy().astype(np.int64), triples["n"].to_numpy().astype(np.float64))
     table_shared = spark.sparkContext.broadcast(model)
     smooth = float(np.log10(words.total + 0.1 * (words.distinct + 1)))
 
