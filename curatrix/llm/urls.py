@@ -9,7 +9,8 @@ naive Bayes adds up the words' log odds.
 The unigrams are counted over the host and path parts of all urls of the table
 (those between punctuation, so ``cheap-pills`` teaches two words that
 ``cheappills`` is split into) beside the words of the seeds; the ``max_words``
-most frequent are kept, which bounds what every task is sent. An unknown word of
+most frequent are kept, which bounds what every task is sent, and a run that is a
+chain of other words is none itself. An unknown word of
 n letters costs as much as ``UNKNOWN`` smoothed sightings divided by 10 for each
 letter, so names without known parts stay whole.
 """
@@ -127,6 +128,29 @@ def unigrams(pages: DataFrame, url_col: str = "url", max_words: int = 50_000) ->
     return {r["w"]: r["count"] for r in rows.collect()}
 
 
+def dictionary(counts: dict[str, int], seeds: set[str], least: int = 3) -> dict[str, int]:
+    """The words that hosts are split into: seeds and runs, without runs that are chains of others.
+
+    A name written as one run would else be a word of its own. The longest run
+    goes first; what it was seen as counts for its parts, of ``least`` letters or
+    more. The dictionary is as small as ``counts``, which is bounded.
+    """
+    words = Counter(counts)
+    words.update(seeds)
+    for run in sorted(set(counts) - seeds, key=lambda w: (-len(w), w)):
+        back: dict[int, int] = {0: 0}
+        for end in range(least, len(run) + 1):
+            starts = [at for at in range(max(0, end - LONGEST), end - least + 1) if at in back and end - at < len(run) and run[at:end] in words]
+            if starts:
+                back[end] = starts[0]
+        if len(run) in back and len(run) > least:
+            n, end = words.pop(run), len(run)
+            while end:
+                words[run[back[end] : end]] += n
+                end = back[end]
+    return dict(words)
+
+
 def seed_examples(seeds: dict[str, str] | None = None) -> list[tuple[str, list[str]]]:
     return [(kind, words.split() + NEUTRAL.split()) for kind, words in (seeds or SEEDS).items()]
 
@@ -168,6 +192,5 @@ def op3_url_words(spark, sf_dir: str) -> DataFrame:
     """Contract columns: page_id, host, path, rule, verdict; the words and log odds beside them."""
     pages = table(spark, sf_dir, "pages")
     examples = seed_examples()
-    counts = Counter(unigrams(pages))
-    counts.update(w for _, words in examples for w in words)
-    return judge(pages, Segmenter(dict(counts)), fit_bayes(examples))
+    words = dictionary(unigrams(pages), {w for _, words in examples for w in words})
+    return judge(pages, Segmenter(words), fit_bayes(examples))
