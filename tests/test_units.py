@@ -29,7 +29,7 @@ def features(spark, rows):
 
 
 def test_features_of_hands(spark):
-    one, moved, left = (hand(), "Right", 0.9), (hand(4, -2, 3.5), "Right", 0.9), (hand(0.2), "Left", 0.8)
+    one, moved, left = (hand(), "Right", 0.9), (hand(4.0, -2.0, 3.5), "Right", 0.9), (hand(0.2), "Left", 0.8)
     far = (hand(0.8), "Right", 0.9)
     bad = ([(0.0, 0.0, 0.0)] * 21, "Right", 1.0)
     nan = ([(float("nan"), 0.0, 0.0), *hand()[1:]], "Right", 1.0)
@@ -191,7 +191,7 @@ def test_files(spark, tmp_path):
     png += zlib.crc32(png[12:]).to_bytes(4, "big")
     (tmp_path / "in/x/a.PNG").write_bytes(png)
     (tmp_path / "in/x/b.jpg").write_bytes(b"junk")
-    (tmp_path / "in/readme").write_bytes(b"")
+    (tmp_path / "in/readme").write_bytes(b"x")
     found = files.scan(spark, str(tmp_path / "in"), content=True)
     assert {r["extension"] for r in found.collect()} == {".png", ".jpg", "[none]"}
     seen = {r["path"].rsplit("/", 1)[1]: r for r in files.inspect_images(found.where("is_image")).collect()}
@@ -236,8 +236,8 @@ def test_model_contract_and_training(spark):
     rng = np.random.default_rng(0)
     y = rng.integers(0, 2, 300)
     x = rng.normal(size=(300, 4)) + y[:, None] * 2
-    model, scores = training.train(x, y, np.ones(300), x[:100], y[:100], ["A", "UNKNOWN"], (8,), epochs=20, patience=3)
-    again, _ = training.train(x, y, np.ones(300), x[:100], y[:100], ["A", "UNKNOWN"], (8,), epochs=20, patience=3)
+    model, scores = training.train(x, y, np.ones(300), x[:100], y[:100], ["A", "UNKNOWN"], (8,), epochs=60, patience=20, rate=0.02)
+    again, _ = training.train(x, y, np.ones(300), x[:100], y[:100], ["A", "UNKNOWN"], (8,), epochs=60, patience=20, rate=0.02)
     assert json.dumps(model) == json.dumps(again) and max(scores) > 0.9
     full = model | {"schemaVersion": 1, "mode": "m", "featureVersion": "v", "featureCount": 4, "confidenceThreshold": 0.5, "expectedHands": {"A": 1, "UNKNOWN": 0}}
     ask = dict(mode="m", feature_version="v", feature_count=4)
@@ -262,7 +262,7 @@ def test_violations_raise(spark):
 
 
 def test_stream_resumes(spark, tmp_path):
-    rows = spark.createDataFrame([(1, k * 1000, k) for k in range(6)], "user_id long, ms long, event_id long").withColumn("ts", F.timestamp_millis("ms"))
+    rows = spark.createDataFrame([(1, 10_000_000 + k * 1000, k) for k in range(6)], "user_id long, ms long, event_id long").withColumn("ts", F.timestamp_millis("ms"))
     at = lambda name: str(tmp_path / name)
 
     def run():
