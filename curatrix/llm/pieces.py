@@ -175,9 +175,11 @@ class Codec:
     def _learn(self, chunks: list[str]) -> dict[str, bytes]:
         out = {}
         for chunk, found, right in zip(chunks, self.twin.encode_batch(chunks, add_special_tokens=False), self._reference(chunks), strict=True):
-            if found.ids != right:
+            ids = found.ids
+            if ids != right:
                 self.differs.add(chunk)
-            out[chunk] = np.array(right, dtype="<i4").tobytes()
+                ids = right
+            out[chunk] = np.array(ids, dtype="<i4").tobytes()
         return out
 
     def encode(self, texts: list[str]) -> tuple[list[bytes], list[int]]:
@@ -185,7 +187,8 @@ class Codec:
         if not self.splits:
             ids = [e.ids for e in self.twin.encode_batch([self.normalise(t) for t in texts], add_special_tokens=False)]
             right = self.own.encode(texts, num_threads=1)
-            return [np.array(r, dtype="<i4").tobytes() for r in right], [int(a != b) for a, b in zip(ids, right, strict=True)]
+            wrong = [int(a != b) for a, b in zip(ids, right, strict=True)]
+            return [np.array(b if w else a, dtype="<i4").tobytes() for a, b, w in zip(ids, right, wrong, strict=True)], wrong
         chains = [self.chunk.findall(self.normalise(t)) for t in texts]
         new = list({c for chain in chains for c in chain if c not in self.memory})
         if len(self.memory) + len(new) > CACHE:
