@@ -36,6 +36,14 @@ def durable(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
+def fresh(frame: DataFrame, name: str) -> str:
+    """A column name that ``frame`` does not have yet, whatever the case of its names."""
+    taken = {c.lower() for c in frame.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def text_bytes(name: str = "text") -> Column:
     """A text column as UTF-8 bytes; null is the empty text."""
     return F.coalesce(F.col(name).cast("binary"), F.lit(b""))

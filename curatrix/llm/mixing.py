@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from curatrix.llm.common import durable, table
+from curatrix.llm.common import durable, fresh, table
 
 PERIOD = 4096
 
@@ -174,9 +174,10 @@ def in_mixed_order(docs: DataFrame, id_col: str = "doc_id", **params) -> DataFra
     Ids have to tell rows apart or the rows that share one be equal: such rows
     take that id's first place together.
     """
-    order = durable(mix(docs, id_col=id_col, **params).groupBy("doc_id").agg(F.min(F.struct("slot", "place")).alias("_at")))
-    placed = docs.join(order.withColumnRenamed("doc_id", "_mixed"), F.col(id_col).eqNullSafe(F.col("_mixed")))
-    return placed.orderBy("_at.slot", "_at.place").select(docs.columns)
+    mixed, at = fresh(docs, "_mixed"), fresh(docs, "_at")
+    order = durable(mix(docs, id_col=id_col, **params).groupBy("doc_id").agg(F.min(F.struct("slot", "place")).alias(at)))
+    placed = docs.join(order.withColumnRenamed("doc_id", mixed), F.col(id_col).eqNullSafe(F.col(mixed)))
+    return placed.orderBy(f"{at}.slot", f"{at}.place").select(docs.columns)
 
 
 def op4_pfair_mix(spark, sf_dir: str) -> DataFrame:

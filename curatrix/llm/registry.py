@@ -12,7 +12,7 @@ from curatrix.llm.mixing import op4_pfair_mix
 from curatrix.llm.nbsvm import op6_nbsvm_quality
 from curatrix.llm.pieces import op5_sentencepiece
 from curatrix.llm.quality_rules import op7_quality_rules
-from curatrix.llm.secrets import op2_secret_ledger
+from curatrix.llm.secrets import ORACLE_SQL, op2_secret_ledger
 from curatrix.llm.simhash import op8_simhash
 from curatrix.llm.toxicity import op1_nnpu_toxicity
 from curatrix.llm.urls import op3_url_words
@@ -34,4 +34,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The ledger's rows only: fitted models, components, tokenization and the schedule are not expressible."""
+    return {"op2_secret_ledger": ORACLE_SQL}

@@ -4,7 +4,9 @@ Every text is addressed by its SHA-256. The ledger holds (blob, rule_version)
 pairs that were scanned, with their findings; only pairs that it lacks are
 scanned, once for each blob, and findings are joined back to all rows (paths)
 that hold the blob. Base kinds come first, in the contract's order; ``ADDED``
-are the further kinds of this rule version.
+are the further kinds of this rule version; their open beginnings (a url's scheme, a
+token's header) have a greatest length, so a long run of one alphabet costs no
+more than a multiple of its length.
 
 Spans count code points, end exclusive. A kind's matches are leftmost and do not
 overlap; those that fail its length test are dropped after matching.
@@ -15,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curatrix.llm.common import durable, table
+from curatrix.llm.common import durable, fresh, table
 
 #: Kinds in order, their patterns, the group whose length counts, and its least length.
 BASE = (
@@ -25,11 +27,11 @@ BASE = (
 )
 ADDED = (
     ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
-    ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 1),
-    ("userinfo", r"[a-z][a-z0-9+.-]*://[^\s/:@]+:[^\s/:@]+@", 0, 1),
+    ("jwt", r"eyJ[A-Za-z0-9_-]{8,1000}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 1),
+    ("userinfo", r"[a-z][a-z0-9+.-]{0,30}://[^\x20\x09-\x0D/:@]+:[^\x20\x09-\x0D/:@]+@", 0, 1),
 )
 KINDS = BASE + ADDED
-RULE_VERSION = "2026-1"
+RULE_VERSION = "2026-2"
 
 #: What any text with a span has in it; the rest is not moved or matched further.
 HINT = r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}|-----BEGIN |eyJ[A-Za-z0-9_-]{8}|://[^\s/:@]+:[^\s/:@]+@"
@@ -114,16 +116,41 @@ def redact(text: Column, spans: Column, mask: str = "[redacted]") -> Column:
 def redact_rows(docs: DataFrame, ledger: DataFrame, text_col: str = "text", rule_version: str = RULE_VERSION) -> DataFrame:
     """``docs`` with the secrets of ``text_col`` masked; all columns and rows stay.
 
-    Only rows whose text has a hint meet the ledger's findings, by blob.
+    Only rows whose text has a hint meet the ledger's findings, by blob. A null
+    text stays null; columns may have any other names.
     """
-    held = ledger.where((F.col("rule_version") == rule_version) & F.col("spans").isNotNull()).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
+    blob, spans = fresh(docs, "_blob"), fresh(docs, "_spans")
+    held = ledger.where((F.col("rule_version") == rule_version) & F.col("spans").isNotNull()).select(F.col("blob").alias(blob), F.col("spans").alias(spans))
     text = F.col(text_col)
     hint = F.coalesce(text.rlike(HINT), F.lit(False))
-    marked = docs.where(hint).withColumn("_blob", F.sha2(text.cast("binary"), 256)).join(held, "_blob", "left")
-    masked = marked.withColumn(text_col, F.when(F.col("_spans").isNull(), text).otherwise(redact(text, F.col("_spans"))))
+    marked = docs.where(hint).withColumn(blob, F.sha2(text.cast("binary"), 256)).join(held, blob, "left")
+    masked = marked.withColumn(text_col, F.when(F.col(spans).isNull(), text).otherwise(redact(text, F.col(spans))))
     return docs.where(~hint).unionByName(masked.select(docs.columns))
 
 
+def _kind_sql(rank: int, kind: str, pattern: str, group: int, least: int) -> str:
+    """Gaps, matches and the measured group of one kind, a row for each match and one for the last gap."""
+    p = "'" + pattern.replace("'", "''") + "'"
+    hits = f"regexp_extract_all(t, {p}, 0)"
+    return f"SELECT rid, {rank} AS rank, '{kind}' AS kind, {least} AS least, unnest(range(len({hits}))) AS i, unnest(string_split_regex(t, {p})) AS gap, unnest({hits}) AS hit, unnest(regexp_extract_all(t, {p}, {group})) AS sized FROM d"
+
+
+#: The same rows in DuckDB's SQL: matches lie end to end with the gaps between them.
+ORACLE_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({" UNION ALL ".join(_kind_sql(k, *kind) for k, kind in enumerate(KINDS))}),
+p AS (SELECT rid, rank, kind, least, sized, length(hit) AS size, CAST(sum(length(gap) + length(hit)) OVER (PARTITION BY rid, rank ORDER BY i) AS BIGINT) AS stop FROM m WHERE hit IS NOT NULL),
+s AS (SELECT rid, rank, stop - size AS start, kind || ':' || (stop - size) || ':' || stop AS span FROM p WHERE length(sized) >= least),
+g AS (
+  SELECT rid, {", ".join(f"count(*) FILTER (rank = {k}) AS n_{kind[0]}" for k, kind in enumerate(BASE))},
+    string_agg(span, ',' ORDER BY start, rank) FILTER (rank < {len(BASE)}) AS base, string_agg(span, ',' ORDER BY start, rank) AS spans
+  FROM s GROUP BY rid
+)
+SELECT doc_id, {", ".join(f"coalesce(n_{kind[0]}, 0) AS n_{kind[0]}" for kind in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g USING (rid)
+"""
+
+
 def op2_secret_ledger(spark, sf_dir: str) -> DataFrame:
     """Contract columns: doc_id, n_assign, n_access, n_hex, base_sha256, spans."""
     docs = table(spark, sf_dir, "documents")

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curatrix.llm.common import durable, slices, text_bytes
+from curatrix.llm.common import durable, fresh, slices, text_bytes
 from curatrix.llm.graph import connected_components
 
 BITS = 64
@@ -228,7 +228,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     rows that repeat the kept id, one stays.
     """
     found = durable(near_duplicates(docs, id_col, text_col, **params))
-    name = "_near_id"
+    name = fresh(docs, "_near_id")
     gone = found.where("component_id != doc_id").select(F.col("doc_id").alias(name)).distinct()
     kept = docs.join(gone, F.col(id_col).cast("long") == F.col(name), "left_anti")
     twice = found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(name))

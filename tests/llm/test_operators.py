@@ -1,10 +1,12 @@
 """The training-data operators against brute force, and their edge cases."""
 
 import collections
+import functools
 import hashlib
 import itertools
 import math
 import re
+import time
 
 import numpy as np
 import pytest
@@ -16,6 +18,7 @@ from curatrix.llm.common import table
 
 FOLDER = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+CLASHING = ("_blob", "_spans", "_near_id", "_at", "_mixed", "blob", "spans", "slot", "component_id")
 WORD = re.compile("[^\x20\x09-\x0d]+")
 LONG = "the quick brown fox " * 5000
 EDGE = [(1, None, None, None, None), (2, "", "en", "a", 0), (3, "a b c", "en", "a", 5), (3, "a b c", "en", "a", 5), (None, "token = abcdef1 Aé \x0b x", None, None, 1), (5, LONG, "en", "a", len(LONG)), (6, "A B\tC", "en", "b", 5)]
@@ -160,6 +163,37 @@ def test_op2_digest(spark):
         assert got[r["doc_id"]]["base_sha256"] == hashlib.sha256(base_spans(r["text"]).encode()).hexdigest()
 
 
+def test_op2_sql_twin(spark, tmp_path):
+    """DuckDB finds the same rows, on the tables and on texts with code points past 16 bits, overlaps and edges."""
+    from oracle import compare, connect
+
+    assert compare(secrets.op2_secret_ledger(spark, FOLDER), connect(FOLDER), secrets.ORACLE_SQL) == ""
+    texts = ["token=abcdef", "\U0001f600 é Token='abcdefgh' AKIA" + "A" * 17, "xsecret: secret:secret=aaaaaa", "a+b://u:p@h api-key=zzzzzz api_key = zzzzzz\x0bhttps://\x0bu:p@x", "ab" * 12, "eyJ" + "a" * 9 + "." + "b" * 9 + "." + "c" * 9, "-----BEGIN RSA PRIVATE KEY-----", None, "", "ab" * 12, "x" * 40 + "://u:p@h"]
+    spark.createDataFrame([(k, t, None, None, 0) for k, t in enumerate(texts)] + EDGE, SCHEMA).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    (tmp_path / "one").mkdir()
+    next((tmp_path / "documents.parquet").glob("part-*")).rename(tmp_path / "one" / "documents.parquet")
+    assert compare(secrets.op2_secret_ledger(spark, str(tmp_path / "one")), connect(str(tmp_path / "one")), secrets.ORACLE_SQL) == ""
+
+
+def test_long_runs_are_scanned_in_linear_time(spark):
+    """Runs of one alphabet of 200,000 characters; a scan quadratic in them would take many minutes."""
+    runs = ["a" * 200_000, "acgt." * 40_000, "eyJ" * 60_000]
+    df = spark.createDataFrame([(k, f"{t} x://u:p@ token=abcdef", None, None, 0) for k, t in enumerate(runs)], SCHEMA)
+    began = time.monotonic()
+    found = secrets.findings(df, secrets.extend_ledger(df)).select(secrets.span_list(F.col("spans"))).collect()
+    assert all("userinfo:" in r[0] and "assign:" in r[0] for r in found) and time.monotonic() - began < 60
+
+
+def test_stages_with_clashing_columns(spark, docs):
+    """Names that the stages use themselves come through them untouched."""
+    wide = docs.withColumns({n: F.concat(F.lit(n), F.col("doc_id").cast("string")) for n in CLASHING})
+    ledger = secrets.extend_ledger(wide)
+    for out in (secrets.redact_rows(wide, ledger), simhash.keep_one(wide), mixing.in_mixed_order(wide)):
+        assert out.columns == wide.columns
+        same = [F.col(n) == F.concat(F.lit(n), F.col("doc_id").cast("string")) for n in CLASHING]
+        assert out.count() == out.where(functools.reduce(lambda a, b: a & b, same)).count() > 0
+
+
 def test_pfair_lag():
     blocks, weights = np.array([120, 30, 9, 1, 30]), np.array([5.0, 2.0, 1.0, 0.5, 2.0])
     phases = mixing.schedule(blocks, weights, 64)
