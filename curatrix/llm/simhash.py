@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curatrix.llm.common import durable, fresh, slices, text_bytes
-from curatrix.llm.graph import connected_components
+from curatrix.llm.graph import connected_components, meet
 
 BITS = 64
 #: Rows of complete trie nodes that one numpy traversal takes at a time.
@@ -215,9 +215,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prints = durable(fingerprints(docs, id_col, text_col, width))
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("low"))
     label = connected_components(links(nodes.select("fp"), budget, blocks))
-    nodes = nodes.join(label.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("label", "fp").alias("label"), "low")
-    low = nodes.groupBy("label").agg(F.min("low").alias("component_id"))
-    nodes = nodes.join(low, "label").select("fp", "component_id")
+    linked = label.withColumnRenamed("node", "fp").join(nodes, "fp").select("fp", "label", "low")
+    lowest = meet(linked.select("fp", "label"), linked.groupBy("label").agg(F.min("low").alias("lowest")), "label", "fp").select("fp", "lowest")
+    nodes = nodes.join(lowest, "fp", "left").select("fp", F.coalesce("lowest", "low").alias("component_id"))
     return prints.join(nodes, "fp").select("doc_id", "fp", "component_id")
 
 
