@@ -218,7 +218,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = label.withColumnRenamed("node", "fp").join(nodes, "fp").select("fp", "label", "low")
     lowest = meet(linked.select("fp", "label"), linked.groupBy("label").agg(F.min("low").alias("lowest")), "label", "fp").select("fp", "lowest")
     nodes = nodes.join(lowest, "fp", "left").select("fp", F.coalesce("lowest", "low").alias("component_id"))
-    return prints.join(nodes, "fp").select("doc_id", "fp", "component_id")
+    return meet(prints, nodes, "fp", "doc_id").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
