@@ -205,6 +205,17 @@ def links(distinct: DataFrame, budget: int = 4, blocks: int = 6) -> DataFrame:
     return placed.repartition("trie", "key").sortWithinPartitions("trie", "key").mapInArrow(run, "u long, v long")
 
 
+def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, budget: int = 4, blocks: int = 6) -> DataFrame:
+    """(doc_id, fp, component_id, label) for every row; label, a fingerprint, tells components without an id apart."""
+    prints = durable(fingerprints(docs, id_col, text_col, width))
+    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("low"))
+    label = connected_components(links(nodes.select("fp"), budget, blocks))
+    linked = label.withColumnRenamed("node", "fp").join(nodes, "fp").select("fp", "label", "low")
+    lowest = meet(linked.select("fp", "label"), linked.groupBy("label").agg(F.min("low").alias("lowest")), "label", "fp").select("fp", "label", "lowest")
+    nodes = nodes.join(lowest, "fp", "left").select("fp", F.coalesce("lowest", "low").alias("component_id"), F.coalesce("label", "fp").alias("label"))
+    return meet(prints, nodes, "fp", "doc_id").select("doc_id", "fp", "component_id", "label")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, budget: int = 4, blocks: int = 6) -> DataFrame:
     """(doc_id, fp, component_id) for every row; component_id is the smallest doc_id reachable.
 
@@ -212,30 +223,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     repeat an id keep a row each. A component of null ids alone has a null
     component_id. An empty table gives an empty result. Other columns are not read.
     """
-    prints = durable(fingerprints(docs, id_col, text_col, width))
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    label = connected_components(links(nodes.select("fp"), budget, blocks))
-    linked = label.withColumnRenamed("node", "fp").join(nodes, "fp").select("fp", "label", "low")
-    lowest = meet(linked.select("fp", "label"), linked.groupBy("label").agg(F.min("low").alias("lowest")), "label", "fp").select("fp", "lowest")
-    nodes = nodes.join(lowest, "fp", "left").select("fp", F.coalesce("lowest", "low").alias("component_id"))
-    return meet(prints, nodes, "fp", "doc_id").select("doc_id", "fp", "component_id")
+    return grouped(docs, id_col, text_col, width, budget, blocks).select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, **params) -> DataFrame:
     """``docs`` with one row of each component: that with the smallest id.
 
-    Rows with a null id stay unless a row with an id is in their component; of
-    rows that repeat the kept id, one stays.
+    Rows are told apart by id and fingerprint: those that share an id, or have
+    none, each count for their own component. A row with a null id stays where its
+    component has no id at all; of several such rows, or of rows of one component
+    that repeat its smallest id, one stays.
     """
-    found = durable(near_duplicates(docs, id_col, text_col, **params))
-    name = fresh(docs, "_near_id")
+    found = durable(grouped(docs, id_col, text_col, width, **params))
+    name, code, group = (fresh(docs, c) for c in ("_near_id", "_near_fp", "_near_label"))
+    own = F.col(id_col).cast("long")
+    twice = found.groupBy("doc_id").count().where("count > 1 or doc_id is null").select(F.col("doc_id").alias(name))
     gone = found.where("component_id != doc_id").select(F.col("doc_id").alias(name)).distinct()
-    kept = docs.join(gone, F.col(id_col).cast("long") == F.col(name), "left_anti")
-    twice = found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(name))
+    kept = docs.join(gone, own == F.col(name), "left_anti")
     if twice.isEmpty():
         return kept
-    again = kept.join(twice, F.col(id_col).cast("long").eqNullSafe(F.col(name)), "left_semi").dropDuplicates([id_col])
-    return kept.join(twice, F.col(id_col).cast("long").eqNullSafe(F.col(name)), "left_anti").unionByName(again)
+
+    @F.arrow_udf("long")
+    def code_of(text: pa.Array) -> pa.Array:
+        return pa.array(np.fromiter((fingerprint(t, width) for t in text.to_pylist()), dtype=np.uint64, count=len(text)).view(np.int64))
+
+    best = found.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias(name), F.col("fp").alias(f"{code}_"), F.col("label").alias(group)).distinct()
+    again = docs.join(twice, own.eqNullSafe(F.col(name)), "left_semi").withColumn(code, code_of(text_bytes(text_col))).dropDuplicates([id_col, code])
+    again = again.join(best, own.eqNullSafe(F.col(name)) & (F.col(code) == F.col(f"{code}_"))).dropDuplicates([group]).drop(name, code, f"{code}_", group)
+    return kept.join(twice, own.eqNullSafe(F.col(name)), "left_anti").unionByName(again)
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:

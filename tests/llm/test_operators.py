@@ -79,6 +79,17 @@ def test_simhash(spark, docs, edge):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_keep_one_decides_by_row(spark):
+    """Null ids and repeated ids with different texts: one row of each component, whatever the ids."""
+    one, two, three, four = (" ".join(f"{w}{k}" for k in range(30)) for w in ("pine", "oak", "elm", "ash"))
+    rows = [(None, one), (None, one), (None, two), (None, three), (4, three), (7, four), (7, "x y z"), (3, "x y z"), (7, "p q r s t"), (7, "p q r s t"), (8, "lone words here")]
+    prints = [(i, fingerprint(t)) for i, t in rows]
+    assert len({f for _, f in prints}) == 7 and min((a ^ b).bit_count() for _, a in prints for _, b in prints if a != b) > 4
+    for parts in (1, 3):
+        kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts))
+        assert sorted(map(tuple, kept.collect()), key=repr) == sorted([(None, one), (None, two), (4, three), (7, four), (3, "x y z"), (7, "p q r s t"), (8, "lone words here")], key=repr)
+
+
 def test_trie_join_is_brute_force(spark):
     rng = np.random.default_rng(4)
     base = rng.integers(0, 2**63, 60, dtype=np.uint64)
