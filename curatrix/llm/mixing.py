@@ -4,9 +4,10 @@ Each source's rows, in the order of a hash of their ids, are cut into blocks.
 With a source's weight w, its block i (from 0) may not start before slot
 floor(i / w) and has to end by slot ceil((i + 1) / w); earliest deadline first
 over the released blocks then keeps every source within less than one block of
-w * t at every slot t. Weights are rounded to whole multiples of 1 / period, so
-one period is scheduled and repeats. When a source runs out, the weights of the
-others are scaled up and a new phase begins; no row is dropped or repeated.
+w * t at every slot t. Weights are taken exactly, as whole numbers with a common
+divisor, and the whole schedule is made of them. When a source runs out, the
+weights of the others are scaled up and a new phase begins; no row is dropped or
+repeated.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
+from fractions import Fraction
+from math import lcm
 
 import numpy as np
 import pyarrow as pa
@@ -22,91 +25,88 @@ from pyspark.sql import functions as F
 
 from curatrix.llm.common import durable, fresh, table
 
-PERIOD = 4096
-
-
-def whole_weights(weights: np.ndarray, period: int = PERIOD) -> np.ndarray:
-    """Positive integers that sum to the period, by largest remainders; each source gets one at least."""
-    if len(weights) > period:
-        raise ValueError(f"{len(weights)} sources do not fit a period of {period} slots")
-    share = np.asarray(weights, dtype=np.float64) / np.sum(weights) * (period - len(weights))
-    out = np.floor(share).astype(np.int64)
-    order = np.lexsort((np.arange(len(out)), -(share - out)))
-    out[order[: period - len(weights) - int(out.sum())]] += 1
-    return out + 1
-
-
-def schedule_period(counts: np.ndarray) -> np.ndarray:
-    """Source of each slot of one period in which source s has ``counts[s]`` blocks."""
-    period = int(counts.sum())
-    waiting = [(0, s, 0) for s in range(len(counts))]  # release, source, block
-    heapq.heapify(waiting)
-    ready: list[tuple[int, int, int]] = []
-    slots = np.empty(period, dtype=np.int64)
-    for t in range(period):
-        while waiting and waiting[0][0] <= t:
-            _, s, i = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(i + 1) * period // int(counts[s])), s, i))
-        deadline, s, i = heapq.heappop(ready)
-        if deadline <= t:
-            raise AssertionError("a block missed its deadline")
-        slots[t] = s
-        if i + 1 < counts[s]:
-            heapq.heappush(waiting, ((i + 1) * period // int(counts[s]), s, i + 1))
-    return slots
+
+def whole_weights(weights: np.ndarray) -> list[int]:
+    """Positive integers in exactly the proportions of the weights."""
+    exact = [Fraction(w) for w in np.asarray(weights).tolist()]
+    if any(w <= 0 for w in exact):
+        raise ValueError("weights must be positive")
+    common = lcm(*(w.denominator for w in exact))
+    return [int(w * common) for w in exact]
 
 
 @dataclass
 class Phase:
-    """Slots [start, stop) of the whole schedule, filled by the pattern over and over."""
+    """Slots [start, stop) of the whole schedule, in which the sources with blocks left keep to their weights."""
 
     start: int
     stop: int
-    sources: np.ndarray
-    counts: np.ndarray
-    pattern: np.ndarray
-    first_block: np.ndarray
-
-    def used(self, upto: int) -> np.ndarray:
-        """Blocks of each of the phase's sources in its first ``upto`` slots."""
-        whole, rest = divmod(upto, len(self.pattern))
-        return whole * self.counts + np.bincount(self.pattern[:rest], minlength=len(self.counts))
-
-
-def schedule(blocks: np.ndarray, weights: np.ndarray, period: int = PERIOD) -> list[Phase]:
-    """Phases that hold every block of every source once."""
-    left, done, start, phases = np.asarray(blocks, dtype=np.int64).copy(), np.zeros(len(blocks), dtype=np.int64), 0, []
-    while (left > 0).any():
-        sources = np.flatnonzero(left > 0)
-        counts = whole_weights(np.asarray(weights)[sources], period)
-        pattern = schedule_period(counts)
-        ends = []
-        for k, s in enumerate(sources):
-            whole, rest = divmod(int(left[s]) - 1, int(counts[k]))
-            ends.append(whole * period + int(np.flatnonzero(pattern == k)[rest]) + 1)
-        length = min(ends)
-        phase = Phase(start, start + length, sources, counts, pattern, done[sources].copy())
-        used = phase.used(length)
-        left[sources] -= used
-        done[sources] += used
-        start += length
-        phases.append(phase)
+    order: np.ndarray
+    finish: np.ndarray
+    whole: list[int]
+
+    @property
+    def sources(self) -> np.ndarray:
+        return np.flatnonzero(self.finish > self.start)
+
+    @property
+    def counts(self) -> np.ndarray:
+        """The sources' whole weights, as Python integers of any size."""
+        return np.array([self.whole[s] for s in self.sources.tolist()], dtype=object)
+
+    @property
+    def pattern(self) -> np.ndarray:
+        """Place in ``sources`` of each slot's source."""
+        return np.searchsorted(self.sources, self.order[self.start : self.stop])
+
+
+def schedule(blocks: np.ndarray, weights: np.ndarray, period: int | None = None) -> list[Phase]:
+    """Phases that hold every block of every source once; ``period`` is not used any more.
+
+    A phase's deadlines are ordered by (i + 1) / weight, which does not depend on
+    the phase, so sources that have not had a block in it wait in one sorted list
+    and a phase costs its slots, not its sources.
+    """
+    whole, left = whole_weights(weights), np.asarray(blocks, dtype=np.int64).tolist()
+    total = sum(a for a, n in zip(whole, left, strict=True) if n > 0)
+    fine = total * total  # two different deadlines (i + 1) / a differ by 1 / total ** 2 at least
+    order, finish = np.empty(sum(left), dtype=np.int64), np.zeros(len(left), dtype=np.int64)
+    active = sorted((s for s, n in enumerate(left) if n > 0), key=lambda s: (fine // whole[s], s))
+    t, phases = 0, []
+    while active:
+        start, at = t, 0
+        waiting: list[tuple[int, int, int]] = []  # release, source, block
+        ready: list[tuple[int, int, int]] = []  # deadline, source, block
+        ended = -1
+        while ended < 0:
+            while waiting and waiting[0][0] <= t - start:
+                _, s, i = heapq.heappop(waiting)
+                heapq.heappush(ready, ((i + 1) * fine // whole[s], s, i))
+            first = (fine // whole[active[at]], active[at], 0) if at < len(active) else None
+            if first is not None and (not ready or first < ready[0]):
+                at += 1
+                _, s, i = first
+            else:
+                _, s, i = heapq.heappop(ready)
+            if (t - start) * whole[s] >= (i + 1) * total:
+                raise AssertionError("a block missed its deadline")
+            order[t] = s
+            t += 1
+            left[s] -= 1
+            if left[s]:
+                heapq.heappush(waiting, ((i + 1) * total // whole[s], s, i + 1))
+            else:
+                ended = s
+        finish[ended] = t
+        total -= whole[ended]
+        active.remove(ended)
+        phases.append(Phase(start, t, order, finish, whole))
     return phases
 
 
 def slots_of(phases: list[Phase], source: int, block: np.ndarray) -> np.ndarray:
     """Slot of each of a source's blocks."""
-    out = np.full(len(block), -1, dtype=np.int64)
-    for phase in phases:
-        at = np.flatnonzero(phase.sources == source)
-        if not len(at):
-            continue
-        k = int(at[0])
-        own = np.flatnonzero(phase.pattern == k)
-        here = (block >= phase.first_block[k]) & (block < phase.first_block[k] + phase.used(phase.stop - phase.start)[k])
-        whole, rest = np.divmod(block[here] - phase.first_block[k], len(own))
-        out[here] = phase.start + whole * len(phase.pattern) + own[rest]
-    return out
+    return np.flatnonzero(phases[0].order == source)[block]
 
 
 def mix(
@@ -117,35 +117,37 @@ def mix(
     bucket_rows: int = 4096,
     id_col: str = "doc_id",
     source_col: str = "source",
-    period: int = PERIOD,
+    period: int | None = None,
 ) -> DataFrame:
     """(doc_id, source, block, slot, place) for every row; (slot, place) orders the mixture.
 
     ``weights`` are the targets by source; without them a source's target is its
     row count to the power ``alpha``. Rows of sources without a weight, or with
     weight zero, raise an error; a null source is the source ''. ``place`` is the
-    row's place in its block. Sources are at most ``period`` (checked): only one
-    row for each of them and one for each run of about ``bucket_rows`` rows is
-    counted beside the rows. A source's rank is the offset of its hash bucket plus
-    the rank within that bucket, so a hot source is spread over many tasks.
-    Repeated rows keep a place each; an empty table gives an empty result.
+    row's place in its block. Sources may be any number: one row for each of them
+    and the source of each block are held by the driver and sent to the tasks, and
+    one row for each run of about ``bucket_rows`` rows is counted beside the rows.
+    ``period`` is not used any more. A source's rank is the offset of its hash
+    bucket plus the rank within that bucket, so a hot source is spread over many
+    tasks. Repeated rows keep a place each; an empty table gives an empty result.
     """
+    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(source_col), F.lit("")).alias("source"))
-    sizes = rows.groupBy("source").count().limit(period + 1).toPandas().sort_values("source")
-    if len(sizes) > period:
-        raise ValueError(f"more than {period} sources")
+    sizes = rows.groupBy("source").count().toPandas().sort_values("source")
     names, counts = sizes["source"].tolist(), sizes["count"].to_numpy(dtype=np.int64)
     target = counts.astype(np.float64) ** alpha if weights is None else np.array([weights.get(s, 0.0) for s in names], dtype=np.float64)
     if (target <= 0).any():
         raise ValueError(f"no weight for {[s for s, w in zip(names, target, strict=True) if w <= 0]}")
-    phases = schedule(-(-counts // block_rows), target, period)
-    index = {s: k for k, s in enumerate(names)}
+    blocks = -(-counts // block_rows)
+    phases = schedule(blocks, target, period)
+    order = phases[0].order if phases else np.empty(0, dtype=np.int64)
+    # a source's slots, in turn, begin at its place among all blocks
+    shared = spark.sparkContext.broadcast(({s: k for k, s in enumerate(names)}, np.cumsum(blocks) - blocks, np.argsort(order, kind="stable")))
 
     # the order within a source: a 32-bit hash of the id, then the id
-    hashed = rows.withColumn("_h", F.hash("doc_id").cast("long") + (1 << 31))
-    parts = {s: max(1, int(n) // bucket_rows) for s, n in zip(names, counts.tolist(), strict=True)}
-    width = F.create_map(*(F.lit(x) for s, n in parts.items() for x in (s, n)))[F.col("source")] if parts else F.lit(1)
-    hashed = hashed.withColumn("_bucket", F.shiftright(F.col("_h") * width, 32).cast("int"))
+    parts = spark.createDataFrame([(s, max(1, int(n) // bucket_rows)) for s, n in zip(names, counts.tolist(), strict=True)], "source string, _parts long")
+    hashed = rows.withColumn("_h", F.hash("doc_id").cast("long") + (1 << 31)).join(F.broadcast(parts), "source")
+    hashed = hashed.withColumn("_bucket", F.shiftright(F.col("_h") * F.col("_parts"), 32).cast("int"))
     totals = hashed.groupBy("source", "_bucket").count()
     ahead = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("source", "_bucket", F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("_ahead"))
@@ -154,14 +156,12 @@ def mix(
     ranked = ranked.select("doc_id", "source", (F.col("_ahead") + F.col("_rank")).alias("_rank"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, begins, slots = shared.value
         for batch in batches:
             rank = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
             source = np.array([index[s] for s in batch.column(1).to_pylist()], dtype=np.int64)
             block, place = np.divmod(rank, block_rows)
-            slot = np.empty(len(rank), dtype=np.int64)
-            for s in np.unique(source):
-                own = source == s
-                slot[own] = slots_of(phases, int(s), block[own])
+            slot = slots[begins[source] + block]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(block), pa.array(slot), pa.array(place)], names=["doc_id", "source", "block", "slot", "place"])
 
     kind = docs.schema[id_col].dataType.simpleString()

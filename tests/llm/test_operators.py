@@ -219,6 +219,27 @@ def test_pfair_lag():
         assert np.array_equal(np.sort(mixing.slots_of(phases, s, np.arange(blocks[s]))), np.flatnonzero(order == s))
 
 
+def test_pfair_keeps_to_the_targets():
+    """Less than one block from the targets themselves, over several of the old periods of 4,096 slots."""
+    for n in (40, 300):
+        weights = np.array([0.33, *[0.67 / (n - 1)] * (n - 1)])
+        blocks = np.ceil(weights / weights.sum() * 20_000).astype(int) + 2
+        phases = mixing.schedule(blocks, weights)
+        order, stop = phases[0].order, phases[0].stop
+        assert stop > 3 * 4096 and np.array_equal(np.bincount(order), blocks)
+        t = np.arange(1, stop + 1)
+        for s in range(n):
+            assert (np.abs(np.cumsum(order[:stop] == s) - weights[s] / weights.sum() * t) < 1 + 1e-9).all()
+
+
+def test_mix_of_many_sources(spark):
+    phases = mixing.schedule(np.full(5000, 2), np.ones(5000))
+    assert np.array_equal(np.bincount(phases[0].order), np.full(5000, 2))
+    df = spark.range(9000).select(F.col("id").alias("doc_id"), (F.col("id") % 4500).cast("string").alias("source"))
+    rows = mixing.mix(df, block_rows=1).collect()
+    assert sorted(r["slot"] for r in rows) == list(range(9000)) and {r["place"] for r in rows} == {0}
+
+
 def test_mix(spark, docs, edge):
     for df in (docs, edge):
         rows = mixing.mix(df, block_rows=4, bucket_rows=8).collect()
