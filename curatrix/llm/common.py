@@ -63,3 +63,28 @@ def slices(batches: Iterable[pa.RecordBatch], max_bytes: int = 4_000_000, column
         step = max(1, max_bytes // per_row)
         for at in range(0, batch.num_rows, step):
             yield batch.slice(at, step)
+
+
+def hash_sample(ids: DataFrame, most: int, column: str = "_id") -> DataFrame:
+    """At most ``most`` of the distinct ``ids``: those whose hash is under a threshold that counts find.
+
+    No rows are sorted or gathered; the threshold depends on the ids alone, so
+    the same ids give the same sample.
+    """
+    n, share, kept = ids.count(), 1.0, ids
+    while n > most:
+        share *= 0.95 * most / n
+        kept = ids.where(F.pmod(F.xxhash64(column), F.lit(1 << 40)) < F.lit(int(share * (1 << 40))))
+        n = kept.count()
+    return kept
+
+
+def texts_of(docs: DataFrame, sample: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``sample`` (its ``_id`` and other columns; bounded rows) with one text for each id.
+
+    An id that repeats in ``docs`` takes its smallest text, so the rows stay
+    within the sample's bound. Ids without a document are left out.
+    """
+    texts = docs.select(F.col(id_col).cast("long").alias("_id"), text_bytes(text_col).alias("text"))
+    found = texts.join(F.broadcast(sample.select("_id").distinct()), "_id", "left_semi").groupBy("_id").agg(F.min("text").alias("text"))
+    return found.join(F.broadcast(sample), "_id")

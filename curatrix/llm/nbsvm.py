@@ -1,19 +1,22 @@
-"""Quality classifier: naive Bayes support vectors over n-gram indicators.
-
-A text's words become shapes (letter case, length, closing mark, or "the same
-word again"). An indicator stands for a shape n-gram (one to three words) that
-takes at least a certain share of the text; each n-gram has one for each of the
-``LEVELS``. Indicators are scaled by the log ratio of their smoothed counts in
-the two classes, and a linear hinge-loss model is fitted to them by dual
-coordinate descent. Margins become scores by a logistic fit to out-of-fold
-margins. Whole texts are scored.
-
-``max_rows`` labelled rows of the training side fit the model: those that come
-first in the order of a hash of the id.
+"""Quality classifier: naive Bayes support vectors over word n-gram indicators.
+
+Tokens are runs of letters and digits (any byte beyond ASCII is a letter) and
+runs of other marks, case kept; a token that repeats the one before it becomes
+"again". An indicator stands for a hashed n-gram (one to three tokens, ``WIDTH``
+cells) that takes at least a certain share of the text's n-grams; each n-gram
+has one for each of the ``LEVELS``, the lowest being mere presence. Indicators
+are scaled by the log ratio of their smoothed counts in the two classes, and a
+linear hinge-loss model is fitted to them by dual coordinate descent. Margins
+become scores by a logistic fit to out-of-fold margins. Whole texts are scored.
+
+``max_rows`` labelled rows of the training side fit the model: those whose
+hashed id is under a threshold.
 """
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,65 +28,34 @@ from pyspark.sql import functions as F
 from curatrix.llm.common import id_crc, slices, table, text_bytes
 from curatrix.llm.quality_rules import training_rows
 
-LEVELS = (0.0, 0.02, 0.1, 0.4)
-SHAPES = 64
-AGAIN = SHAPES - 1
-_STOPS, _SHOUTS, _SIGNS = b".,;:", b"!?", b"#*$%&|<>=_~^@+/\\{}[]"
-#: Word shapes that a task remembers.
-CACHE = 500_000
-
-
-def shape(word: bytes) -> int:
-    """A number under ``SHAPES`` - 1 for a word's look."""
-    last = word[-1:]
-    mark = 1 if last in _STOPS else 2 if last in _SHOUTS else 3 if last in _SIGNS else 0
-    core = word.strip(_STOPS + _SHOUTS + _SIGNS).decode("utf-8", errors="replace")
-    if not core:
-        case = 0
-    elif any(c.isdigit() for c in core):
-        case = 1
-    elif core.islower():
-        case = 2
-    elif core.isupper() and len(core) > 1:
-        case = 3
-    elif core[0].isupper():
-        case = 4
-    else:
-        case = 5
-    return (case * 4 + mark) * 2 + (len(core) > 4)
-
-
-class Features:
-    """Turns texts into sorted arrays of indicator numbers; remembers word shapes."""
-
-    def __init__(self) -> None:
-        self.known: dict[bytes, int] = {}
-
-    def of(self, text: bytes) -> np.ndarray:
-        words = text.split()
-        if not words:
-            return np.empty(0, dtype=np.int64)
-        known = self.known
-        if len(known) > CACHE:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = shape(w)
-        kinds = np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))
-        again = np.fromiter(map(bytes.__eq__, words[1:], words), dtype=bool, count=len(words) - 1)
-        kinds[1:][again] = AGAIN
-        found = []
-        for size in (1, 2, 3):
-            n = len(kinds) - size + 1
-            if n < 1:
-                break
-            code = np.zeros(n, dtype=np.int64)
-            for k in range(size):
-                code = code * SHAPES + kinds[k : k + n]
-            grams, count = np.unique(code, return_counts=True)
-            grams = grams + sum(SHAPES**k for k in range(1, size))
-            for level, least in enumerate(LEVELS):
-                found.append(grams[count >= max(least * n, 1)] * len(LEVELS) + level)
-        return np.sort(np.concatenate(found))
+LEVELS = (0.0, 0.02, 0.1)
+SIZES = (1, 2, 3)
+WIDTH = 1 << 20
+AGAIN = 7
+_TOKENS = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[^\x20\x09-\x0D0-9A-Za-z\x80-\xff]+")
+#: Odd multipliers of the n-gram hash, one for each place.
+_MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
+
+
+def features(text: bytes) -> np.ndarray:
+    """Sorted distinct indicator numbers of a text."""
+    tokens = np.array([zlib.crc32(t) for t in _TOKENS.findall(text)], dtype=np.uint64)
+    if not len(tokens):
+        return np.empty(0, dtype=np.int64)
+    again = tokens[1:] == tokens[:-1]
+    tokens[1:][again] = AGAIN
+    found = []
+    for size in SIZES:
+        n = len(tokens) - size + 1
+        if n < 1:
+            break
+        mixed = np.full(n, size, dtype=np.uint64)
+        for k in range(size):
+            mixed = (mixed ^ tokens[k : k + n]) * np.uint64(_MIX[k])
+            mixed ^= mixed >> np.uint64(29)
+        cell, count = np.unique((mixed >> np.uint64(44)).astype(np.int64), return_counts=True)
+        found += [cell[count >= max(least * n, 1)] * len(LEVELS) + level for level, least in enumerate(LEVELS)]
+    return np.unique(np.concatenate(found))
 
 
 def dual_coordinate_descent(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, width: int, cost: np.ndarray, epochs: int = 20, seed: int = 5) -> np.ndarray:
@@ -165,9 +137,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: in
     """The model of P(label = 1). One class alone, or no rows, gives a constant score: the smoothed share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features = Features()
         for batch in slices(batches):
-            x = [features.of(t) for t in batch.column(1).to_pylist()]
+            x = [features(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(x, pa.list_(pa.int64()))], names=["_id", "y", "x"])
 
     rows = training_rows(docs, labels, label, max_rows).mapInArrow(run, "_id long, y double, x array<long>").toPandas()
@@ -195,10 +166,12 @@ def score(docs: DataFrame, model: Linear, threshold: float = 0.5, id_col: str =
     Ids may be null or repeat, each row keeps its own; other columns are not read.
     """
 
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features = Features()
+        model = shared.value
         for batch in slices(batches):
-            s = model.score(np.array([model.margin(features.of(t)) for t in batch.column(1).to_pylist()], dtype=np.float64))
+            s = model.score(np.array([model.margin(features(t)) for t in batch.column(1).to_pylist()], dtype=np.float64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("text"))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curatrix.llm.common import SPACES, id_crc, slices, table, text_bytes
+from curatrix.llm.common import SPACES, hash_sample, id_crc, slices, table, text_bytes, texts_of
 from curatrix.llm.trees import Forest, fit_forest
 
 SYMBOLS = b"#*$%&|<>"
@@ -107,14 +107,12 @@ def base_failed(n_words: np.ndarray, n_repeat_words: np.ndarray) -> np.ndarray:
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, max_rows: int) -> DataFrame:
     """(text, y) of a bounded sample of the rows that labels may be learned from.
 
-    These are the rows whose crc32(doc_id as text) mod 3 is not 1; the sample is
-    the ``max_rows`` of them that come first in the order of a hash of the id.
+    These are the rows whose crc32(doc_id as text) mod 3 is not 1, under a threshold
+    of a hash of the id; an id that repeats in ``docs`` gives its smallest text.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col(label).cast("double").alias("y")).where(F.col("y").isNotNull() & F.col("_id").isNotNull())
     known = known.where(id_crc("_id") % 3 != 1).groupBy("_id").agg(F.max("y").alias("y"))
-    sample = known.orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
-    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), text_bytes().alias("text"))
-    return texts.join(F.broadcast(sample), "_id").select("_id", "text", "y")
+    return texts_of(docs, hash_sample(known, max_rows)).select("_id", "text", "y")
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000) -> Forest:

@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from curatrix.llm import bilinear, graph, images, mixing, nbsvm, pieces, quality_rules, secrets, simhash, toxicity, trees, urls
+from curatrix.llm import bilinear, graph, images, mixing, pieces, quality_rules, secrets, simhash, trees, urls
 from curatrix.llm.common import table
 
 FOLDER = "/root/testdata/sf0.001"
@@ -301,48 +301,6 @@ def test_lm_is_normalised_and_learns():
     assert own > np.log10(np.bincount(cell % 128, minlength=128)[cell % 128] / len(cell)).mean()
 
 
-def accuracy(found, labels, field):
-    truth = {r["doc_id"]: r[field] for r in labels.collect()}
-    rows = [r for r in found.collect() if r["held_out"] and r["doc_id"] in truth]
-    return sum(r["predicted"] == truth[r["doc_id"]] for r in rows) / len(rows)
-
-
-def test_toxicity(spark, edge, labels):
-    folder = "/root/testdata/sf0.01"
-    found = toxicity.op1_nnpu_toxicity(spark, folder)
-    assert accuracy(found, table(spark, folder, "labels"), "toxic") > 0.9
-    scorer = toxicity.fit(edge, labels)
-    rows = toxicity.score(edge, scorer).collect()
-    assert len(rows) == len(EDGE) and all(0 <= r["score"] <= 1 for r in rows)
-    assert toxicity.score(edge.limit(0), toxicity.fit(edge.limit(0), labels.limit(0))).count() == 0
-
-
-def test_nnpu_recovers_the_positive_side():
-    rng = np.random.default_rng(1)
-    pos = (rng.random((300, 4)) < [0.9, 0.9, 0.5, 0.5]).astype(float)
-    unl = np.concatenate([(rng.random((200, 4)) < [0.9, 0.9, 0.5, 0.5]), (rng.random((1800, 4)) < [0.02, 0.02, 0.5, 0.5])]).astype(float)
-    w, b = toxicity.fit_nnpu(pos, unl, 0.1)
-    said = unl @ w + b > 0
-    assert said[:200].mean() > 0.8 and said[200:].mean() < 0.06
-
-
-def test_quality_classifier(spark, edge, labels):
-    folder = "/root/testdata/sf0.01"
-    assert accuracy(nbsvm.op6_nbsvm_quality(spark, folder), table(spark, folder, "labels"), "quality") > 0.95
-    model = nbsvm.fit(edge, labels)
-    rows = nbsvm.score(edge, model).collect()
-    assert len(rows) == len(EDGE) and all(0 <= r["score"] <= 1 for r in rows)
-    assert nbsvm.score(edge.limit(0), nbsvm.fit(edge.limit(0), labels.limit(0))).count() == 0
-
-
-def test_dual_coordinate_descent_separates():
-    rng = np.random.default_rng(0)
-    x = rng.normal(size=(200, 3))
-    y = np.where(x @ [1.0, -2.0, 0.5] + 0.3 > 0, 1, -1)
-    w = nbsvm.dual_coordinate_descent([(np.arange(3), r) for r in x], y, 3, np.full(200, 10.0), epochs=200)
-    assert ((x @ w[:3] + w[3] > 0) == (y > 0)).mean() > 0.97
-
-
 def test_urls(spark):
     rows = [(1, "http://A.Example.NET/en/x?q"), (2, "https://x.net"), (3, "https://x.net/"), (4, "ftp://net/a#b"), (5, "http://m.example.com/de/1"), (6, "http://a.org/fr/"), (7, None), (8, "no url"), (9, "http://cheappills.example.com/en"), (9, "http://freecasino.example.com/en"), (None, "http://thther.example.com/en/1")]
     pages = spark.createDataFrame(rows, "page_id long, url string").withColumn("host", F.lit("clash"))
