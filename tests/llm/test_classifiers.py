@@ -123,12 +123,22 @@ def ngram_features(text):
     return out
 
 
+def cell(gram):
+    """The hashed cell of a token tuple, in Python's whole numbers."""
+    mixed = len(gram)
+    for k, t in enumerate(gram):
+        mixed = ((mixed ^ (nbsvm.AGAIN if t == b"again" else zlib.crc32(t))) * (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)[k]) % 2**64
+        mixed ^= mixed >> 29
+    return mixed >> 44
+
+
 def test_quality_indicators_and_scores(spark, labels):
     docs = table(spark, FOLDER, "documents")
     texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
     rng = np.random.default_rng(0)
     for doc in rng.choice(sorted(texts), 60, replace=False).tolist():
-        assert abs(len(ngram_features(texts[doc])) - len(nbsvm.features(texts[doc].encode()))) <= 2 + len(texts[doc]) ** 2 // 10**7
+        assert {cell(g) * len(nbsvm.LEVELS) + level for g, level in ngram_features(texts[doc])} >= set(nbsvm.features(texts[doc].encode()).tolist())
+        assert {cell(g) for g, _ in ngram_features(texts[doc])} == {f // len(nbsvm.LEVELS) for f in nbsvm.features(texts[doc].encode()).tolist()}
     model = nbsvm.fit(docs, labels)
     weight = dict(zip(model.numbers.tolist(), model.weights.tolist(), strict=True))
     found = nbsvm.op6_nbsvm_quality(spark, FOLDER)
