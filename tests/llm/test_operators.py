@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from curatrix.llm import bilinear, graph, images, mixing, pieces, quality_rules, secrets, simhash, trees, urls
+from curatrix.llm import bilinear, graph, images, mixing, pieces, quality_rules, secrets, simhash, trees
 from curatrix.llm.common import table
 
 FOLDER = "/root/testdata/sf0.001"
@@ -301,27 +301,6 @@ def test_lm_is_normalised_and_learns():
     assert own > np.log10(np.bincount(cell % 128, minlength=128)[cell % 128] / len(cell)).mean()
 
 
-def test_urls(spark):
-    rows = [(1, "http://A.Example.NET/en/x?q"), (2, "https://x.net"), (3, "https://x.net/"), (4, "ftp://net/a#b"), (5, "http://m.example.com/de/1"), (6, "http://a.org/fr/"), (7, None), (8, "no url"), (9, "http://cheappills.example.com/en"), (9, "http://freecasino.example.com/en"), (None, "http://thther.example.com/en/1")]
-    pages = spark.createDataFrame(rows, "page_id long, url string").withColumn("host", F.lit("clash"))
-    examples = urls.seed_examples()
-    words = urls.dictionary(urls.unigrams(pages), {w for _, words in examples for w in words})
-    got = urls.judge(pages, urls.Segmenter(words), urls.fit_bayes(examples)).collect()
-    by = {(r["page_id"], r["host"]): (r["path"], r["rule"], r["verdict"]) for r in got}
-    assert by[1, "a.example.net"] == ("/en/x", "example.net/en/", "allow")
-    assert by[2, "x.net"][:2] == ("", None) and by[3, "x.net"] == ("/", "net/", "block") and by[4, "net"] == ("/a", "net/", "block")
-    assert by[5, "m.example.com"][1:] == ("example.com/de/", "block") and by[6, "a.org"][1:] == ("org/fr/", "allow")
-    assert by[7, ""] == ("", None, "allow") and by[8, ""] == ("", None, "allow")
-    assert by[9, "cheappills.example.com"][2] == by[9, "freecasino.example.com"][2] == "block" and by[None, "thther.example.com"][2] == "allow"
-
-
-def test_segmentation_is_the_cheapest_split():
-    s = urls.Segmenter({"free": 5, "bets": 4, "be": 3, "ts": 1, "freebe": 1})
-    for run in ("freebets", "betsfree", "xfree", "ts", "freebetsbe"):
-        splits = [[run[a:b] for a, b in zip((0, *cut), (*cut, len(run)), strict=True)] for n in range(len(run)) for cut in itertools.combinations(range(1, len(run)), n)]
-        assert math.isclose(sum(map(s.cost, s.split(run))), min(sum(map(s.cost, x)) for x in splits))
-
-
 def test_image_copies(spark):
     rows = spark.createDataFrame([(k, np.random.default_rng(k).normal(size=64).tolist()) for k in range(0, 60)] + [(None, [0.0] * 64), (61, None), (62, [1.0])], "vec_id long, embedding array<double>")
     found = images.descriptors(images.media(rows)).cache()
