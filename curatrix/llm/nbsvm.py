@@ -58,25 +58,30 @@ def features(text: bytes) -> np.ndarray:
     return np.unique(np.concatenate(found))
 
 
-def dual_coordinate_descent(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, width: int, cost: np.ndarray, epochs: int = 20, seed: int = 5) -> np.ndarray:
-    """Weights (bias last) of the L1-loss linear support vector machine on sparse rows; y is -1 or 1."""
-    w, alpha = np.zeros(width + 1), np.zeros(len(rows))
-    rows = [(np.append(i, width), np.append(v, 1.0)) for i, v in rows]
-    norm = np.array([v @ v for _, v in rows])
+def dual_coordinate_descent(rows: list[np.ndarray], scale: np.ndarray, y: np.ndarray, cost: np.ndarray, epochs: int = 20, seed: int = 5) -> np.ndarray:
+    """Weights (bias last) of the L1-loss linear support vector machine; y is -1 or 1.
+
+    ``rows`` are the indices of each row's indicators, whose values are ``scale``
+    at those indices; every row has a bias of 1 beside them.
+    """
+    w, bias, alpha = np.zeros(len(scale)), 0.0, np.zeros(len(rows))
+    norm = np.array([scale[i] @ scale[i] + 1.0 for i in rows])
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         moved = 0.0
         for k in rng.permutation(len(rows)):
-            i, v = rows[k]
-            g = y[k] * (w[i] @ v) - 1
+            i = rows[k]
+            v = scale[i]
+            g = y[k] * (w[i] @ v + bias) - 1
             new = min(max(alpha[k] - g / norm[k], 0.0), cost[k])
             if new != alpha[k]:
                 w[i] += (new - alpha[k]) * y[k] * v
+                bias += (new - alpha[k]) * y[k]
                 moved = max(moved, abs(new - alpha[k]))
                 alpha[k] = new
         if moved < 1e-4:
             break
-    return w
+    return np.append(w, bias)
 
 
 @dataclass
@@ -100,22 +105,19 @@ class Linear:
 
 
 def _train(x: list[np.ndarray], y: np.ndarray, smooth: float, cost: float, least: int) -> Linear:
-    number, seen = np.unique(np.concatenate(x), return_counts=True) if x else (np.empty(0, dtype=np.int64), np.empty(0))
-    number = number[seen >= least]
-    rows = []
-    for f in x:
-        at = np.searchsorted(number, f)
-        at = at[at < len(number)] if not len(number) else np.minimum(at, len(number) - 1)
-        rows.append(at[number[at] == f] if len(number) else at[:0])
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    flat = np.concatenate(rows) if rows else np.empty(0, dtype=np.int64)
-    p = smooth + np.bincount(flat[y[owner] > 0], minlength=len(number))
-    q = smooth + np.bincount(flat[y[owner] < 0], minlength=len(number))
+    """``x``: the rows' sorted indicator numbers. Those in fewer than ``least`` rows are left out."""
+    flat = np.concatenate([np.empty(0, dtype=np.int32), *x])
+    seen = np.bincount(flat, minlength=WIDTH * len(LEVELS))
+    number = np.flatnonzero(seen >= least)
+    index = np.full(len(seen), -1, dtype=np.int32)
+    index[number] = np.arange(len(number))
+    rows = [k[k >= 0] for k in (index[f] for f in x)]
+    p, q = (smooth + np.bincount(np.concatenate([np.empty(0, dtype=np.int32), *(r for r, of in zip(rows, side, strict=True) if of)]), minlength=len(number)) for side in (y > 0, y < 0))
     ratio = np.log((p / p.sum()) / (q / q.sum())) if len(number) else np.empty(0)
     n_pos = max(int((y > 0).sum()), 1)
     n_neg = max(int((y < 0).sum()), 1)
     costs = np.where(y > 0, cost * len(y) / (2 * n_pos), cost * len(y) / (2 * n_neg))
-    w = dual_coordinate_descent([(r, ratio[r]) for r in rows], y, len(number), costs)
+    w = dual_coordinate_descent(rows, ratio, y, costs)
     return Linear(number, w[:-1] * ratio, float(w[-1]), 1.0, 0.0)
 
 
@@ -133,18 +135,17 @@ def _logistic(margin: np.ndarray, good: np.ndarray, steps: int = 60) -> tuple[fl
     return float(a), float(b)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = 12_000, smooth: float = 1.0, cost: float = 0.1, least: int = 3, folds: int = 3) -> Linear:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = 8000, smooth: float = 1.0, cost: float = 0.1, least: int = 3, folds: int = 3) -> Linear:
     """The model of P(label = 1). One class alone, or no rows, gives a constant score: the smoothed share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            x = [features(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(x, pa.list_(pa.int64()))], names=["_id", "y", "x"])
+            x = [features(t).astype("<i4").tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(x, pa.binary())], names=["_id", "y", "x"])
 
-    rows = training_rows(docs, labels, label, max_rows).mapInArrow(run, "_id long, y double, x array<long>").toPandas()
-    rows = rows.assign(size=rows["x"].map(len)).sort_values(["_id", "size"])
-    x = [np.asarray(v, dtype=np.int64) for v in rows["x"]]
-    y = np.where(rows["y"].to_numpy(dtype=np.float64) > 0, 1, -1)
+    rows = training_rows(docs, labels, label, max_rows).mapInArrow(run, "_id long, y double, x binary").toArrow().sort_by("_id")
+    x = [np.frombuffer(b.as_buffer() or b"", dtype="<i4") for b in rows["x"]]
+    y = np.where(rows["y"].to_numpy() > 0, 1, -1)
     if len(set(y.tolist())) < 2:
         share = ((y > 0).sum() + 1) / (len(y) + 2)
         return Linear(np.empty(0, dtype=np.int64), np.empty(0), float(np.log(share / (1 - share))), 1.0, 0.0)
