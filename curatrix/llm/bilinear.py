@@ -1,20 +1,21 @@
-"""Language-model scoring: a log-bilinear model over word classes, trained by noise-contrastive estimation.
+"""Language-model scoring: a log-bilinear model over words, trained by noise-contrastive estimation.
 
 Tokens are the words ``[^\\x20\\x09-\\x0D]+`` of a text with A-Z lower-cased, then
-one end token. A token's class is the end, one of the most frequent training
-words, or a bucket of the other words by their last two bytes. The model's
-probability of a token is that of its class after the two classes before it,
-times the token's share of its class (1 for a word that is a class of its own;
-(c + 0.1) / (N_class + 0.1 * (V_class + 1)) in a bucket, where one unseen word has
-a place), so it is normalised.
-
-Everything is gathered from all training texts: token counts in one grouped
-aggregate, and counts of class triples, of which there are at most ``classes ** 3``
-whatever the input's size. The parameters are fitted to those triples in numpy;
-the noise is the class unigram distribution. For scoring, batched matrix products
-over all pairs of context classes give the normalised log-probabilities once, and
-each token looks its own up.
-
+one end token. The model's outputs are ``CLASSES`` classes: the end, each of the
+most frequent training words (``WORD_CLASSES`` less one), and buckets of the other
+words by their last two bytes. A token's probability is that of its class after
+the two classes before it, times the token's share of its class (1 for a word
+that is a class of its own; (c + 0.1) / (N_class + 0.1 * (V_class + 1)) in a
+bucket, where one unseen word has a place), so it is normalised.
+
+Token counts are one grouped aggregate over all training texts. Training passes
+once over all of them too, in ``SHARES`` of growing size by a hash of the text:
+every task goes through its part of the share in numpy mini-batches, beginning
+with the mean of what all tasks made of the share before, and the means are
+taken in a tree. The number of steps is that of the tokens, whatever the size.
+
+For scoring, batched matrix products of all outputs with the contexts' vectors
+give the normalisers; a task keeps those of context pairs that it has met.
 Counts of the ``head`` most frequent tokens (a bounded table) are known to every
 task. The other tokens of each text meet the counts in a join by token, and one
 sum for each document comes back.
@@ -36,12 +37,19 @@ from pyspark.sql import functions as F
 from curatrix.llm.common import durable, id_crc, slices, table, text_bytes
 
 END = b"\n"
-CLASSES = 128
+CLASSES = 4096
 #: Classes that are the end or one word; the rest are buckets.
-WORD_CLASSES = 64
+WORD_CLASSES = 3072
+WIDTH = 32
 HEAD = 200_000
 #: Distinct tokens that a task counts before it passes them on.
 FLUSH = 300_000
+#: Parts of the training texts, in sixteenths, after each of which the models are averaged.
+SHARES = (1, 1, 2, 4, 8)
+#: Models that one task averages.
+FAN_IN = 64
+#: Rare tokens' logarithms are added as whole billionths, so sums do not depend on their order.
+UNIT = 1e9
 
 
 def bucket(word: bytes) -> int:
@@ -73,7 +81,7 @@ def token_counts(texts: DataFrame) -> DataFrame:
 
 @dataclass
 class Vocabulary:
-    """Totals, the counts and classes of the head tokens, and the size of each bucket."""
+    """Totals, the counts and classes of the head tokens, and the counts of each class."""
 
     total: int
     distinct: int
@@ -93,162 +101,260 @@ class Vocabulary:
             klass[tail] = [bucket(words[k]) for k in tail.tolist()]
         return np.append(at, self.index.get(END, -1)), np.append(klass, 0)
 
+    def triples(self, texts: list[bytes]) -> np.ndarray:
+        """Classes (two before, one before, own) of all tokens; a text begins after two ends."""
+        return np.concatenate([contexts(self.classes(t.lower().split())[1]) for t in texts], axis=1)
+
+    @property
+    def share(self) -> np.ndarray:
+        """Share of all training tokens that each class has, smoothed."""
+        return (self.class_total + 0.1) / (self.class_total.sum() + 0.1 * CLASSES)
+
+
+def contexts(klass: np.ndarray) -> np.ndarray:
+    return np.stack([np.concatenate([[0, 0], klass[:-2]])[: len(klass)], np.concatenate([[0], klass[:-1]]), klass])
+
 
 def vocabulary(counts: DataFrame, head: int = HEAD) -> Vocabulary:
-    """Collects the ``head`` most frequent tokens and one row for each class, nothing else."""
+    """Collects at most ``head`` of the most frequent tokens and one row for each class, nothing else.
+
+    Counts are ranked by quarters of powers of two, so no rows are sorted; tokens
+    of the rank that does not fit whole are none of the head.
+    """
     totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    top = counts.orderBy(F.desc("n"), "token").limit(head).toArrow()
+    rank = F.floor(4 * F.log2("n")).cast("int")
+    left, least = head, None
+    for row in sorted(counts.groupBy(rank.alias("rank")).count().collect(), reverse=True):
+        if row["count"] > left:
+            break
+        left, least = left - row["count"], row["rank"]
+    top = counts.where(rank >= least if least is not None else F.lit(False)).toArrow().sort_by([("n", "descending"), ("token", "ascending")])
     tokens, number = top["token"].to_pylist(), top["n"].to_numpy().astype(np.int64)
     index = {t: k for k, t in enumerate(tokens)}
     own = [t for t in tokens[:WORD_CLASSES] if t != END][: WORD_CLASSES - 1]
     named = {END: 0} | {t: k + 1 for k, t in enumerate(own)}
-    klass = np.array([named.get(t, -1) for t in tokens] + [0], dtype=np.int64)
-    for k in np.flatnonzero(klass < 0).tolist():
-        klass[k] = bucket(tokens[k])
-    last = F.substring(F.concat(F.lit(b"\0\0"), F.col("token")), -2, 2)
-    rest = counts.where(~F.col("token").isin([F.lit(t) for t in named])) if named else counts
-    sizes = rest.groupBy((F.crc32(last) % (CLASSES - WORD_CLASSES)).cast("int").alias("k")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()
+    klass = np.array([named[t] if t in named else bucket(t) for t in tokens] + [0], dtype=np.int64)
     class_total, class_distinct = np.zeros(CLASSES), np.zeros(CLASSES)
-    for row in sizes:
+    for t, k in named.items():
+        class_total[k] = number[index[t]] if t in index else 0
+    last = F.substring(F.concat(F.lit(b"\0\0"), F.col("token")), -2, 2)
+    rest = counts.where(~F.col("token").isin([F.lit(t) for t in named]))
+    for row in rest.groupBy((F.crc32(last) % (CLASSES - WORD_CLASSES)).cast("int").alias("k")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
         class_total[WORD_CLASSES + row["k"]], class_distinct[WORD_CLASSES + row["k"]] = row["n"], row["v"]
     return Vocabulary(int(totals["n"]), int(totals["v"]), index, np.append(number, 0), klass, class_total, class_distinct)
 
 
-def class_triples(texts: DataFrame, shared) -> DataFrame:
-    """(cell, n): counts of (class two before, class before, class); a text begins after two ends."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = shared.value
-        cells = np.zeros(CLASSES**3, dtype=np.int64)
-        for batch in slices(batches):
-            found = []
-            for text in batch.column(0).to_pylist():
-                k = words.classes(text.lower().split())[1]
-                two, one = np.concatenate([[0, 0], k[:-2]])[: len(k)], np.concatenate([[0], k[:-1]])
-                found.append((two * CLASSES + one) * CLASSES + k)
-            all_cells, n = np.unique(np.concatenate(found), return_counts=True)
-            cells[all_cells] += n
-        at = np.flatnonzero(cells)
-        for k in range(0, len(at), 100_000):
-            part = at[k : k + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(cells[part])], names=["cell", "n"])
-
-    return texts.mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+def _gather(index: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct indices and the sums of their rows."""
+    by = np.argsort(index, kind="stable")
+    index = index[by]
+    starts = np.flatnonzero(np.concatenate([[True], index[1:] != index[:-1]]))
+    return index[starts], np.add.reduceat(values[by], starts, axis=0)
 
 
 @dataclass
 class Bilinear:
-    """Context vectors, a matrix for each context place, and output vectors with biases."""
-
-    context: np.ndarray
-    place: np.ndarray
-    output: np.ndarray
-    bias: np.ndarray
+    """Context vectors, a matrix for each context place, output vectors and biases; and the sums of squared slopes of each."""
+
+    params: list[np.ndarray]
+    squares: list[np.ndarray]
+
+    @classmethod
+    def first(cls, share: np.ndarray, width: int = WIDTH, seed: int = 7) -> Bilinear:
+        """The model before training: the classes' shares, whatever the context (but for small random vectors)."""
+        rng = np.random.default_rng(seed)
+        draw = lambda: rng.normal(0, 0.1, (len(share), width))
+        params = [p.astype(np.float32) for p in (draw(), np.stack([np.eye(width) * 0.5, np.eye(width)]), draw(), np.log(share))]
+        return cls(params, [np.full_like(p, 1e-6) for p in params])
+
+    @classmethod
+    def mean(cls, models: list[tuple[float, Bilinear]]) -> Bilinear:
+        """Weighted by the tokens that each has seen."""
+        total = sum(n for n, _ in models)
+        add = lambda kind, k: (sum(n * getattr(m, kind)[k].astype(np.float64) for n, m in models) / total).astype(np.float32)
+        return cls(*([add(kind, k) for k in range(4)] for kind in ("params", "squares")))
+
+    def to_bytes(self) -> bytes:
+        return b"".join(x.tobytes() for x in (*self.params, *self.squares))
+
+    def filled(self, data: bytes) -> Bilinear:
+        """A model of this one's shape from ``to_bytes``."""
+        out, at = [], 0
+        for x in (*self.params, *self.squares):
+            out.append(np.frombuffer(data, dtype=np.float32, count=x.size, offset=at).reshape(x.shape).copy())
+            at += x.nbytes
+        return Bilinear(out[:4], out[4:])
 
     def predicted(self, two: np.ndarray, one: np.ndarray) -> np.ndarray:
-        return self.context[two] @ self.place[0] + self.context[one] @ self.place[1]
-
-    def log10_table(self, block: int = 2048) -> np.ndarray:
-        """log10 P(class | two before, one before) for all pairs of contexts, normalised."""
-        k = len(self.bias)
-        out = np.empty((k * k, k), dtype=np.float32)
-        for at in range(0, k * k, block):
-            pair = np.arange(at, min(at + block, k * k))
-            s = self.predicted(pair // k, pair % k) @ self.output.T + self.bias
-            s -= s.max(axis=1, keepdims=True)
-            out[pair] = (s - np.log(np.exp(s).sum(axis=1, keepdims=True))) / np.log(10)
-        return out
-
-
-def fit_bilinear(cell: np.ndarray, n: np.ndarray, classes: int = CLASSES, width: int = 32, steps: int = 1000, batch: int = 1024, noise: int = 256, rate: float = 0.02, seed: int = 7) -> Bilinear:
-    """Noise-contrastive estimation on weighted class triples, by Adam; the same input gives the same model."""
-    rng = np.random.default_rng(seed)
-    target = cell % classes
-    unigram = (np.bincount(target, n, minlength=classes) + 0.1) / (n.sum() + 0.1 * classes)
-    log_noise = np.log(noise * unigram)
-    model = Bilinear(rng.normal(0, 0.1, (classes, width)), np.stack([np.eye(width) * 0.3, np.eye(width)]), rng.normal(0, 0.1, (classes, width)), np.log(unigram))
-    if not len(cell):
-        return model
-    share = np.cumsum(n / n.sum())
-    noise_share = np.cumsum(unigram / unigram.sum())
-    params = [model.context, model.place, model.output, model.bias]
-    first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    row, hot = np.arange(batch), np.eye(classes)
-    for step in range(1, steps + 1):
-        pick = cell[np.minimum(np.searchsorted(share, rng.random(batch)), len(cell) - 1)]
-        two, one, own = pick // classes**2, pick // classes % classes, pick % classes
-        drawn = np.bincount(np.minimum(np.searchsorted(noise_share, rng.random(noise)), classes - 1), minlength=classes)
-        q = model.predicted(two, one)
-        delta = q @ model.output.T + (model.bias - log_noise)
-        positive = 1 / (1 + np.exp(-np.clip(delta, -30, 30)))
-        g = drawn * positive / batch  # the noise's part, each class as often as it was drawn
-        g[row, own] += (positive[row, own] - 1) / batch
-        g_q = g @ model.output
-        g_two, g_one = hot[two].T @ g_q, hot[one].T @ g_q
-        g_context = g_two @ model.place[0].T + g_one @ model.place[1].T
-        g_output, g_bias = g.T @ q, g.sum(axis=0)
-        g_place = np.stack([model.context[two].T @ g_q, model.context[one].T @ g_q])
-        pace = rate * min(1.0, 2.0 * (1 - (step - 1) / steps))
-        for p, g, m, v in zip(params, (g_context, g_place, g_output, g_bias), first, second, strict=True):
-            m += 0.1 * (g - m)
-            v += 0.001 * (g * g - v)
-            p -= pace * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        context, place = self.params[:2]
+        return context[two] @ place[0] + context[one] @ place[1]
+
+    def train(self, triples: np.ndarray, log_noise: np.ndarray, below: np.ndarray, rng: np.random.Generator, batch: int, rate: float = 0.1) -> None:
+        """One pass over the triples in mini-batches, by noise-contrastive estimation with Adagrad, in place.
+
+        ``below`` is the running sum of the noise's probabilities; ``log_noise`` the
+        logarithm of how often each class is drawn for a token. The draws of a
+        mini-batch are shared by its tokens.
+        """
+        context, place, output, bias = self.params
+        triples = triples[:, rng.permutation(triples.shape[1])]
+        draws = round(float(np.exp(log_noise.astype(np.float64)).sum()))
+
+        def move(k: int, index: np.ndarray, slope: np.ndarray) -> None:
+            index, slope = _gather(index, slope)
+            self.squares[k][index] += slope * slope
+            self.params[k][index] -= rate * slope / np.sqrt(self.squares[k][index])
+
+        for at in range(0, triples.shape[1], batch):
+            two, one, own = triples[:, at : at + batch]
+            noise = np.minimum(np.searchsorted(below, rng.random(draws) * below[-1]), len(bias) - 1)
+            c_two, c_one = context[two], context[one]
+            q = c_two @ place[0] + c_one @ place[1]
+            r_noise, r_own = output[noise], output[own]
+            of_noise = 1 / (1 + np.exp(-np.clip(q @ r_noise.T + (bias[noise] - log_noise[noise]), -30, 30)))
+            of_own = 1 / (1 + np.exp(-np.clip((q * r_own).sum(axis=1) + bias[own] - log_noise[own], -30, 30))) - 1
+            g_q = (of_own[:, None] * r_own + of_noise @ r_noise) / len(own)
+            both = np.concatenate([own, noise])
+            move(2, both, np.concatenate([of_own[:, None] * q, of_noise.T @ q]) / len(own))
+            move(3, both, np.concatenate([of_own, of_noise.sum(axis=0)]) / len(own))
+            g_place = np.stack([c_two.T @ g_q, c_one.T @ g_q])
+            move(0, np.concatenate([two, one]), np.concatenate([g_q @ place[0].T, g_q @ place[1].T]))
+            self.squares[1] += g_place * g_place
+            place -= 0.1 * rate * g_place / np.sqrt(self.squares[1])
+
+
+def train_share(texts: DataFrame, shared, model: Bilinear, draws: int = 128, batch: int = 512) -> Bilinear:
+    """The mean of what the tasks make of ``model``, each with its part of ``texts``; the same where there is none.
+
+    Each task gives one row, its model (about a megabyte); ``FAN_IN`` of them are
+    averaged at a time until so few are left that the driver takes them.
+    """
+    sent = texts.sparkSession.sparkContext.broadcast(model)
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, mine = shared.value, sent.value.filled(sent.value.to_bytes())
+        noise = words.share
+        log_noise, below = np.log(draws * noise).astype(np.float32), np.cumsum(noise)
+        seen, rng, task = 0, None, 0
+        for part in slices(batches):
+            found = part.column(0).to_pylist()
+            if rng is None:
+                task = zlib.crc32(found[0])
+                rng = np.random.default_rng(task)
+            triples = words.triples(found)
+            # a small corpus takes small steps, so that it takes enough of them
+            mine.train(triples, log_noise, below, rng, min(batch, max(32, words.total // 5000)))
+            seen += triples.shape[1]
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array([task], pa.int64()), pa.array([float(seen)]), pa.array([mine.to_bytes()], pa.binary())], names=["task", "n", "model"])
+
+    def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total, task = 0.0, None, 0
+        for part in batches:
+            for one, weight, data in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                flat = np.frombuffer(data, dtype=np.float32).astype(np.float64) * weight
+                total, n, task = flat if total is None else total + flat, n + weight, task ^ one
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([task], pa.int64()), pa.array([n]), pa.array([(total / n).astype(np.float32).tobytes()], pa.binary())], names=["task", "n", "model"])
+
+    kind = "task long, n double, model binary"
+    models = durable(texts.mapInArrow(learn, kind))
+    left = models.count()
+    while left > FAN_IN:
+        models = durable(models.repartition(-(-left // FAN_IN), "task").sortWithinPartitions("task").mapInArrow(average, kind))
+        left = models.count()
+    rows = sorted((r["n"], bytes(r["model"])) for r in models.collect())
+    return Bilinear.mean([(n, model.filled(data)) for n, data in rows]) if rows else model
+
+
+def fit(texts: DataFrame, shared, words: Vocabulary) -> Bilinear:
+    """One pass over all of ``texts`` (the column text), averaged after each of the ``SHARES``."""
+    model = Bilinear.first(words.share)
+    part = F.pmod(F.xxhash64("text"), F.lit(sum(SHARES)))
+    at = 0
+    for size in SHARES:
+        model = train_share(texts.where((part >= at) & (part < at + size)), shared, model)
+        at += size
     return model
 
 
+class Normaliser:
+    """log P of class triples; keeps the normalisers of the context pairs that it has met."""
+
+    def __init__(self, model: Bilinear):
+        self.model = model
+        n = len(model.params[3])
+        self.known = np.full(n * n, np.nan, dtype=np.float32)
+        self.two = model.params[0] @ model.params[1][0]
+        self.one = model.params[0] @ model.params[1][1]
+
+    def _learn(self, pair: np.ndarray, block: int = 1024) -> None:
+        output, bias = self.model.params[2:]
+        n = len(bias)
+        for at in range(0, len(pair), block):
+            part = pair[at : at + block]
+            s = (self.two[part // n] + self.one[part % n]) @ output.T + bias
+            top = s.max(axis=1)
+            self.known[part] = top + np.log(np.exp(s - top[:, None]).sum(axis=1))
+
+    def log10(self, two: np.ndarray, one: np.ndarray, own: np.ndarray) -> np.ndarray:
+        output, bias = self.model.params[2:]
+        pair = two * len(bias) + one
+        new = np.unique(pair[np.isnan(self.known[pair])])
+        if len(new):
+            self._learn(new)
+        s = np.einsum("ij,ij->i", self.two[two] + self.one[one], output[own]) + bias[own]
+        return (s - self.known[pair]).astype(np.float64) / np.log(10)
+
+
 def score(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) for every row of ``docs``.
 
     ``train`` has the training texts in ``text_col``. A null text is empty and has
     the end token alone; rows that repeat an id keep a row each, ids may be null;
-    without training rows all counts are zero and the model is uniform over its
-    classes. Other columns are not read; an empty table gives an empty result.
+    without training rows all counts are zero and the model is near uniform over
+    its classes. Other columns are not read; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     texts = train.select(text_bytes(text_col).alias("text"))
     counts = durable(token_counts(texts))
     words = vocabulary(counts, head)
     shared = spark.sparkContext.broadcast(words)
-    triples = class_triples(texts, shared).toArrow().sort_by("cell")
-    model = fit_bilinear(triples["cell"].to_numpy().astype(np.int64), triples["n"].to_numpy().astype(np.float64))
-    table_shared = spark.sparkContext.broadcast(model)
+    model_shared = spark.sparkContext.broadcast(fit(texts, shared, words))
     smooth = float(np.log10(words.total + 0.1 * (words.distinct + 1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, logp = shared.value, table_shared.value.log10_table().ravel()
+        words, normaliser = shared.value, normaliser_of(model_shared.value)
         log_count = np.log10(words.count + 0.1)
         named = np.arange(CLASSES) < WORD_CLASSES
         share = np.where(named, 0.0, np.log10(words.class_total + 0.1 * (words.class_distinct + 1)))
         for batch in slices(batches):
-            ids, tails = [], []
-            docs_part: list[tuple] = []
+            ids, sums, tails, chains = [], [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 tokens = text.lower().split()
                 at, klass = words.classes(tokens)
-                two, one = np.concatenate([[0, 0], klass[:-2]])[: len(klass)], np.concatenate([[0], klass[:-1]])
                 head_at = at[at >= 0]
-                base = log_count[head_at].sum()
-                lexical = log_count[at[(at >= 0) & ~named[klass]]].sum()
-                chain = logp[(two * CLASSES + one) * CLASSES + klass].sum(dtype=np.float64)
-                sig = xxhash.xxh64_intdigest(text) - (1 << 63)
+                lexical = log_count[at[(at >= 0) & ~named[klass]]].sum() - share[klass].sum()
                 lone = int(at[-1] < 0)  # the end token was never seen
-                ids.append((doc, sig))
-                docs_part.append((len(at), len(head_at), base - lone, chain + lexical - share[klass].sum()))
+                ids.append((doc, xxhash.xxh64_intdigest(text) - (1 << 63)))
+                sums.append((len(at), len(head_at), log_count[head_at].sum() - lone, lexical))
+                chains.append(contexts(klass))
                 tails.append(Counter(tokens[k] for k in np.flatnonzero(at[:-1] < 0).tolist()))
             n = len(ids)
+            sizes = np.array([c.shape[1] for c in chains])
+            chain = np.bincount(np.repeat(np.arange(n), sizes), normaliser.log10(*np.concatenate(chains, axis=1)), minlength=n)
             owner = [k for k, tail in enumerate(tails) for _ in tail]
-            token = [f" {doc}".encode() for doc, _ in ids] + [t for tail in tails for t in tail]
-            tf = [0] * n + [c for tail in tails for c in tail.values()]
-            pad = [0] * len(owner)
+            pad = [None] * len(owner)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([d for d, _ in ids] + [ids[k][0] for k in owner], pa.int64()),
                     pa.array([s for _, s in ids] + [ids[k][1] for k in owner], pa.int64()),
-                    pa.array(token, pa.binary()),
-                    pa.array(tf, pa.int64()),
-                    pa.array([1] * n + pad, pa.int64()),
-                    *(pa.array([x[k] for x in docs_part] + pad, pa.int64()) for k in (0, 1)),
-                    *(pa.array([float(x[k]) for x in docs_part] + [0.0] * len(owner), pa.float64()) for k in (2, 3)),
+                    pa.array([f" {doc}".encode() for doc, _ in ids] + [t for tail in tails for t in tail], pa.binary()),
+                    pa.array([0] * n + [c for tail in tails for c in tail.values()], pa.int64()),
+                    pa.array([1] * n + [0] * len(owner), pa.int64()),
+                    *(pa.array([x[k] for x in sums] + pad, pa.int64()) for k in (0, 1)),
+                    pa.array([float(x[2]) for x in sums] + pad, pa.float64()),
+                    pa.array([x[3] + c for x, c in zip(sums, chain.tolist(), strict=True)] + pad, pa.float64()),
                 ],
                 names=["doc_id", "sig", "token", "tf", "rows", "n_tokens", "n_known", "base", "chain"],
             )
@@ -256,28 +362,35 @@ def score(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: s
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("text"))
     parts = source.mapInArrow(run, "doc_id long, sig long, token binary, tf long, rows long, n_tokens long, n_known long, base double, chain double")
     met = parts.join(counts, "token", "left")
-    rare = F.col("tf") * F.log10(F.coalesce(F.col("n"), F.lit(0)) + F.lit(0.1))
+    rare = F.col("tf") * F.round(F.log10(F.coalesce(F.col("n"), F.lit(0)) + F.lit(0.1)) * UNIT).cast("long")
     known = F.when(F.col("n").isNotNull(), F.col("tf")).otherwise(0)
-    sums = met.groupBy("doc_id", "sig").agg(
-        F.sum("rows").alias("rows"),
-        F.sum("n_tokens").alias("n_tokens"),
-        F.sum(F.col("n_known") + known).alias("n_known"),
-        F.sum(F.col("base") + rare).alias("base"),
-        F.sum(F.col("chain") + rare).alias("chain"),
-    )
+    # rows of the same id and text are equal: their own sums are taken once, their rare tokens' in whole numbers
+    out = met.groupBy("doc_id", "sig").agg(F.sum("rows").alias("rows"), *(F.max(c).alias(c) for c in ("n_tokens", "n_known", "base", "chain")), F.sum(known).alias("known"), F.sum(rare).alias("rare"))
     each = lambda c: F.col(c) / F.col("rows")
-    out = sums.select(
+    out = out.select(
         "doc_id",
-        each("n_tokens").cast("long").alias("n_tokens"),
-        each("n_known").cast("long").alias("n_known"),
+        "n_tokens",
+        (F.col("n_known") + each("known").cast("long")).alias("n_known"),
         F.lit(words.total).cast("long").alias("train_tokens"),
-        (each("base") - each("n_tokens") * smooth).alias("base_score"),
-        each("chain").alias("score"),
+        (F.col("base") + each("rare") / UNIT - F.col("n_tokens") * smooth).alias("base_score"),
+        (F.col("chain") + each("rare") / UNIT).alias("score"),
         F.explode(F.sequence(F.lit(1), F.col("rows"))).alias("_copy"),
     )
     return out.drop("_copy")
 
 
+_KEPT: dict[int, Normaliser] = {}
+
+
+def normaliser_of(model: Bilinear) -> Normaliser:
+    """The worker's normaliser of a model; what it has met serves the worker's later tasks too."""
+    key = zlib.crc32(model.to_bytes())
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = Normaliser(model)
+    return _KEPT[key]
+
+
 def op9_bilinear_lm(spark, sf_dir: str) -> DataFrame:
     """Contract columns, learned from the texts whose crc32(doc_id as text) mod 10 is not 0."""
     docs = table(spark, sf_dir, "documents")

@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from curatrix.llm import bilinear, graph, images, mixing, pieces, quality_rules, secrets, simhash, trees
+from curatrix.llm import graph, images, mixing, pieces, quality_rules, secrets, simhash, trees
 from curatrix.llm.common import table
 
 FOLDER = "/root/testdata/sf0.001"
@@ -276,31 +276,6 @@ def test_unigram_model_is_rebuilt():
     assert [t for t in pieces.tokenizer(model).encode("▁ab", add_special_tokens=False).tokens] == ["▁a", "b"]
 
 
-def test_lm(spark, docs, edge):
-    for df in (docs, edge):
-        train = df.where(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 10 != 0)
-        tokens = lambda t: (t or "").encode().lower().split() + [b"\n"]
-        counts = collections.Counter(x for r in train.collect() for x in tokens(r["text"]))
-        total, distinct = sum(counts.values()), len(counts)
-        want = []
-        for r in df.collect():
-            w = tokens(r["text"])
-            want.append((r["doc_id"], len(w), sum(counts[x] > 0 for x in w), round(sum(math.log10((counts[x] + 0.1) / (total + 0.1 * (distinct + 1))) for x in w), 6)))
-        got = bilinear.score(df, train, head=50).collect()
-        assert sorted(((r["doc_id"], r["n_tokens"], r["n_known"], round(r["base_score"], 6)) for r in got), key=repr) == sorted(want, key=repr)
-        assert all(r["train_tokens"] == total and r["score"] < 0 for r in got)
-    assert bilinear.score(docs.limit(0), docs.limit(0)).count() == 0
-
-
-def test_lm_is_normalised_and_learns():
-    cell = np.array([(a * 128 + b) * 128 + (a + b) % 128 for a in range(20) for b in range(20)])
-    model = bilinear.fit_bilinear(cell, np.ones(len(cell)) * 5)
-    logp = model.log10_table()
-    assert np.allclose((10.0 ** logp.astype(np.float64)).sum(axis=1), 1, atol=1e-4)
-    own = logp[cell // 128, cell % 128].mean()
-    assert own > np.log10(np.bincount(cell % 128, minlength=128)[cell % 128] / len(cell)).mean()
-
-
 def test_image_copies(spark):
     rows = spark.createDataFrame([(k, np.random.default_rng(k).normal(size=64).tolist()) for k in range(0, 60)] + [(None, [0.0] * 64), (61, None), (62, [1.0])], "vec_id long, embedding array<double>")
     found = images.descriptors(images.media(rows)).cache()
