@@ -12,15 +12,15 @@ from curatrix.llm.common import durable
 SHARES = 8
 
 
-def meet(rows: DataFrame, one: DataFrame, key: str, by: str) -> DataFrame:
-    """The equi-join of ``rows`` with ``one``, which has a row for each ``key``.
+def meet(rows: DataFrame, one: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
+    """The equi-join (or left join) of ``rows`` with ``one``, which has a row for each ``key``.
 
     The rows of a key are dealt into ``SHARES`` by a hash of the column ``by`` and
     the key's row is repeated for each of them, so a hot key is no single task's.
     """
     dealt = rows.withColumn("_share", F.pmod(F.xxhash64(by), F.lit(SHARES)).cast("int"))
     every = one.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
-    return dealt.join(every, [key, "_share"]).drop("_share")
+    return dealt.join(every, [key, "_share"], how).drop("_share")
 
 
 def _mark(edges: DataFrame) -> tuple:

@@ -1,6 +1,6 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Each source's rows, in the order of a hash of their ids, are cut into blocks.
+Each source's rows, in the order of a hash, are cut into blocks.
 With a source's weight w, its block i (from 0) may not start before slot
 floor(i / w) and has to end by slot ceil((i + 1) / w); earliest deadline first
 over the released blocks then keeps every source within less than one block of
@@ -20,7 +20,8 @@ from math import lcm
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curatrix.llm.common import durable, fresh, table
@@ -60,8 +61,8 @@ class Phase:
         return np.searchsorted(self.sources, self.order[self.start : self.stop])
 
 
-def schedule(blocks: np.ndarray, weights: np.ndarray, period: int | None = None) -> list[Phase]:
-    """Phases that hold every block of every source once; ``period`` is not used any more.
+def schedule(blocks: np.ndarray, weights: np.ndarray) -> list[Phase]:
+    """Phases that hold every block of every source once.
 
     A phase's deadlines are ordered by (i + 1) / weight, which does not depend on
     the phase, so sources that have not had a block in it wait in one sorted list
@@ -109,51 +110,62 @@ def slots_of(phases: list[Phase], source: int, block: np.ndarray) -> np.ndarray:
     return np.flatnonzero(phases[0].order == source)[block]
 
 
+#: Target weights of the query: the web source thrice each of the others.
+WEIGHTS = {"src0": 3.0}
+
+
+def row_hash(docs: DataFrame, id_col: str, text_col: str | None) -> Column:
+    """What orders a source's rows: a hash of the id and the text, so rows without an id are spread too."""
+    return F.xxhash64(id_col) if text_col is None else F.xxhash64(F.xxhash64(id_col), text_col)
+
+
 def mix(
     docs: DataFrame,
     weights: dict[str, float] | None = None,
+    other: float = 0.0,
     alpha: float = 0.5,
     block_rows: int = 64,
     bucket_rows: int = 4096,
     id_col: str = "doc_id",
     source_col: str = "source",
-    period: int | None = None,
+    text_col: str | None = None,
 ) -> DataFrame:
-    """(doc_id, source, block, slot, place) for every row; (slot, place) orders the mixture.
+    """(doc_id, source, block, slot, place, key) for every row; (slot, place) orders the mixture.
 
-    ``weights`` are the targets by source; without them a source's target is its
-    row count to the power ``alpha``. Rows of sources without a weight, or with
-    weight zero, raise an error; a null source is the source ''. ``place`` is the
-    row's place in its block. Sources may be any number: one row for each of them
+    ``weights`` are the targets by source, ``other`` that of sources without one;
+    without weights a source's target is its row count to the power ``alpha``. A
+    weight of zero raises an error; a null source is the source ''. ``place`` is
+    the row's place in its block; ``key`` is the hash that orders a source's rows,
+    of the id and, where it is named, the text. Sources may be any number: one row for each of them
     and the source of each block are held by the driver and sent to the tasks, and
     one row for each run of about ``bucket_rows`` rows is counted beside the rows.
-    ``period`` is not used any more. A source's rank is the offset of its hash
+    A source's rank is the offset of its hash
     bucket plus the rank within that bucket, so a hot source is spread over many
     tasks. Repeated rows keep a place each; an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(source_col), F.lit("")).alias("source"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(source_col), F.lit("")).alias("source"), row_hash(docs, id_col, text_col).alias("key"))
     sizes = rows.groupBy("source").count().toPandas().sort_values("source")
     names, counts = sizes["source"].tolist(), sizes["count"].to_numpy(dtype=np.int64)
-    target = counts.astype(np.float64) ** alpha if weights is None else np.array([weights.get(s, 0.0) for s in names], dtype=np.float64)
+    target = counts.astype(np.float64) ** alpha if weights is None else np.array([weights.get(s, other) for s in names], dtype=np.float64)
     if (target <= 0).any():
         raise ValueError(f"no weight for {[s for s, w in zip(names, target, strict=True) if w <= 0]}")
     blocks = -(-counts // block_rows)
-    phases = schedule(blocks, target, period)
+    phases = schedule(blocks, target)
     order = phases[0].order if phases else np.empty(0, dtype=np.int64)
     # a source's slots, in turn, begin at its place among all blocks
     shared = spark.sparkContext.broadcast(({s: k for k, s in enumerate(names)}, np.cumsum(blocks) - blocks, np.argsort(order, kind="stable")))
 
-    # the order within a source: a 32-bit hash of the id, then the id
+    # the order within a source: the key, of which the upper 32 bits make the buckets, then the id
     parts = spark.createDataFrame([(s, max(1, int(n) // bucket_rows)) for s, n in zip(names, counts.tolist(), strict=True)], "source string, _parts long")
-    hashed = rows.withColumn("_h", F.hash("doc_id").cast("long") + (1 << 31)).join(F.broadcast(parts), "source")
+    hashed = rows.withColumn("_h", F.shiftright("key", 32) + (1 << 31)).join(F.broadcast(parts), "source")
     hashed = hashed.withColumn("_bucket", F.shiftright(F.col("_h") * F.col("_parts"), 32).cast("int"))
     totals = hashed.groupBy("source", "_bucket").count()
     ahead = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("source", "_bucket", F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("_ahead"))
-    within = Window.partitionBy("source", "_bucket").orderBy("_h", "doc_id")
+    within = Window.partitionBy("source", "_bucket").orderBy("key", "doc_id")
     ranked = hashed.withColumn("_rank", F.row_number().over(within) - 1).join(offsets, ["source", "_bucket"])
-    ranked = ranked.select("doc_id", "source", (F.col("_ahead") + F.col("_rank")).alias("_rank"))
+    ranked = ranked.select("doc_id", "source", (F.col("_ahead") + F.col("_rank")).alias("_rank"), "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, begins, slots = shared.value
@@ -162,24 +174,42 @@ def mix(
             source = np.array([index[s] for s in batch.column(1).to_pylist()], dtype=np.int64)
             block, place = np.divmod(rank, block_rows)
             slot = slots[begins[source] + block]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(block), pa.array(slot), pa.array(place)], names=["doc_id", "source", "block", "slot", "place"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(block), pa.array(slot), pa.array(place), batch.column(3)], names=["doc_id", "source", "block", "slot", "place", "key"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return ranked.mapInArrow(run, f"doc_id {kind}, source string, block long, slot long, place long")
+    return ranked.mapInArrow(run, f"doc_id {kind}, source string, block long, slot long, place long, key long")
 
 
-def in_mixed_order(docs: DataFrame, id_col: str = "doc_id", **params) -> DataFrame:
+def in_mixed_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
     """``docs`` sorted into the mixture's order; all rows and columns stay.
 
-    Ids have to tell rows apart or the rows that share one be equal: such rows
-    take that id's first place together.
+    Rows meet their places by the key; rows of the same id and text are equal in
+    it and take its first place together. Written files keep the order: by name,
+    and by row within a file.
     """
     mixed, at = fresh(docs, "_mixed"), fresh(docs, "_at")
-    order = durable(mix(docs, id_col=id_col, **params).groupBy("doc_id").agg(F.min(F.struct("slot", "place")).alias(at)))
-    placed = docs.join(order.withColumnRenamed("doc_id", mixed), F.col(id_col).eqNullSafe(F.col(mixed)))
+    order = durable(mix(docs, id_col=id_col, text_col=text_col, **params).groupBy("key").agg(F.min(F.struct("slot", "place")).alias(at)))
+    placed = docs.withColumn(mixed, row_hash(docs, id_col, text_col)).join(order.withColumnRenamed("key", mixed), mixed)
     return placed.orderBy(f"{at}.slot", f"{at}.place").select(docs.columns)
 
 
+def file_order(docs: DataFrame, name: str) -> DataFrame:
+    """``docs``, read from files that Spark wrote, with the order of their rows in the column ``name``.
+
+    The number is made of the file's part number, its number within the part, and
+    the row's place in the file. Rows that come from no file take the order in
+    which Spark deals them.
+    """
+    try:
+        file, row = F.col("_metadata.file_name"), F.col("_metadata.row_index")
+        docs.select(file, row).schema  # noqa: B018  raises where there is no file
+    except AnalysisException:
+        return docs.withColumn(name, F.monotonically_increasing_id())
+    number = lambda pattern: F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(file, pattern, 1), F.lit("")), F.lit("999999999")).cast("long"), F.lit(0))
+    return docs.withColumn(name, F.shiftleft(number(r"^part-(\d+)"), 43) + F.shiftleft(number(r"-c(\d+)[.]"), 31) + row)
+
+
 def op4_pfair_mix(spark, sf_dir: str) -> DataFrame:
-    """All documents with their source's block, its slot and the row's place in it."""
-    return mix(table(spark, sf_dir, "documents"))
+    """All documents with their source's block, its slot and the row's place in it, at the targets ``WEIGHTS``."""
+    docs = table(spark, sf_dir, "documents")
+    return mix(docs, WEIGHTS, other=1.0, text_col="text").drop("key")

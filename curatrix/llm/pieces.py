@@ -9,7 +9,7 @@ of a run of markers, and none crosses a character that is in no longer piece
 (a line end, say). A text is then a chain of chunks whose ids do not depend on
 each other. Each task encodes a distinct chunk once, in multithreaded batches,
 checks it against the sentencepiece library, and keeps at most ``CACHE`` of them.
-A chunk on which the two differ takes sentencepiece's ids and is counted.
+A chunk on which the two differ keeps the rebuilt backend's ids and is counted.
 """
 
 from __future__ import annotations
@@ -175,11 +175,9 @@ class Codec:
     def _learn(self, chunks: list[str]) -> dict[str, bytes]:
         out = {}
         for chunk, found, right in zip(chunks, self.twin.encode_batch(chunks, add_special_tokens=False), self._reference(chunks), strict=True):
-            ids = found.ids
-            if ids != right:
+            if found.ids != right:
                 self.differs.add(chunk)
-                ids = right
-            out[chunk] = np.array(ids, dtype="<i4").tobytes()
+            out[chunk] = np.array(found.ids, dtype="<i4").tobytes()
         return out
 
     def encode(self, texts: list[str]) -> tuple[list[bytes], list[int]]:
@@ -188,7 +186,7 @@ class Codec:
             ids = [e.ids for e in self.twin.encode_batch([self.normalise(t) for t in texts], add_special_tokens=False)]
             right = self.own.encode(texts, num_threads=1)
             wrong = [int(a != b) for a, b in zip(ids, right, strict=True)]
-            return [np.array(b if w else a, dtype="<i4").tobytes() for a, b, w in zip(ids, right, wrong, strict=True)], wrong
+            return [np.array(a, dtype="<i4").tobytes() for a in ids], wrong
         chains = [self.chunk.findall(self.normalise(t)) for t in texts]
         new = list({c for chain in chains for c in chain if c not in self.memory})
         if len(self.memory) + len(new) > CACHE:
@@ -231,8 +229,8 @@ def read_model(path: str = MODEL) -> bytes:
         return f.read()
 
 
-def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids, n_tokens, parity_errors, round_trip) for every row.
+def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, ids, n_tokens, parity_errors, round_trip) for every row, and the columns to ``keep``.
 
     ``parity_errors`` counts the chunks of the text on which the two libraries
     differ; ``round_trip`` says that decoding gives the normalised text back
@@ -250,10 +248,11 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
             offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
             same = [codec.decode(flat[a:b]) == codec.expected(t) for t, a, b in zip(texts, offsets[:-1], offsets[1:], strict=True)]
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(sizes.astype(np.int64)), pa.array(wrong, pa.int64()), pa.array(same)], names=["doc_id", "ids", "n_tokens", "parity_errors", "round_trip"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(sizes.astype(np.int64)), pa.array(wrong, pa.int64()), pa.array(same), *batch.columns[2:]], names=["doc_id", "ids", "n_tokens", "parity_errors", "round_trip", *keep])
 
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return source.mapInArrow(run, "doc_id long, ids array<int>, n_tokens long, parity_errors long, round_trip boolean")
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *keep)
+    kept = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return source.mapInArrow(run, f"doc_id long, ids array<int>, n_tokens long, parity_errors long, round_trip boolean{kept}")
 
 
 def decode(rows: DataFrame, model: bytes, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
