@@ -28,17 +28,19 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are masked; every document stays."""
-    return secrets.redact_rows(docs, secrets.extend_ledger(docs))
+    ledger = secrets.Ledger(spark)
+    ledger.commit(docs, "pipeline")
+    return secrets.redact_rows(docs, ledger.held())
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in the order of the mixture; every document stays."""
-    return mixing.in_mixed_order(docs)
+    """Documents in the order of the mixture, which the files keep; every document stays."""
+    return mixing.in_mixed_order(docs, weights=mixing.WEIGHTS, other=1.0)
 
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document."""
-    return pieces.encode(docs, pieces.read_model())
+    """Token ids of every document; ``mix_order`` ascends in the order of the mixture."""
+    return pieces.encode(mixing.file_order(docs, "mix_order"), pieces.read_model(), keep=("mix_order",))
 
 
 STAGES = [
