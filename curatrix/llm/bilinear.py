@@ -14,8 +14,7 @@ every task goes through its part of the share in numpy mini-batches, beginning
 with the mean of what all tasks made of the share before, and the means are
 taken in a tree. The number of steps is that of the tokens, whatever the size.
 
-For scoring, batched matrix products of all outputs with the contexts' vectors
-give the normalisers; a task keeps those of context pairs that it has met.
+For scoring, one matrix product gives the normalisers of all pairs of contexts.
 Counts of the ``head`` most frequent tokens (a bounded table) are known to every
 task. The other tokens of each text meet the counts in a join by token, and one
 sum for each document comes back.
@@ -37,17 +36,17 @@ from pyspark.sql import functions as F
 from curatrix.llm.common import durable, id_crc, slices, table, text_bytes
 
 END = b"\n"
-CLASSES = 4096
+CLASSES = 2048
 #: Classes that are the end or one word; the rest are buckets.
-WORD_CLASSES = 3072
+WORD_CLASSES = 1536
 WIDTH = 32
-HEAD = 200_000
+HEAD = 100_000
 #: Distinct tokens that a task counts before it passes them on.
 FLUSH = 300_000
 #: Parts of the training texts, in sixteenths, after each of which the models are averaged.
 SHARES = (1, 1, 2, 4, 8)
 #: Models that one task averages.
-FAN_IN = 64
+FAN_IN = 8
 #: Rare tokens' logarithms are added as whole billionths, so sums do not depend on their order.
 UNIT = 1e9
 
@@ -167,13 +166,6 @@ class Bilinear:
         params = [p.astype(np.float32) for p in (draw(), np.stack([np.eye(width) * 0.5, np.eye(width)]), draw(), np.log(share))]
         return cls(params, [np.full_like(p, 1e-6) for p in params])
 
-    @classmethod
-    def mean(cls, models: list[tuple[float, Bilinear]]) -> Bilinear:
-        """Weighted by the tokens that each has seen."""
-        total = sum(n for n, _ in models)
-        add = lambda kind, k: (sum(n * getattr(m, kind)[k].astype(np.float64) for n, m in models) / total).astype(np.float32)
-        return cls(*([add(kind, k) for k in range(4)] for kind in ("params", "squares")))
-
     def to_bytes(self) -> bytes:
         return b"".join(x.tobytes() for x in (*self.params, *self.squares))
 
@@ -223,7 +215,7 @@ class Bilinear:
             place -= 0.1 * rate * g_place / np.sqrt(self.squares[1])
 
 
-def train_share(texts: DataFrame, shared, model: Bilinear, draws: int = 128, batch: int = 512) -> Bilinear:
+def train_share(texts: DataFrame, shared, model: Bilinear, draws: int = 128, batch: int = 1024) -> Bilinear:
     """The mean of what the tasks make of ``model``, each with its part of ``texts``; the same where there is none.
 
     Each task gives one row, its model (about a megabyte); ``FAN_IN`` of them are
@@ -236,7 +228,7 @@ def train_share(texts: DataFrame, shared, model: Bilinear, draws: int = 128, bat
         noise = words.share
         log_noise, below = np.log(draws * noise).astype(np.float32), np.cumsum(noise)
         seen, rng, task = 0, None, 0
-        for part in slices(batches):
+        for part in slices(batches, 1_000_000):
             found = part.column(0).to_pylist()
             if rng is None:
                 task = zlib.crc32(found[0])
@@ -264,7 +256,13 @@ def train_share(texts: DataFrame, shared, model: Bilinear, draws: int = 128, bat
         models = durable(models.repartition(-(-left // FAN_IN), "task").sortWithinPartitions("task").mapInArrow(average, kind))
         left = models.count()
     rows = sorted((r["n"], bytes(r["model"])) for r in models.collect())
-    return Bilinear.mean([(n, model.filled(data)) for n, data in rows]) if rows else model
+    if not rows:
+        return model
+    total = sum(n for n, _ in rows)
+    mean = np.zeros(len(rows[0][1]) // 4)
+    for n, data in rows:
+        mean += n / total * np.frombuffer(data, dtype=np.float32)
+    return model.filled(mean.astype(np.float32).tobytes())
 
 
 def fit(texts: DataFrame, shared, words: Vocabulary) -> Bilinear:
@@ -279,32 +277,44 @@ def fit(texts: DataFrame, shared, words: Vocabulary) -> Bilinear:
 
 
 class Normaliser:
-    """log P of class triples; keeps the normalisers of the context pairs that it has met."""
+    """log P of class triples, normalised exactly.
+
+    A class's score is the sum of what either context place gives it, so the sums
+    of exponentials over all classes, for all pairs of contexts, are one matrix
+    product. Its rows are made when a class first stands two places before.
+    """
 
     def __init__(self, model: Bilinear):
         self.model = model
-        n = len(model.params[3])
-        self.known = np.full(n * n, np.nan, dtype=np.float32)
+        output, bias = model.params[2:]
         self.two = model.params[0] @ model.params[1][0]
         self.one = model.params[0] @ model.params[1][1]
+        every = self.one @ output.T
+        self.shift = every.max(axis=1)
+        self.powers = np.exp(every - self.shift[:, None]).T.copy()
+        self.row = np.full(len(bias), -1)
+        self.known = np.empty((0, len(bias)), dtype=np.float32)
 
-    def _learn(self, pair: np.ndarray, block: int = 1024) -> None:
+    def _learn(self, new: np.ndarray) -> None:
         output, bias = self.model.params[2:]
-        n = len(bias)
-        for at in range(0, len(pair), block):
-            part = pair[at : at + block]
-            s = (self.two[part // n] + self.one[part % n]) @ output.T + bias
-            top = s.max(axis=1)
-            self.known[part] = top + np.log(np.exp(s - top[:, None]).sum(axis=1))
+        scores = self.two[new] @ output.T + bias
+        top = scores.max(axis=1, keepdims=True)
+        sums = np.exp(scores - top) @ self.powers
+        with np.errstate(divide="ignore"):
+            found = np.log(sums) + top + self.shift
+        for i, j in np.argwhere(sums < 1e-30).tolist():  # the two places' best classes are far apart
+            s = (scores[i] + self.one[j] @ output.T).astype(np.float64)
+            found[i, j] = s.max() + np.log(np.exp(s - s.max()).sum())
+        self.row[new] = len(self.known) + np.arange(len(new))
+        self.known = np.concatenate([self.known, found.astype(np.float32)])
 
     def log10(self, two: np.ndarray, one: np.ndarray, own: np.ndarray) -> np.ndarray:
         output, bias = self.model.params[2:]
-        pair = two * len(bias) + one
-        new = np.unique(pair[np.isnan(self.known[pair])])
+        new = np.unique(two[self.row[two] < 0])
         if len(new):
             self._learn(new)
         s = np.einsum("ij,ij->i", self.two[two] + self.one[one], output[own]) + bias[own]
-        return (s - self.known[pair]).astype(np.float64) / np.log(10)
+        return (s - self.known[self.row[two], one]).astype(np.float64) / np.log(10)
 
 
 def score(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD) -> DataFrame:

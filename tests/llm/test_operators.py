@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from curatrix.llm import graph, images, mixing, pieces, quality_rules, secrets, simhash, trees
+from curatrix.llm import graph, mixing, pieces, quality_rules, secrets, simhash, trees
 from curatrix.llm.common import table
 
 FOLDER = "/root/testdata/sf0.001"
@@ -221,24 +221,3 @@ def test_pieces(spark, docs, edge):
 def test_unigram_model_is_rebuilt():
     model = pieces.Model([("<unk>", 0.0, pieces.UNKNOWN), ("▁a", -1.0, 1), ("b", -2.0, 1), ("ab", -0.5, 1), ("▁", -3.0, 1)])
     assert [t for t in pieces.tokenizer(model).encode("▁ab", add_special_tokens=False).tokens] == ["▁a", "b"]
-
-
-def test_image_copies(spark):
-    rows = spark.createDataFrame([(k, np.random.default_rng(k).normal(size=64).tolist()) for k in range(0, 60)] + [(None, [0.0] * 64), (61, None), (62, [1.0])], "vec_id long, embedding array<double>")
-    found = images.descriptors(images.media(rows)).cache()
-    got = images.copies(found, found.where("media_id % 40 = 0")).collect()
-    assert {(r["query_id"], r["media_id"]) for r in got} == {(0, 1), (40, 41), (80, 81)}
-    assert images.copies(found.limit(0), found.limit(0)).count() == 0
-    assert images.from_pgm(b"junk") is None and images.from_pgm(None) is None
-    picture = images.drawing(np.arange(64.0))
-    assert np.array_equal(images.from_pgm(images.to_pgm(picture)), np.floor(picture))
-
-
-def test_every_edit_is_found(spark):
-    rows = spark.createDataFrame([(k, np.random.default_rng(k).normal(size=64).tolist()) for k in range(100, 180)], "vec_id long, embedding array<double>")
-    found = images.descriptors(images.media(rows)).cache()
-    got = {(r["query_id"], r["media_id"]) for r in images.copies(found, found.where("media_id % 2 = 0")).collect()}
-    own = {(2 * k, 2 * k + 1) for k in range(100, 180)}
-    assert len(got & own) >= 0.9 * len(own) and len(got - own) <= 2
-
-
