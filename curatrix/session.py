@@ -20,8 +20,15 @@ def session(master: str = "local[*]", partitions: int = 8, **conf: str) -> Spark
     return spark
 
 
+#: Rows hold whole texts, so the batches that go to Python are kept small; a session's own values win.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "16m")}
+
+
 def ship(spark: SparkSession) -> None:
     """Lets Python workers on this machine find the package; a cluster gets it by --py-files or an image."""
+    for name, (usual, small) in BATCHES.items():
+        if spark.conf.get(name, None) == usual:
+            spark.conf.set(name, small)
     root = str(Path(__file__).resolve().parent.parent)
     environment = spark.sparkContext.environment
     paths = environment.get("PYTHONPATH", "").split(":")
