@@ -29,6 +29,14 @@ def handedness_value(name: Column) -> Column:
     return F.when(word == "right", 1.0).when(word == "left", -1.0).otherwise(0.0)
 
 
+def hands_of(points: Column, handedness: Column, scores: Column) -> Column:
+    """Hands from three arrays, which have to be of one length."""
+    n = F.coalesce(F.size(points), F.lit(-1))
+    same = (n == F.coalesce(F.size(handedness), F.lit(-1))) & (n == F.coalesce(F.size(scores), F.lit(-1)))
+    zipped = F.transform(F.arrays_zip(points.alias("p"), handedness.alias("h"), scores.alias("s")), lambda x: F.struct(x["p"].alias("points"), x["h"].alias("handedness"), x["s"].alias("score")))
+    return F.when(same, zipped).otherwise(F.raise_error(F.lit("points, handedness and scores differ in length")).cast("array<struct<points:array<struct<x:double,y:double,z:double>>,handedness:string,score:double>>"))
+
+
 def points_of(values: Column, start: int = 0) -> Column:
     """21 points from a flat array of x, y, z from position ``start`` on."""
     return F.transform(F.sequence(F.lit(0), F.lit(POINTS - 1)), lambda i: F.struct(*(F.get(values, i * 3 + start + k).cast("double").alias(a) for k, a in enumerate(AXES))))
@@ -103,9 +111,12 @@ def add_features(df: DataFrame, hands: str = "hands", expected: str = "expected"
     """O-87, O-142: adds a struct (features, usable, reason, detected_hands, handedness, scores).
 
     Built in steps, each a column of its own, so that no step is evaluated again
-    for every use of it.
+    for every use of it. An expectation that is not 0, 1 or 2 is an error.
     """
-    n, want = F.size(hands), F.col(expected)
+    said = F.col(expected)
+    wrong = F.raise_error(F.concat(F.lit("expected hands have to be 0, 1 or 2, not "), F.coalesce(said.cast("string"), F.lit("null")))).cast("int")
+    df = df.withColumn("_want", F.when(said.isin(0, 1, 2), said).otherwise(wrong))
+    n, want = F.size(hands), F.col("_want")
     steps = df.withColumn("_ordered", F.when(want == 2, top_hands(F.col(hands))).otherwise(largest_hand(F.col(hands))))
     first, second = F.get("_ordered", F.lit(0))["points"], F.get("_ordered", F.lit(1))["points"]
     steps = steps.withColumn("_first", first).withColumn("_second", second)
@@ -133,7 +144,7 @@ def add_features(df: DataFrame, hands: str = "hands", expected: str = "expected"
         slots(lambda h: F.when(h.isNotNull(), handedness_value(h["handedness"]))).alias("handedness"),
         slots(lambda h: h["score"]).alias("scores"),
     )
-    return steps.withColumn(out, struct).drop("_ordered", "_first", "_second", "_problem", "_features", "_reason")
+    return steps.withColumn(out, struct).drop("_want", "_ordered", "_first", "_second", "_problem", "_features", "_reason")
 
 
 def mirror(features: Column) -> Column:

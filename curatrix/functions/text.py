@@ -12,6 +12,9 @@ IMAGE_SUFFIXES = (".jpg", ".jpeg", ".png", ".webp")
 #: Frame ranges of the splits, both ends included; what lies between is a guard band.
 RANGES = (("train", 1, 2000), ("val", 2101, 2500), ("test", 2601, 3000))
 
+#: The sign modes.
+MODES = ("bisindo", "asl")
+
 
 def basename(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
@@ -117,6 +120,16 @@ def profile_tag(value: Column) -> Column:
     return F.format_string("%03d", F.bround(value * 100).cast("int"))
 
 
+def is_mode(value: Column, modes: Sequence[str] = MODES) -> Column:
+    """O-93: whether a value names a mode; null does not."""
+    return F.coalesce(value.isin(*modes), F.lit(False))
+
+
+def canonical_json(**fields: Column) -> Column:
+    """O-101 of rows: JSON with sorted keys and no spaces; null fields are left out."""
+    return F.to_json(F.struct(*(fields[k].alias(k) for k in sorted(fields))))
+
+
 def rotating(index: Column, items: Sequence[str]) -> Column:
     """O-94: the item at index modulo their number."""
     return F.element_at(F.array(*map(F.lit, items)), (F.pmod(index, F.lit(len(items))) + 1).cast("int"))

@@ -68,9 +68,17 @@ def catalog_candidates(df: DataFrame, letter: Column, hands: Column, dynamic: Co
 
 
 def first_seen(df: DataFrame, key: str, order: Sequence[Column]) -> tuple[DataFrame, DataFrame]:
-    """O-57, O-130: (kept, exclusions): of rows with one key the first in order stays; the rest get a reason."""
-    ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
-    return ranked.where("_rank = 1").drop("_rank"), ranked.where("_rank > 1").drop("_rank").withColumn("reason", F.lit("exact_duplicate"))
+    """O-57, O-130: (kept, exclusions): of rows with one key the first in order stays; the rest get a reason.
+
+    The order has to tell the rows of a key apart, as a path does; rows without a
+    key are duplicates of nothing. The first of
+    each key is a partial aggregate, so no task sorts the rows of a hot key.
+    """
+    first = df.groupBy(key).agg(F.min(F.struct(*(o.alias(f"o{k}") for k, o in enumerate(order)))).alias("_first"))
+    told = df.withColumn("_own", F.struct(*(o.alias(f"o{k}") for k, o in enumerate(order)))).join(first, key)
+    alone = df.where(F.col(key).isNull())
+    kept = told.where(F.col("_own").eqNullSafe(F.col("_first"))).select(df.columns).unionByName(alone)
+    return kept, told.where(~F.col("_own").eqNullSafe(F.col("_first"))).select(df.columns).withColumn("reason", F.lit("exact_duplicate"))
 
 
 def route_reasons(df: DataFrame, reason: Column) -> tuple[DataFrame, DataFrame]:

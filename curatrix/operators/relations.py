@@ -46,9 +46,14 @@ def cross_collection(df: DataFrame, digest: str, collection: str, path: str) ->
 
 
 def examples(df: DataFrame, key: str, order: Sequence[Column], keep: int = 25) -> DataFrame:
-    """O-79: the first ``keep`` rows in order, with a flag that says whether there were more."""
-    ranked = df.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order))).withColumn("truncated", F.count("*").over(Window.partitionBy(key)) > keep)
-    return ranked.where(F.col("rank") <= keep)
+    """O-79: the first ``keep`` rows in order, with a flag that says whether there were more.
+
+    Rows are limited before the exchange (a group limit below the window); the
+    flag comes from a count that is aggregated beside it.
+    """
+    ranked = df.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("rank") <= keep)
+    more = df.groupBy(F.col(key).alias("_key")).agg((F.count("*") > keep).alias("truncated"))
+    return ranked.join(more, F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
 
 
 def duplicate_summary(df: DataFrame, digest: str, label: str) -> DataFrame:

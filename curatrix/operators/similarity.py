@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curatrix.functions.bits import hamming
+from curatrix.session import durable
 
 
 def bands(distance: int) -> list[tuple[int, int]]:
@@ -58,15 +59,20 @@ def later_split_rejects(df: DataFrame, distance: int, label: str = "label", spli
     """O-48: rows (with their columns) of val near train, and of test near train or accepted val.
 
     Rejected val rows do not block test rows, and rows of one split do not block
-    each other.
+    each other. Distinct hashes are joined once, and all decisions are made on
+    them; rows meet the rejected hashes at the end.
     """
-    hashes = lambda rows: rows.select(label, "h").distinct()
+    hashes = durable(df.select(label, split, "h").distinct())
+    every = hashes.select(label, "h").distinct()
+    near = durable(hamming_join(every, every, label, distance).select(label, "h1", "h2"))
+    of = lambda name: hashes.where(F.col(split) == name).select(label, "h")
 
     def blocked(rows: DataFrame, by: DataFrame) -> DataFrame:
-        near = hamming_join(hashes(rows), hashes(by), label, distance)
-        return rows.join(near.select(label, F.col("h1").alias("h")).distinct(), [label, "h"], "left_semi")
-
-    train, val, test = (df.where(F.col(split) == s) for s in ("train", "val", "test"))
-    val_out = blocked(val, train)
-    val_in = val.join(val_out.select(label, "h").distinct(), [label, "h"], "left_anti")
-    return val_out.unionByName(blocked(test, hashes(train).unionByName(hashes(val_in))))
+        hit = near.join(by.withColumnRenamed("h", "h2"), [label, "h2"], "left_semi").select(label, F.col("h1").alias("h")).distinct()
+        return rows.join(hit, [label, "h"], "left_semi")
+
+    val_out = durable(blocked(of("val"), of("train")))
+    val_in = of("val").join(val_out, [label, "h"], "left_anti")
+    test_out = blocked(of("test"), of("train").unionByName(val_in))
+    out = val_out.withColumn(split, F.lit("val")).unionByName(test_out.withColumn(split, F.lit("test")))
+    return df.join(out, [label, split, "h"], "left_semi")

@@ -6,11 +6,14 @@ same rules as step functions, which the streaming twins share.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from curatrix.streaming import machines
 
@@ -35,21 +38,13 @@ def sliding_majority(df: DataFrame, key: str, ms: Column, label: Column, confide
     The window reaches back ``window_ms``, its edge included. The commonest label
     wins, the first seen on a tie. Too few samples give UNKNOWN with 0; UNKNOWN
     itself, or too small a share, gives UNKNOWN with the winner's mean. Times have
-    to be unique for a key. One sort and one range window; counting is done on
-    the row's own array, so nothing is exploded or shuffled again.
+    to be unique for a key. Running counts of each label are taken once and
+    subtracted, so a busy key costs its rows times its labels.
     """
-    rows = df.withColumn("_ms", ms).withColumn("_s", F.struct(F.col("_ms").alias("t"), label.alias("l"), confidence.cast("double").alias("c")))
-    w = Window.partitionBy(key).orderBy("_ms").rangeBetween(-window_ms, 0)
-    rows = rows.withColumn("_w", F.array_sort(F.collect_list("_s").over(w)))
-    groups = F.transform(
-        F.array_distinct(F.transform("_w", lambda s: s["l"])),
-        lambda name, i: F.struct(F.size(F.filter("_w", lambda s: s["l"] == name)).alias("n"), (-i).alias("i"), name.alias("l")),
-    )
-    rows = rows.withColumn("_b", F.array_max(groups))
-    size = F.size("_w")
-    mean = F.aggregate(F.filter("_w", lambda s: s["l"] == F.col("_b.l")), F.lit(0.0), lambda a, s: a + s["c"]) / F.col("_b.n")
-    stable = (size >= least) & (F.col("_b.l") != "UNKNOWN") & (F.col("_b.n") / size >= ratio)
-    return rows.withColumn("stable_label", F.when(stable, F.col("_b.l")).otherwise("UNKNOWN")).withColumn("stable_confidence", F.when(size < least, 0.0).otherwise(mean)).drop("_ms", "_s", "_w", "_b")
+    rows = df.withColumns({"_ms": ms, "_label": label, "_confidence": F.coalesce(confidence.cast("double"), F.lit(0.0))})
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    machine = machines.majority(window_ms, least, ratio, "_ms", "_label", "_confidence")
+    return folded(rows, key, ["_ms"], machine, f"{kept}, stable_label string, stable_confidence double")
 
 
 def commit_latch(df: DataFrame, key: str, ms: Column, label: Column, release_ms: int = 300) -> DataFrame:
@@ -79,18 +74,38 @@ def transcript_tail(df: DataFrame, key: str, order: Sequence[str], label: str, k
 def folded(df: DataFrame, key: str, order: Sequence[str], machine: machines.Machine, schema: str) -> DataFrame:
     """Runs a step machine over each key's rows in order; ``schema`` is the result's.
 
-    For the rules that depend on their own last result (O-111, O-116). One key's
-    rows pass through one task, as they would through one device.
+    For the rules that depend on their own last results (O-111, O-113, O-116).
+    Partitions are sorted by key and order and folded batch by batch as arrays,
+    the state of the open key being carried on; one key's rows pass through one
+    task, as they would through one device, but never lie in memory together.
     """
-    names = [part.split()[0] for part in schema.split(",")]
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        state = machine.start()
-        rows = []
-        for row in part.sort_values(list(order)).to_dict("records"):
-            state, out = machine.step(state, row)
-            if out is not None:
-                rows.append(row | out)
-        return pd.DataFrame(rows, columns=names)
-
-    return df.groupBy(key).applyInPandas(run, schema)
+    fields = StructType.fromDDL(schema)
+    given = [n for n in fields.fieldNames() if n in df.columns]
+    target = to_arrow_schema(fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_key, state, begun = None, None, False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names = batch.schema.names
+            owner = np.array(batch.column(names.index(key)).to_pylist(), dtype=object)
+            cut = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])).tolist()
+            needed = {n: batch.column(k).to_numpy(zero_copy_only=False) for k, n in enumerate(names) if not pa.types.is_nested(batch.schema.field(k).type)}
+            places, results = [], []
+            for a, b in zip(cut, [*cut[1:], batch.num_rows], strict=True):
+                if not begun or owner[a] != open_key:
+                    open_key, state, begun = owner[a], machine.start(), True
+                state, at, out = machine.run(state, {n: c[a:b] for n, c in needed.items()})
+                places.append(at + a)
+                results.append(out)
+            rows = batch.take(pa.array(np.concatenate(places)))
+            columns = []
+            for field in target:
+                if field.name in given:
+                    columns.append(rows.column(names.index(field.name)).cast(field.type))
+                else:
+                    columns.append(pa.array(np.concatenate([r[field.name] for r in results if field.name in r]).tolist() if rows.num_rows else [], field.type))
+            yield pa.RecordBatch.from_arrays(columns, schema=target)
+
+    return df.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, fields)

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
-import tempfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from uuid import uuid4
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from curatrix.functions import bits, geometry, pose, text
 from curatrix.operators import curation, detection, metrics, ranking, relations, scoring, similarity, temporal
 from curatrix.plans import training
+from curatrix.session import durable, shared_dir
 from curatrix.sources import files
 from curatrix.streaming import machines, stateful
 
@@ -192,11 +196,11 @@ def byte_totals(spark, d):
     return _t(spark, d, "documents").agg(F.count("*").alias("files"), F.sum("n_chars").alias("total"), F.count_distinct("lang").alias("labels"))
 
 
-@query("SELECT c_custkey, c_name, c_nationkey FROM customer WHERE c_acctbal < 0 UNION ALL SELECT s_suppkey, s_name, s_nationkey FROM supplier WHERE s_acctbal < 0")
+@query("SELECT c_custkey, c_name, c_nationkey FROM customer UNION ALL SELECT s_suppkey, s_name, s_nationkey FROM supplier")
 def union_builds(spark, d):
     """O-55, O-20."""
-    c = _t(spark, d, "customer").where("c_acctbal < 0").select("c_custkey", "c_name", "c_nationkey")
-    return c.unionByName(_t(spark, d, "supplier").where("s_acctbal < 0").select(F.col("s_suppkey").alias("c_custkey"), F.col("s_name").alias("c_name"), F.col("s_nationkey").alias("c_nationkey")))
+    c = _t(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey")
+    return c.unionByName(_t(spark, d, "supplier").select(F.col("s_suppkey").alias("c_custkey"), F.col("s_name").alias("c_name"), F.col("s_nationkey").alias("c_nationkey")))
 
 
 @query("SELECT s_suppkey, s_name, n_name, coalesce(r_name, n_name) AS place FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey LEFT JOIN region ON r_regionkey = n_regionkey")
@@ -304,17 +308,25 @@ def best_row(spark, d):
 
 
 def _fingerprints(spark: SparkSession, d: str) -> DataFrame:
-    """O-83 over word-count grids: (doc_id, lang, h). Words are counted in 72 buckets, per document and bucket first."""
-    docs = _t(spark, d, "documents").where("n_chars >= 200")
-    words = docs.select("doc_id", "lang", F.explode(F.split(F.lower("text"), " ")).alias("w"))
-    bucket = (F.conv(F.substring(F.md5("w"), 1, 7), 16, 10).cast("long") % 72).cast("int")
-    counts = words.groupBy("doc_id", "lang", bucket.alias("b")).agg(F.count("*").alias("n"))
-    grids = counts.groupBy("doc_id", "lang").agg(F.map_from_entries(F.collect_list(F.struct("b", "n"))).alias("m"))
-    grid = F.transform(F.sequence(F.lit(0), F.lit(71)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0)))
-    return grids.select("doc_id", "lang", bits.difference_hash(grid).alias("h"))
+    """O-83 over word-count grids: (doc_id, lang, h). A text's words are counted in 72 buckets where the text is; a null text is empty."""
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        for batch in batches:
+            grids = []
+            for words in (t.split(" ") for t in batch.column(2).to_pylist()):
+                if len(known) > 500_000:
+                    known.clear()
+                for w in set(words).difference(known):
+                    known[w] = int(hashlib.md5(w.encode()).hexdigest()[:7], 16) % 72
+                grids.append(np.bincount([known[w] for w in words], minlength=72))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(grids, pa.list_(pa.int64()))], names=["doc_id", "lang", "grid"])
 
-_GRID = """w AS (SELECT doc_id, lang, unnest(string_split(lower(text), ' ')) w FROM documents WHERE n_chars >= 200),
+    rows = _t(spark, d, "documents").select("doc_id", "lang", F.lower(F.coalesce("text", F.lit(""))).alias("text"))
+    return rows.mapInArrow(count, "doc_id long, lang string, grid array<long>").select("doc_id", "lang", bits.difference_hash(F.col("grid")).alias("h"))
+
+
+_GRID = """w AS (SELECT doc_id, lang, unnest(string_split(lower(coalesce(text, '')), ' ')) w FROM documents),
     c AS (SELECT doc_id, lang, CAST('0x' || substr(md5(w), 1, 7) AS BIGINT) % 72 b, count(*) n FROM w GROUP BY ALL),
     k AS (SELECT r * 9 + c AS l, 63 - (r * 8 + c) AS s FROM range(8) a(r), range(8) b(c)),
     g AS (SELECT d.doc_id, d.lang, k.s, coalesce(x.n, 0) > coalesce(y.n, 0) AS up FROM (SELECT DISTINCT doc_id, lang FROM c) d CROSS JOIN k LEFT JOIN c x ON x.doc_id = d.doc_id AND x.b = k.l LEFT JOIN c y ON y.doc_id = d.doc_id AND y.b = k.l + 1),
@@ -333,7 +345,7 @@ def difference_hashes(spark, d):
 )
 def near_dup_pairs(spark, d):
     """O-46, O-84: pairs of documents by distance, counted from pairs of hashes and their numbers of rows."""
-    rows = _fingerprints(spark, d).groupBy("lang", "h").agg(F.count("*").alias("n"))
+    rows = durable(_fingerprints(spark, d).groupBy("lang", "h").agg(F.count("*").alias("n")))
     near = similarity.hamming_join(rows.select("lang", "h"), rows.select("lang", "h"), "lang", 2)
     near = near.join(rows.select("lang", F.col("h").alias("h1"), F.col("n").alias("n1")), ["lang", "h1"]).join(rows.select("lang", F.col("h").alias("h2"), F.col("n").alias("n2")), ["lang", "h2"])
     pairs = F.sum(F.when(F.col("h1") == F.col("h2"), F.col("n1") * (F.col("n1") - 1)).otherwise(F.col("n1") * F.col("n2")))
@@ -345,7 +357,7 @@ _SHA_SPLIT = "CASE WHEN substr(sha256(CAST(doc_id AS VARCHAR)), 1, 1) < 'a' THEN
 
 def _split_fingerprints(spark: SparkSession, d: str) -> DataFrame:
     first = F.substring(F.sha2(F.col("doc_id").cast("string"), 256), 1, 1)
-    return _fingerprints(spark, d).withColumn("split", F.when(first < "a", "train").when(first < "d", "val").otherwise("test"))
+    return durable(_fingerprints(spark, d)).withColumn("split", F.when(first < "a", "train").when(first < "d", "val").otherwise("test"))
 
 
 @query(
@@ -557,16 +569,17 @@ def build_features(spark, d):
 
 
 @query(
-    f"""WITH b AS (SELECT vec_id, embedding AS e, {_PALM} AS s, 1.5 * embedding[1]::DOUBLE + 1.0 < embedding[1]::DOUBLE AS swapped FROM embeddings WHERE vec_id % 4 = 2)
-    SELECT vec_id, round_even(-(e[4]::DOUBLE - e[1]::DOUBLE) / s, 6) + 0.0 AS x1, round_even((e[5]::DOUBLE - e[2]::DOUBLE) / s, 6) + 0.0 AS y1, round_even(CASE WHEN swapped THEN -1 ELSE 1 END * (0.5 * e[1]::DOUBLE + 1.0) / (1.25 * s), 6) + 0.0 AS dx,
-    round_even(-(CASE WHEN swapped THEN -1 ELSE 1 END) * (0.5 * e[2]::DOUBLE - 0.25) / (1.25 * s), 6) + 0.0 AS dy, round_even(-(CASE WHEN swapped THEN -1 ELSE 1 END) * ln(1.5::DOUBLE), 6) AS ratio FROM b"""
+    f"""WITH b AS (SELECT vec_id, vec_id % 4 AS k, embedding AS e, {_PALM} AS s, CASE WHEN 1.5 * embedding[1]::DOUBLE + 1.0 < embedding[1]::DOUBLE THEN -1 ELSE 1 END AS o FROM embeddings)
+    SELECT vec_id, CASE WHEN k = 3 THEN 0.0 ELSE round_even(-(e[4]::DOUBLE - e[1]::DOUBLE) / s, 6) + 0.0 END AS x1, CASE WHEN k = 3 THEN 0.0 ELSE round_even((e[5]::DOUBLE - e[2]::DOUBLE) / s, 6) + 0.0 END AS y1,
+    CASE WHEN k = 2 THEN 1.0 ELSE 0.0 END AS second, CASE WHEN k = 2 THEN round_even(o * (0.5 * e[1]::DOUBLE + 1.0) / (1.25 * s), 6) + 0.0 ELSE 0.0 END AS dx,
+    CASE WHEN k = 2 THEN round_even(-o * (0.5 * e[2]::DOUBLE - 0.25) / (1.25 * s), 6) + 0.0 ELSE 0.0 END AS dy, CASE WHEN k = 2 THEN round_even(-o * ln(1.5::DOUBLE), 6) ELSE 0.0 END AS ratio FROM b"""
 )
 def mirror_features(spark, d):
-    """O-90."""
-    rows = pose.add_features(_hand_rows(spark, d).where(F.col("vec_id") % 4 == 2)).select("vec_id", F.col("feature.features").alias("f"))
+    """O-90, of no hand, one hand and two."""
+    rows = pose.add_features(_hand_rows(spark, d)).select("vec_id", F.col("feature.features").alias("f"))
     rows = rows.select("vec_id", pose.mirror(F.col("f")).alias("m"))
     at = lambda k, name: (F.bround(F.get("m", F.lit(k)), 6) + 0.0).alias(name)
-    return rows.select("vec_id", at(3, "x1"), at(4, "y1"), at(128, "dx"), at(129, "dy"), at(131, "ratio"))
+    return rows.select("vec_id", at(3, "x1"), at(4, "y1"), at(127, "second"), at(128, "dx"), at(129, "dy"), at(131, "ratio"))
 
 
 @query(
@@ -709,7 +722,7 @@ def arbitrate(spark, d):
     return found.select("frame", "label", F.bround("confidence", 6).alias("confidence"), "feature_hands")
 
 
-@query()
+@query("SELECT true AS within")
 def parity_error(spark, d):
     """O-70: the batched network against the one in expressions."""
     m = _model()
@@ -724,14 +737,14 @@ def parity_error(spark, d):
 
 @query()
 def train_candidates(spark, d):
-    """O-125..O-128: two networks on embeddings, the better one by validation macro F1."""
+    """O-125..O-128: two networks on embeddings, the better one by validation macro F1; epochs and patience are the operator's."""
     classes = [str(k) for k in range(10)]
     rows = _t(spark, d, "embeddings").select("vec_id", "embedding", F.col("label").cast("string").alias("label"))
     x, y, w = training.collect(rows.where("vec_id % 5 <> 0"), "embedding", "label", "vec_id", classes)
     xv, yv, _ = training.collect(rows.where("vec_id % 5 = 0"), "embedding", "label", "vec_id", classes)
     reports = []
-    for name, hidden in (("small", (16,)), ("large", (32, 16))):
-        _, scores = training.train(x, y, w, xv, yv, classes, hidden, epochs=6, patience=3)
+    for name, hidden in (("small", (32,)), ("large", (128, 64))):
+        _, scores = training.train(x, y, w, xv, yv, classes, hidden)
         reports.append({"name": name, "macro_f1": round(max(scores), 6), "epochs": len(scores)})
     chosen = training.choose(reports, ["macro_f1"])["name"]
     return spark.createDataFrame([(r["name"], r["macro_f1"], r["epochs"], r["name"] == chosen) for r in reports], "name string, macro_f1 double, epochs int, chosen boolean")
@@ -820,38 +833,41 @@ def frame_rate(spark, d):
     return temporal.frame_rate(_events(spark, d), "user_id", F.col("ts"), "1 day").select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "frames")
 
 
-def _streamed(spark: SparkSession, d: str, machine: machines.Machine, schema: str, source: DataFrame) -> DataFrame:
-    """Runs a machine over the rows as a stream and returns the written table; state and output go to the checkpoint folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="stream-")
-    at = f"{base}/stream-{abs(hash((d, schema, id(machine))))}-{spark.sparkContext.applicationId}"
-    source.write.mode("overwrite").parquet(f"{at}/in")
-    stream = stateful.read_frames(spark, f"{at}/in", source.schema)
-    stateful.run_available(stateful.run_machine(stream, ["user_id"], "ts", machine, schema), f"{at}/out", f"{at}/state")
+def _streamed(spark: SparkSession, d: str, machine: machines.Machine, schema: str, source: DataFrame, parts: int = 3) -> DataFrame:
+    """Runs a machine over the rows as a stream of micro-batches and returns the written table.
+
+    The rows are cut into ``parts`` of equal time, a file each; two files come, the
+    query stops with its state stored, and a second query takes the rest up from
+    there. Input, output and state lie in a folder of this call's own.
+    """
+    at = f"{shared_dir(spark)}/stream-{uuid4().hex}"
+    ends = source.agg(F.min("ms").alias("a"), F.max("ms").alias("b")).first()
+    width = ((ends["b"] or 0) - (ends["a"] or 0)) // parts + 1
+    for k in range(parts):
+        begin = (ends["a"] or 0) + k * width
+        source.where((F.col("ms") >= begin) & (F.col("ms") < begin + width)).coalesce(1).write.mode("append").parquet(f"{at}/in")
+        if k == 0 and parts > 1:
+            continue
+        stream = stateful.read_frames(spark, f"{at}/in", source.schema, files_per_batch=1)
+        stateful.run_available(stateful.run_machine(stream, ["user_id"], "ts", machine, schema, idle_ms=10 * 365 * 86_400_000), f"{at}/out", f"{at}/state")
     return spark.read.parquet(f"{at}/out")
 
 
 @query(SQL["sliding_majority"])
 def stream_majority(spark, d):
-    """O-113, O-117, O-118 as a stream."""
-    rows = _events(spark, d).where("confidence is not null")
+    """O-113, O-117, O-118 as a stream that stops and goes on."""
+    rows = _events(spark, d)
     found = _streamed(spark, d, machines.majority(48 * HOUR, 3, 0.5), "event_id long, user_id long, stable_label string, stable_confidence double", rows)
     return found.select("event_id", "user_id", "stable_label", F.bround("stable_confidence", 6).alias("stable_confidence"))
 
 
 @query(SQL["commit_latch"])
 def stream_latch(spark, d):
-    """O-114 as a stream over stable labels."""
+    """O-114 as a stream over stable labels that stops and goes on."""
     found = _streamed(spark, d, machines.latch(24 * HOUR), "event_id long, user_id long, commit string", _stable(spark, d).select("event_id", "user_id", "ts", "ms", "stable_label"))
     return found.select("event_id", "user_id", F.col("commit").alias("label"))
 
 
-@query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 3 = 0)")
-def incremental_resume(spark, d):
-    """O-119 in batch."""
-    items = _t(spark, d, "orders").select("o_orderkey")
-    return stateful.pending(items, items.where("o_orderkey % 3 = 0"), "o_orderkey")
-
-
 @query("SELECT r_name AS mode, l.letter, CASE WHEN l.letter IN ('J', 'Z') THEN 'dynamic' ELSE 'static' END AS form, CAST(ascii(l.letter) * 100 AS BIGINT) AS candidate FROM region, (SELECT unnest(string_split('A B C J Z', ' ')) AS letter) l")
 def letter_coverage(spark, d):
     """O-92, O-140."""

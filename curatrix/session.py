@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(master: str = "local[*]", partitions: int = 8, **conf: str) -> SparkSession:
@@ -34,3 +35,22 @@ def ship(spark: SparkSession) -> None:
     paths = environment.get("PYTHONPATH", "").split(":")
     if root not in paths:
         environment["PYTHONPATH"] = ":".join([root, *filter(None, paths)])
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The checkpoint folder of the session; one is made only in local mode."""
+    context = spark.sparkContext
+    at = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if at is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        at = tempfile.mkdtemp(prefix="checkpoints-")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(at)
+    return at
+
+
+def durable(frame: DataFrame) -> DataFrame:
+    """Write ``frame`` to the shared checkpoint folder and cut its lineage there."""
+    shared_dir(frame.sparkSession)
+    return frame.checkpoint(eager=True)

@@ -11,6 +11,7 @@ import zlib
 from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,13 +32,23 @@ def scan(spark: SparkSession, root: str, content: bool = False) -> DataFrame:
 
 
 def image_facts(data: bytes | None) -> tuple[int, int, str]:
-    """(width, height, mode) of PNG, baseline or progressive JPEG, WEBP headers, or of anything Pillow reads; else ValueError."""
+    """(width, height, mode) of PNG (all of whose chunks are checked), JPEG headers, or of anything Pillow verifies; else ValueError."""
     if not data:
         raise ValueError("empty file")
     if data[:8] == b"\x89PNG\r\n\x1a\n" and len(data) >= 33:
         width, height, _, kind = struct.unpack(">IIBB", data[16:26])
-        if zlib.crc32(data[12:29]) != int.from_bytes(data[29:33], "big"):
-            raise ValueError("broken header")
+        body, at, ended = zlib.decompressobj(), 8, False
+        while at + 12 <= len(data) and not ended:
+            size, name = struct.unpack(">I4s", data[at : at + 8])
+            part = data[at + 4 : at + 8 + size]
+            if len(part) < size + 4 or zlib.crc32(part) != int.from_bytes(data[at + 8 + size : at + 12 + size], "big"):
+                raise ValueError(f"broken chunk {name.decode('latin-1')}")
+            if name == b"IDAT":
+                body.decompress(part[4:])
+            ended = name == b"IEND"
+            at += 12 + size
+        if not ended or not body.eof:
+            raise ValueError("truncated file")
         return width, height, {0: "L", 2: "RGB", 3: "P", 4: "LA", 6: "RGBA"}.get(kind, "?")
     if data[:2] == b"\xff\xd8":
         at = 2
@@ -77,6 +88,43 @@ def inspect_images(files: DataFrame) -> DataFrame:
     return seen.select("path", "length", "dimensions", "mode", F.when(F.col("error").isNull(), F.col("digest")).alias("sha256"), "error")
 
 
+def render_png(pixels: np.ndarray, side: int = 640) -> bytes:
+    """O-13: an RGB picture (height, width, 3) fitted into a square on black, as PNG bytes."""
+    height, width = pixels.shape[:2]
+    scale = side / max(height, width)
+    rows = np.minimum((np.arange(max(1, round(height * scale))) / scale).astype(int), height - 1)
+    columns = np.minimum((np.arange(max(1, round(width * scale))) / scale).astype(int), width - 1)
+    square = np.zeros((side, side, 3), dtype=np.uint8)
+    top, left = (side - len(rows)) // 2, (side - len(columns)) // 2
+    square[top : top + len(rows), left : left + len(columns)] = pixels[rows][:, columns]
+    lines = np.concatenate([np.zeros((side, 1), dtype=np.uint8), square.reshape(side, -1)], axis=1)
+    chunk = lambda name, data: struct.pack(">I", len(data)) + name + data + struct.pack(">I", zlib.crc32(name + data))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", side, side, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines.tobytes(), 6)) + chunk(b"IEND", b"")
+
+
+def write_files(df: DataFrame, root: str) -> DataFrame:
+    """O-13: writes each row's ``content`` to ``root``/``name``, a folder that all executors can open; (name, length) of what was written.
+
+    A file is written beside its place and renamed, so a task that is run again
+    leaves whole files only. Call an action once; every run writes.
+    """
+
+    base = root.removeprefix("file://").removeprefix("file:")
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for name, content in zip(part["name"], part["content"], strict=True):
+                target = Path(base) / name
+                target.parent.mkdir(parents=True, exist_ok=True)
+                handle, beside = tempfile.mkstemp(dir=target.parent, prefix=f".{target.name}.")
+                with os.fdopen(handle, "wb") as out:
+                    out.write(content)
+                os.replace(beside, target)
+            yield pd.DataFrame({"name": part["name"], "length": part["content"].map(len)})
+
+    return df.select("name", "content").mapInPandas(run, "name string, length long")
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType = schemas.MANIFEST) -> DataFrame:
     """O-05: CSV with a header and an explicit schema; a row that does not fit is an error."""
     return spark.read.schema(schema).option("header", "true").option("mode", "FAILFAST").option("enforceSchema", "false").csv(path)

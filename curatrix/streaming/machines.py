@@ -6,11 +6,29 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Any
 
+import numpy as np
+
+Columns = dict[str, np.ndarray]
+
 
 @dataclass(frozen=True)
 class Machine:
+    """``step`` takes one row; ``fold`` a run of rows as arrays, and gives the places of those with a result."""
+
     start: Callable[[], Any]
     step: Callable[[Any, dict], tuple[Any, dict | None]]
+    fold: Callable[[Any, Columns], tuple[Any, np.ndarray, Columns]] | None = None
+
+    def run(self, state: Any, columns: Columns) -> tuple[Any, np.ndarray, Columns]:
+        if self.fold is not None:
+            return self.fold(state, columns)
+        at, out = [], []
+        for k, row in enumerate(zip(*(c.tolist() for c in columns.values()), strict=True)):
+            state, result = self.step(state, dict(zip(columns, row, strict=True)))
+            if result is not None:
+                at.append(k)
+                out.append(result)
+        return state, np.array(at, dtype=np.int64), {name: np.array([r[name] for r in out]) for name in (out[0] if out else ())}
 
 
 def throttle(gap: int, ms: str = "ms", last: int = 0) -> Machine:
@@ -19,7 +37,16 @@ def throttle(gap: int, ms: str = "ms", last: int = 0) -> Machine:
     def step(state: int, row: dict) -> tuple[int, dict | None]:
         return (state, None) if row[ms] - state < gap else (row[ms], {})
 
-    return Machine(lambda: last, step)
+    def fold(state: int, columns: Columns) -> tuple[int, np.ndarray, Columns]:
+        t, at = columns[ms], []
+        k = int(np.searchsorted(t, state + gap))
+        while k < len(t):  # one turn for each row that passes
+            at.append(k)
+            state = int(t[k])
+            k = int(np.searchsorted(t, state + gap))
+        return state, np.array(at, dtype=np.int64), {}
+
+    return Machine(lambda: last, step, fold)
 
 
 def clock(ms: str = "ms") -> Machine:
@@ -49,7 +76,29 @@ def majority(window: int = 420, least: int = 5, ratio: float = 0.64, ms: str = "
         stable = winner != "UNKNOWN" and len(votes[winner]) / len(kept) >= ratio
         return kept, {"stable_label": winner if stable else "UNKNOWN", "stable_confidence": mean}
 
-    return Machine(tuple, step)
+    def fold(state: tuple, columns: Columns) -> tuple[tuple, np.ndarray, Columns]:
+        old = len(state)
+        t = np.concatenate([np.array([s[0] for s in state], dtype=columns[ms].dtype), columns[ms]])
+        names, code = np.unique(np.array([*(s[1] for s in state), *columns[label].tolist()], dtype=object).astype(str), return_inverse=True)
+        c = np.concatenate([np.array([s[2] for s in state], dtype=np.float64), columns[confidence].astype(np.float64)])
+        begin, end = np.searchsorted(t, t - window), np.arange(1, len(t) + 1)
+        best, most, first, mean = np.zeros(len(t), dtype=np.int64), np.zeros(len(t), dtype=np.int64), np.full(len(t), len(t)), np.zeros(len(t))
+        for k in range(len(names)):  # running counts of each label, and their differences over the window
+            own = code == k
+            seen, total = np.concatenate([[0], np.cumsum(own)]), np.concatenate([[0.0], np.cumsum(np.where(own, c, 0.0))])
+            n = seen[end] - seen[begin]
+            places = np.append(np.flatnonzero(own), len(t))
+            since = places[np.searchsorted(places, begin)]
+            win = (n > most) | ((n == most) & (n > 0) & (since < first))
+            best, most, first = np.where(win, k, best), np.where(win, n, most), np.where(win, since, first)
+            mean = np.where(win, (total[end] - total[begin]) / np.maximum(n, 1), mean)
+        size = end - begin
+        stable = (size >= least) & (names[best] != "UNKNOWN") & (most / size >= ratio)
+        out = {"stable_label": np.where(stable, names[best], "UNKNOWN")[old:], "stable_confidence": np.where(size < least, 0.0, mean)[old:]}
+        kept = t >= (t[-1] - window if len(t) else 0)
+        return tuple(zip(t[kept].tolist(), names[code[kept]].tolist(), c[kept].tolist(), strict=True)), np.arange(len(columns[ms])), out
+
+    return Machine(tuple, step, fold)
 
 
 def latch(release: int = 300, ms: str = "ms", label: str = "stable_label") -> Machine:
@@ -83,4 +132,26 @@ def hold(target: str, gain: int = 10, loss: int = 25, least: float = 0.7, full:
             progress, done = 0, done + 1
         return (progress, done, now), {"progress": shown, "completed": done}
 
-    return Machine(lambda: (0, 0, None), step)
+    def fold(state: tuple, columns: Columns) -> tuple[tuple, np.ndarray, Columns]:
+        progress, done, seen = state
+        name, sure = columns[label], columns[confidence]
+        n = len(name)
+        if not n:
+            return state, np.empty(0, dtype=np.int64), {}
+        changed = np.ones(n, dtype=bool)
+        changed[1:] = (name[1:] != name[:-1]) | (sure[1:] != sure[:-1])
+        changed[0] = seen is None or (name[0], float(sure[0])) != tuple(seen)
+        moved = np.where(name == target, np.where(sure >= least, gain, 0), -loss) * changed
+        shown, ends = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+        at, before = np.flatnonzero(moved), 0
+        for k, by in zip(at.tolist(), moved[at].tolist(), strict=True):  # one turn for each row that moves it
+            shown[before:k], ends[before:k] = progress, done
+            progress = min(full, max(0, progress + by))
+            shown[k] = progress
+            if progress >= full:
+                progress, done = 0, done + 1
+            ends[k], before = done, k + 1
+        shown[before:], ends[before:] = progress, done
+        return (progress, done, (name[-1], float(sure[-1]))), np.arange(n), {"progress": shown, "completed": ends}
+
+    return Machine(lambda: (0, 0, None), step, fold)

@@ -45,15 +45,11 @@ def run_machine(stream: DataFrame, keys: Sequence[str], time: str, machine: Mach
             return
         now = _tuples(json.loads(state.get[0])) if state.exists else machine.start()
         rows = pd.concat(list(parts)).sort_values(order or time)
-        out = []
-        for row in rows.to_dict("records"):
-            now, result = machine.step(now, row)
-            if result is not None:
-                out.append(row | result)
-        state.update((json.dumps(now),))
+        now, at, found = machine.run(now, {c: rows[c].to_numpy() for c in rows.columns if c != time})
+        state.update((json.dumps(now, default=lambda x: x.item()),))
         last = int(rows[time].max().timestamp() * 1000)
         state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + idle_ms)
-        yield pd.DataFrame(out, columns=names)
+        yield rows.iloc[at].assign(**found)[[n for n in names if n in rows.columns or n in found]].reindex(columns=names)
 
     grouped = stream.withWatermark(time, lateness).groupBy(*keys)
     return grouped.applyInPandasWithState(step, schema, "state string", "append", GroupStateTimeout.EventTimeTimeout)

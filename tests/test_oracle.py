@@ -8,6 +8,7 @@ FOLDER = "/root/testdata/sf0.001"
 
 
 def _names():
+    from curatrix.plans import stored  # noqa: F401  adds its queries
     from curatrix.plans.queries import QUERIES
 
     return sorted(QUERIES)

@@ -185,17 +185,16 @@ def test_detectors_degrade(spark):
 
 def test_files(spark, tmp_path):
     (tmp_path / "in/x").mkdir(parents=True)
-    png = b"\x89PNG\r\n\x1a\n" + b"\0\0\0\rIHDR" + (3).to_bytes(4, "big") + (2).to_bytes(4, "big") + b"\x08\x02\0\0\0"
-    import zlib
-
-    png += zlib.crc32(png[12:]).to_bytes(4, "big")
+    png = files.render_png(np.full((2, 3, 3), 200, dtype=np.uint8), 3)
+    (tmp_path / "in/x/cut.png").write_bytes(png[:-12])
     (tmp_path / "in/x/a.PNG").write_bytes(png)
     (tmp_path / "in/x/b.jpg").write_bytes(b"junk")
     (tmp_path / "in/readme").write_bytes(b"x")
     found = files.scan(spark, str(tmp_path / "in"), content=True)
     assert {r["extension"] for r in found.collect()} == {".png", ".jpg", "[none]"}
     seen = {r["path"].rsplit("/", 1)[1]: r for r in files.inspect_images(found.where("is_image")).collect()}
-    assert seen["a.PNG"]["dimensions"] == "3x2" and seen["a.PNG"]["sha256"] and seen["b.jpg"]["sha256"] is None and seen["b.jpg"]["error"]
+    assert seen["a.PNG"]["dimensions"] == "3x3" and seen["a.PNG"]["sha256"] and seen["b.jpg"]["sha256"] is None and seen["b.jpg"]["error"]
+    assert seen["cut.png"]["sha256"] is None and seen["cut.png"]["error"] == "ValueError: truncated file"
     with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
         files.scan(spark, str(tmp_path / "none")).collect()
     files.write_json_atomic({"b": 1}, str(tmp_path / "s.json"))
@@ -275,3 +274,44 @@ def test_stream_resumes(spark, tmp_path):
     rows.where("event_id >= 3").write.mode("append").parquet(at("in"))
     assert run() == [0, 2, 4]
     assert run() == [0, 2, 4]
+
+
+def test_feature_builder_refuses_bad_input(spark):
+    point = "array_repeat(named_struct('x', 0D, 'y', 0D, 'z', 0D), 21)"
+    rows = spark.range(1).selectExpr(f"array({point}) p", "array('Right', 'Left') h", "array(0.9D) s", f"array(named_struct('points', {point}, 'handedness', 'Right', 'score', 0.9D)) hands", "3 expected")
+    with pytest.raises(Exception, match="differ in length"):
+        rows.select(pose.hands_of(F.col("p"), F.col("h"), F.col("s"))).collect()
+    with pytest.raises(Exception, match="have to be 0, 1 or 2, not 3"):
+        pose.add_features(rows).collect()
+    with pytest.raises(Exception, match="not null"):
+        pose.add_features(rows.withColumn("expected", F.lit(None).cast("int"))).collect()
+
+
+def test_folds_are_their_steps():
+    """The array form of every machine against its step form, in one run and cut into pieces."""
+    rng = random.Random(5)
+    rows, t = [], 0
+    for _ in range(400):
+        t += rng.choice([1, 5, 40, 41, 42, 200])
+        rows.append({"ms": t, "label": rng.choice(["A", "B", "UNKNOWN"]), "confidence": rng.choice([0.2, 0.7, 0.9])})
+    for machine in (machines.throttle(42), machines.majority(420, 3, 0.6), machines.hold("A")):
+        state, want = machine.start(), []
+        for k, row in enumerate(rows):
+            state, out = machine.step(state, row)
+            if out is not None:
+                want.append((k, tuple(out.values())))
+        for cuts in ([0, 400], [0, 1, 7, 200, 200, 399, 400]):
+            state, got = machine.start(), []
+            for a, b in zip(cuts, cuts[1:]):
+                columns = {c: np.array([r[c] for r in rows[a:b]], dtype=object if c == "label" else None) for c in rows[0]}
+                state, at, out = machine.run(state, columns)
+                got += [(int(k) + a, tuple(v[i] for v in out.values())) for i, k in enumerate(at)]
+            assert [k for k, _ in got] == [k for k, _ in want]
+            for (_, x), (_, y) in zip(got, want):
+                assert all(u == v if isinstance(v, str) else abs(u - v) < 1e-9 for u, v in zip(x, y))
+
+
+def test_first_seen_without_a_key(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "a"), (3, None), (4, None), (5, "b")], "doc long, h string")
+    kept, out = curation.first_seen(df, "h", [F.col("doc")])
+    assert sorted(r["doc"] for r in kept.collect()) == [1, 3, 4, 5] and [r["doc"] for r in out.collect()] == [2]
