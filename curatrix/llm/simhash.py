@@ -177,9 +177,11 @@ def links(distinct: DataFrame, budget: int = 4, blocks: int = 6) -> DataFrame:
         return fp[member], fp[root[member]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        whole: list[np.ndarray] = []  # rows of nodes that have ended
+        last: list[np.ndarray] = []  # rows of the node that may go on in the next batch
 
-        def flush(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def flush() -> Iterator[pa.RecordBatch]:
+            rows = np.concatenate(whole, axis=1)
             for trie in np.unique(rows[0]):
                 part = rows[1:, rows[0] == trie]
                 u, v = node_links(int(trie), part[0], part[1])
@@ -189,16 +191,19 @@ def links(distinct: DataFrame, budget: int = 4, blocks: int = 6) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            held.append(np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]))
-            if sum(h.shape[1] for h in held) >= CHUNK:
-                rows = np.concatenate(held, axis=1)
-                last = (rows[0] == rows[0, -1]) & (rows[1] == rows[1, -1])
-                cut = int(np.argmax(last))  # the last node may go on in the next batch
-                held = [rows[:, cut:]]
-                if cut:
-                    yield from flush(rows[:, :cut])
-        if held:
-            yield from flush(np.concatenate(held, axis=1))
+            rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])
+            cut = int(np.argmax((rows[:2] == rows[:2, -1:]).all(axis=0)))
+            if last and (cut or (rows[:2, 0] != last[0][:2, 0]).any()):
+                whole, last = [*whole, *last], []
+            if cut:
+                whole.append(rows[:, :cut])
+            last.append(rows[:, cut:])
+            if sum(w.shape[1] for w in whole) >= CHUNK:
+                yield from flush()
+                whole = []
+        whole += last
+        if whole:
+            yield from flush()
 
     every = F.array(*(F.struct(F.lit(k).alias("trie"), F.col("fp").bitwiseAND(F.lit(_signed(mask))).alias("key")) for k, (mask, _) in enumerate(tries)))
     placed = distinct.select("fp", F.explode(every).alias("at")).select("at.trie", "at.key", "fp")
