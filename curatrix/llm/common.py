@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Iterable, Iterator
 
@@ -36,6 +37,12 @@ def durable(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
+def hinted(frame: DataFrame, most: int = 200_000) -> DataFrame:
+    """A frame of narrow rows, written and counted: with a broadcast hint at ``most`` rows or fewer, without one beyond."""
+    kept = durable(frame)
+    return F.broadcast(kept) if kept.count() <= most else kept
+
+
 def fresh(frame: DataFrame, name: str) -> str:
     """A column name that ``frame`` does not have yet, whatever the case of its names."""
     taken = {c.lower() for c in frame.columns}
@@ -54,8 +61,16 @@ def id_crc(name: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(name).cast("string"), F.lit("")))
 
 
-def slices(batches: Iterable[pa.RecordBatch], max_bytes: int = 4_000_000, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cut batches so that each holds about ``max_bytes`` of the text column (one row at least)."""
+def give_back() -> None:
+    """Lets the allocator return free memory, so a worker that waits for its next task is small. Elsewhere than on glibc nothing happens."""
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
+def slices(batches: Iterable[pa.RecordBatch], max_bytes: int = 2_000_000, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """Cut batches so that each holds about ``max_bytes`` of the text column (one row at least); free memory goes back at the end."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -63,6 +78,7 @@ def slices(batches: Iterable[pa.RecordBatch], max_bytes: int = 4_000_000, column
         step = max(1, max_bytes // per_row)
         for at in range(0, batch.num_rows, step):
             yield batch.slice(at, step)
+    give_back()
 
 
 def hash_sample(ids: DataFrame, most: int, column: str = "_id") -> DataFrame:
