@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curatrix.functions.text import block_id, digest, range_split
+from curatrix.operators.metrics import declared
 
 #: Reasons under which a row has all its hands.
 COMPLETE = ("ok", "hard_negative")
@@ -166,7 +167,7 @@ def violations(df: DataFrame, labels: DataFrame) -> DataFrame:
     want, have = labels.select("label").distinct(), df.select("label").distinct()
     told = lambda frame, rule, subject: frame.select(F.lit(rule).alias("rule"), subject.cast("string").alias("subject"))
     leaked = lambda key: df.groupBy(key).agg(F.count_distinct("split").alias("n")).where("n > 1")
-    cells = df.select("split").distinct().join(want, how="cross")  # splits x labels: both are a handful
+    cells = df.select("split").distinct().select("split", F.explode(declared(labels)).alias("label"))
     found = [
         told(df.agg(F.count("*").alias("n")).where("n = 0"), "empty", F.lit("manifest")),
         told(want.exceptAll(have), "label_missing", F.col("label")),

@@ -72,6 +72,18 @@ def cell_weights(df: DataFrame, source: str, label: str, partial: Column) -> Dat
     return rows.join(cells, [source, label]).withColumn("weight", F.col("_half") / F.col("_n") / F.col("_mean")).drop("_half", "_n", "_mean")
 
 
+#: Most declared classes; they are a dimension, and every task is sent them.
+MOST_CLASSES = 10_000
+
+
+def declared(classes: DataFrame) -> Column:
+    """The declared classes (column label) as an array; too many are an error."""
+    names = sorted(r["label"] for r in classes.select("label").distinct().limit(MOST_CLASSES + 1).collect())
+    if len(names) > MOST_CLASSES:
+        raise ValueError(f"more than {MOST_CLASSES} classes")
+    return F.array(*map(F.lit, names)).cast("array<string>")
+
+
 def class_metrics(counts: DataFrame, classes: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """O-67: (by.., class, tp, fp, fn, precision, recall, f1, support) from counts (by.., label, pred, n); 0 over nothing.
 
@@ -84,9 +96,7 @@ def class_metrics(counts: DataFrame, classes: DataFrame, by: Sequence[str] = ())
         F.sum(F.when(F.expr("not hit and e.is_label = 0"), F.col("n")).otherwise(0)).alias("fp"),
         F.sum(F.when(F.expr("not hit and e.is_label = 1"), F.col("n")).otherwise(0)).alias("fn"),
     )
-    frame = classes.select(F.col("label").alias("class"))
-    if by:
-        frame = counts.select(*by).distinct().join(F.broadcast(frame), how="cross")  # slices x declared classes
+    frame = counts.select(*by).distinct().select(*by, F.explode(declared(classes)).alias("class")) if by else classes.select(F.col("label").alias("class"))
     full = frame.join(sums, [*by, "class"], "left").fillna(0, ["tp", "fp", "fn"])
     zero = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
