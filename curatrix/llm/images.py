@@ -32,20 +32,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curatrix.llm.common import durable, table
+from curatrix.llm.common import durable, hinted, table
 
-BITS = 320
-TABLES = 5
-RADIUS = 7
+BITS = 336
+TABLES = 6
+RADIUS = 9
 CELL = 8
 #: Scales at which queries are described (classes: 1 alone), and turns of their patches about the measured one.
-QUERY_SCALES = (1.33, 1.15, 1.07, 1.0, 0.93, 0.87, 0.81, 0.76)
-QUERY_TURNS = (-0.2, -0.1, 0.0, 0.1, 0.2)
+QUERY_SCALES = (1.33, 1.15, 1.0, 0.93, 0.87, 0.81, 0.76)
+QUERY_TURNS = (-0.15, 0.0, 0.15)
 #: Scales of a query whose descriptors are matched with a candidate's.
 MATCH_SCALES = (1.33, 1.0, 0.81)
 SIDE = 72
+#: Longer side, in pixels, at which a picture is described at most; a larger one is made smaller first.
+LARGEST = 512
+#: Pairs of matches that propose a transform at most, spread evenly over all; all matches vote.
+PROPOSALS = 20_000
 #: Least bits of either kind in a band that makes a key.
-PLAIN = 12
+PLAIN = 11
 
 _rng = np.random.default_rng(3)
 #: Point pairs of the binary tests, normal around the patch's centre.
@@ -193,7 +197,8 @@ def corners(image: np.ndarray) -> np.ndarray:
 def describe(image: np.ndarray, scales: tuple[float, ...] = (1.0,), turns: tuple[float, ...] = (0.0,)) -> tuple[np.ndarray, np.ndarray]:
     """Places (row, column in the image's own pixels) and packed bits of all descriptors."""
     places, bits = [], []
-    for scale in scales:
+    fit = min(1.0, LARGEST / max(image.shape))
+    for scale in (fit * s for s in scales):
         height, width = round(image.shape[0] * scale), round(image.shape[1] * scale)
         if min(height, width) <= 2 * RADIUS + 1:
             continue
@@ -223,20 +228,25 @@ def consensus(q: np.ndarray, t: np.ndarray, tolerance: float = 2.5, apart: float
     """(agreeing matches, a, b) of target = a * query + b, places being column + row * i.
 
     a turns and scales. Every two matches at least ``apart`` from each other propose
-    it; all matches vote, and a query place (to a pixel) counts once.
+    it (of more than ``PROPOSALS`` pairs, as many, evenly spread); all matches
+    vote, and a query place (to a pixel) counts once.
     """
     zq, zt = q[:, 1] + 1j * q[:, 0], t[:, 1] + 1j * t[:, 0]
     i, j = np.nonzero(np.triu(np.abs(zq[:, None] - zq[None, :]) >= apart, 1))
     if not len(i):
         return 0, 1 + 0j, 0j
+    if len(i) > PROPOSALS:
+        spread = np.linspace(0, len(i) - 1, PROPOSALS).astype(int)
+        i, j = i[spread], j[spread]
     a = (zt[j] - zt[i]) / (zq[j] - zq[i])
     good = (np.abs(a) >= 0.4) & (np.abs(a) <= 2.5)
     a, i = a[good], i[good]
     b = zt[i] - a * zq[i]
     pixel = np.unique(np.rint(q).astype(int), axis=0, return_inverse=True)[1].ravel()
     best = (0, 1 + 0j, 0j)
-    for at in range(0, len(a), 4096):
-        near = np.abs(a[at : at + 4096, None] * zq + b[at : at + 4096, None] - zt) <= tolerance
+    step = max(1, 2_000_000 // len(zq))
+    for at in range(0, len(a), step):
+        near = np.abs(a[at : at + step, None] * zq + b[at : at + step, None] - zt) <= tolerance
         votes = near.sum(axis=1)
         for k in np.argsort(-votes, kind="stable")[:20].tolist():
             if votes[k] <= best[0]:
@@ -247,30 +257,19 @@ def consensus(q: np.ndarray, t: np.ndarray, tolerance: float = 2.5, apart: float
     return best
 
 
-def classes(images: DataFrame, id_col: str = "media_id", image_col: str = "image") -> DataFrame:
-    """(media_id, digest, image): pictures with the same pixels have the same digest.
+def digest_of(data: bytes | None, image: np.ndarray | None, media: int) -> bytes:
+    """Of a picture's pixels; of its bytes where it cannot be read, and of its id where there are none."""
+    own = b"pixels %d %d " % image.shape + np.rint(image).astype("<u1").tobytes() if image is not None else b"bytes " + data if data else b"id %d" % media
+    return hashlib.sha256(own).digest()
 
-    A picture that cannot be read has the digest of its bytes, or, where there are
-    none, of its id, so it is alone. Null ids are left out.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                digests = []
-                for media, data in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    image = decode(data)
-                    own = b"pixels %d %d " % image.shape + np.rint(image).astype("<u1").tobytes() if image is not None else b"bytes " + data if data else b"id %d" % media
-                    digests.append(hashlib.sha256(own).digest())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digests, pa.binary()), part.column(1)], names=["media_id", "digest", "image"])
-
-    rows = images.select(F.col(id_col).cast("long").alias("media_id"), F.col(image_col).cast("binary").alias("image")).where(F.col("media_id").isNotNull())
-    return rows.mapInArrow(run, "media_id long, digest binary, image binary")
 
+def descriptors(images: DataFrame, scales: tuple[float, ...] = (1.0,), turns: tuple[float, ...] = (0.0,), id_col: str = "media_id", image_col: str = "image") -> DataFrame:
+    """(media_id, digest, places, bits) for every picture; places are float32 (row, column), end to end like the bits.
 
-def descriptors(images: DataFrame, scales: tuple[float, ...] = (1.0,), turns: tuple[float, ...] = (0.0,)) -> DataFrame:
-    """(media_id, places, bits): a row for each picture with corners; places are float32 (row, column), end to end like the bits."""
+    Pictures with the same pixels have the same digest; one that cannot be read
+    has that of its bytes, or, where there are none, of its id, so it is alone.
+    Both lists are empty where there are no corners. Null ids are left out.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -279,15 +278,13 @@ def descriptors(images: DataFrame, scales: tuple[float, ...] = (1.0,), turns: tu
                 rows = []
                 for media, data in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     image = decode(data)
-                    if image is None:
-                        continue
-                    p, b = describe(image, scales, turns)
-                    if len(p):
-                        rows.append((media, p.astype("<f4").tobytes(), b.tobytes()))
-                columns = list(zip(*rows, strict=True)) or [[]] * 3
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["media_id", "places", "bits"])
+                    p, b = describe(image, scales, turns) if image is not None else (np.empty(0), np.empty(0, np.uint8))
+                    rows.append((media, digest_of(data, image, media), p.astype("<f4").tobytes(), b.tobytes()))
+                columns = list(zip(*rows, strict=True)) or [[]] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["media_id", "digest", "places", "bits"])
 
-    return images.select("media_id", "image").mapInArrow(run, "media_id long, places binary, bits binary")
+    rows = images.select(F.col(id_col).cast("long").alias("media_id"), F.col(image_col).cast("binary").alias("image")).where(F.col("media_id").isNotNull())
+    return rows.mapInArrow(run, "media_id long, digest binary, places binary, bits binary")
 
 
 def table_keys(found: DataFrame) -> DataFrame:
@@ -296,19 +293,21 @@ def table_keys(found: DataFrame) -> DataFrame:
     A band with fewer than ``PLAIN`` bits set, or unset, comes from a plain patch,
     tells nothing of a picture, and makes no key.
     """
-    width = BITS // TABLES // 64
+    width = BITS // TABLES // 8
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = []
             for data in batch.column(1).to_pylist():
-                words = np.frombuffer(data, dtype="<u8").reshape(-1, TABLES, width)
-                ones = np.bitwise_count(words).sum(axis=2)
-                mixed = np.zeros(words.shape[:2], dtype=np.uint64)
-                for k in range(width):
-                    mixed = (mixed ^ words[:, :, k] ^ np.arange(1, TABLES + 1, dtype=np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-                    mixed ^= mixed >> np.uint64(32)
-                keys.append(np.unique(mixed[(ones >= PLAIN) & (ones <= 64 * width - PLAIN)]).view(np.int64))
+                band = np.frombuffer(data, dtype=np.uint8).reshape(-1, TABLES, width)
+                ones = np.bitwise_count(band).sum(axis=2)
+                mixed = np.broadcast_to(np.arange(1, TABLES + 1, dtype=np.uint64), ones.shape)
+                for at in range(0, width, 8):
+                    part = np.zeros((*ones.shape, 8), dtype=np.uint8)
+                    part[:, :, : min(8, width - at)] = band[:, :, at : at + 8]
+                    mixed = (mixed ^ part.view("<u8")[:, :, 0]) * np.uint64(0x9E3779B97F4A7C15)
+                    mixed = mixed ^ (mixed >> np.uint64(32))
+                keys.append(np.unique(mixed[(ones >= PLAIN) & (ones <= 8 * width - PLAIN)]).view(np.int64))
             sizes = np.array([len(k) for k in keys], dtype=np.int64)
             media = np.repeat(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), sizes)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *keys])), pa.array(media)], names=["key", "media_id"])
@@ -316,7 +315,7 @@ def table_keys(found: DataFrame) -> DataFrame:
     return found.select("media_id", "bits").mapInArrow(run, "key long, media_id long")
 
 
-def copies(views: DataFrame, queries: DataFrame, found: DataFrame, max_bits: int = 64, votes: int = 2, least: int = 6) -> DataFrame:
+def copies(views: DataFrame, queries: DataFrame, found: DataFrame, max_bits: int = 67, votes: int = 2, least: int = 6) -> DataFrame:
     """(query_id, media_id, matches, scale, turn, dy, dx) for pairs of a query and another picture that are copies.
 
     ``views`` are the queries' descriptor rows at many scales and turns, which make
@@ -325,19 +324,21 @@ def copies(views: DataFrame, queries: DataFrame, found: DataFrame, max_bits: int
     """
     asked = table_keys(views).withColumnRenamed("media_id", "query_id")
     met = table_keys(found).join(asked, "key")
-    pairs = met.groupBy("query_id", "media_id").agg(F.count("*").alias("votes")).where(F.col("votes") >= votes).select("query_id", "media_id")
-    pairs = pairs.join(queries.select(F.col("media_id").alias("query_id"), F.col("places").alias("q_places"), F.col("bits").alias("q_bits")), "query_id").join(found, "media_id")
+    pairs = met.groupBy("query_id", "media_id").agg(F.count_distinct("key").alias("votes")).where(F.col("votes") >= votes).select("query_id", "media_id")
+    pairs = found.select("media_id", "places", "bits").join(hinted(pairs), "media_id").join(queries.select(F.col("media_id").alias("query_id"), F.col("places").alias("q_places"), F.col("bits").alias("q_bits")), "query_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for query, media, q_places, q_bits, places, bits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 q, t = (np.frombuffer(x, dtype="<f4").reshape(-1, 2).astype(np.float64) for x in (q_places, places))
-                qb, tb = (np.frombuffer(x, dtype="<u8").reshape(-1, BITS // 64) for x in (q_bits, bits))
+                qb, tb = (np.frombuffer(x, dtype=np.uint8).reshape(-1, BITS // 8) for x in (q_bits, bits))
                 # each of the picture's descriptors takes the query's nearest, of any scale and turn
-                apart = np.stack([np.bitwise_count(qb ^ one).sum(axis=1) for one in tb])
-                nearest = apart.argmin(axis=1)
-                good = apart[np.arange(len(t)), nearest] <= max_bits
+                nearest, good = np.zeros(len(t), dtype=np.int64), np.zeros(len(t), dtype=bool)
+                for k, one in enumerate(tb):
+                    apart = np.bitwise_count(qb ^ one).sum(axis=1, dtype=np.int64)
+                    nearest[k] = apart.argmin()
+                    good[k] = apart[nearest[k]] <= max_bits
                 if good.sum() < least:
                     continue
                 n, a, b = consensus(q[nearest[good]], t[good])
@@ -350,26 +351,30 @@ def copies(views: DataFrame, queries: DataFrame, found: DataFrame, max_bits: int
     return pairs.select("query_id", "media_id", "q_places", "q_bits", "places", "bits").mapInArrow(run, "query_id long, media_id long, matches long, scale double, turn double, dy double, dx double")
 
 
-def search(images: DataFrame, queries: DataFrame, **params) -> DataFrame:
+def search(images: DataFrame, queries: DataFrame, id_col: str = "media_id", image_col: str = "image", **params) -> DataFrame:
     """(query_id, media_id, members, matches, scale, turn, dy, dx): classes of ``images`` that hold copies of each query.
 
-    Both have (media_id, image). ``media_id`` is the smallest id of the class and
-    ``members`` its number of pictures, which are not expanded (``classes`` tells
-    them); a class with the query's very pixels has null matches. Pictures without
-    corners, or that cannot be read, can only be found so. Ids that repeat among
-    queries are one query for each different picture, with that id.
+    Pictures with the same pixels are one class: ``media_id`` is its smallest id
+    and ``members`` its number of pictures, which are not expanded (the digests of
+    ``descriptors`` tell them). A class with the query's very pixels has null
+    matches; pictures without corners, or that cannot be read, can only be found
+    so. Ids that repeat among queries are one query for each different picture,
+    with that id; null ids are left out; other columns are not read.
     """
-    held = durable(classes(images))
-    group = held.groupBy("digest").agg(F.min("media_id").alias("media_id"), F.count("*").alias("members"))
-    one = held.groupBy("digest", "media_id").agg(F.min("image").alias("image")).join(group.select("digest", "media_id"), ["digest", "media_id"])
-    found = durable(descriptors(one))
-    asked = durable(classes(queries).dropDuplicates(["media_id", "digest"]).withColumn("row", F.xxhash64("media_id", "digest")))
-    pictures = asked.select(F.col("row").alias("media_id"), "image")
-    views, plain = durable(descriptors(pictures, QUERY_SCALES, QUERY_TURNS)), durable(descriptors(pictures, MATCH_SCALES))
-    ids = asked.select("row", F.col("media_id").alias("query_id"), "digest")
-    same = ids.join(group, "digest").select("query_id", "media_id", "members")
+    described = durable(descriptors(images, id_col=id_col, image_col=image_col))
+    group = described.groupBy("digest").agg(F.min("media_id").alias("media_id"), F.count("*").alias("members"))
+    again = described.select("digest", "media_id").join(group.select("digest", F.col("media_id").alias("first")), "digest").where("media_id <> first").select("digest", "media_id").distinct()
+    found = described.join(hinted(again), ["digest", "media_id"], "left_anti")
+    rows = queries.select(F.col(id_col).cast("long").alias("query_id"), F.col(image_col).cast("binary").alias("image")).where(F.col("query_id").isNotNull())
+    asked = durable(rows.withColumn("row", F.xxhash64("query_id", "image")).dropDuplicates(["row"]))
+    plain = durable(descriptors(asked, MATCH_SCALES, id_col="row"))
+    views = descriptors(asked, QUERY_SCALES, QUERY_TURNS, id_col="row")
+    ids = plain.select(F.col("media_id").alias("row"), "digest").join(asked.select("row", "query_id", "image"), "row")
+    # a query without any bytes has the digest of its own id
+    ids = ids.select("row", "query_id", F.when(F.coalesce(F.length("image"), F.lit(0)) == 0, F.unhex(F.sha2(F.concat(F.lit("id "), F.col("query_id").cast("string")).cast("binary"), 256))).otherwise(F.col("digest")).alias("digest"))
+    same = ids.join(group, "digest").select("query_id", "media_id", "members").distinct()
     near = copies(views, plain, found, **params).withColumnRenamed("query_id", "row").join(ids, "row").join(group.withColumnRenamed("digest", "own"), "media_id")
-    near = near.where(F.col("own") != F.col("digest")).select("query_id", "media_id", "members", "matches", "scale", "turn", "dy", "dx")
+    near = near.where(F.col("own") != F.col("digest")).select("query_id", "media_id", "members", "matches", "scale", "turn", "dy", "dx").dropDuplicates(["query_id", "media_id"])
     return near.unionByName(same, allowMissingColumns=True)
 
 
