@@ -40,11 +40,11 @@ CLASSES = 2048
 #: Classes that are the end or one word; the rest are buckets.
 WORD_CLASSES = 1536
 WIDTH = 32
-HEAD = 100_000
+HEAD = 200_000
 #: Distinct tokens that a task counts before it passes them on.
 FLUSH = 300_000
 #: Parts of the training texts, in sixteenths, after each of which the models are averaged.
-SHARES = (1, 1, 2, 4, 8)
+SHARES = (1, 3, 12)
 #: Models that one task averages.
 FAN_IN = 8
 #: Rare tokens' logarithms are added as whole billionths, so sums do not depend on their order.
@@ -55,6 +55,10 @@ def bucket(word: bytes) -> int:
     return WORD_CLASSES + zlib.crc32((b"\0\0" + word)[-2:]) % (CLASSES - WORD_CLASSES)
 
 
+#: The bucket of every ending of one or two bytes.
+_ENDINGS = {w: bucket(w) for a in range(256) for w in (bytes([a]), *(bytes([a, b]) for b in range(256)))}
+
+
 def token_counts(texts: DataFrame) -> DataFrame:
     """(token, n) over a frame with the column text (bytes)."""
 
@@ -97,7 +101,7 @@ class Vocabulary:
         klass = self.klass[at]
         tail = np.flatnonzero(at < 0)
         if len(tail):
-            klass[tail] = [bucket(words[k]) for k in tail.tolist()]
+            klass[tail] = [_ENDINGS[words[k][-2:]] for k in tail.tolist()]
         return np.append(at, self.index.get(END, -1)), np.append(klass, 0)
 
     def triples(self, texts: list[bytes]) -> np.ndarray:
@@ -143,12 +147,16 @@ def vocabulary(counts: DataFrame, head: int = HEAD) -> Vocabulary:
     return Vocabulary(int(totals["n"]), int(totals["v"]), index, np.append(number, 0), klass, class_total, class_distinct)
 
 
-def _gather(index: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct indices and the sums of their rows."""
-    by = np.argsort(index, kind="stable")
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 0.5 * np.tanh(0.5 * x) + 0.5
+
+
+def _gather(index: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct indices (of 65,536 at most) and the sums of their rows."""
+    by = np.argsort(index.astype(np.uint16), kind="stable")
     index = index[by]
     starts = np.flatnonzero(np.concatenate([[True], index[1:] != index[:-1]]))
-    return index[starts], np.add.reduceat(values[by], starts, axis=0)
+    return index[starts], *(np.add.reduceat(v[by], starts, axis=0) for v in values)
 
 
 @dataclass
@@ -192,10 +200,12 @@ class Bilinear:
         triples = triples[:, rng.permutation(triples.shape[1])]
         draws = round(float(np.exp(log_noise.astype(np.float64)).sum()))
 
-        def move(k: int, index: np.ndarray, slope: np.ndarray) -> None:
-            index, slope = _gather(index, slope)
-            self.squares[k][index] += slope * slope
-            self.params[k][index] -= rate * slope / np.sqrt(self.squares[k][index])
+        def move(kinds: tuple[int, ...], index: np.ndarray, *slopes: np.ndarray) -> None:
+            index, *slopes = _gather(index, *slopes)
+            for k, slope in zip(kinds, slopes, strict=True):
+                squares = self.squares[k][index] + slope * slope
+                self.squares[k][index] = squares
+                self.params[k][index] -= rate * slope / np.sqrt(squares)
 
         for at in range(0, triples.shape[1], batch):
             two, one, own = triples[:, at : at + batch]
@@ -203,25 +213,26 @@ class Bilinear:
             c_two, c_one = context[two], context[one]
             q = c_two @ place[0] + c_one @ place[1]
             r_noise, r_own = output[noise], output[own]
-            of_noise = 1 / (1 + np.exp(-np.clip(q @ r_noise.T + (bias[noise] - log_noise[noise]), -30, 30)))
-            of_own = 1 / (1 + np.exp(-np.clip((q * r_own).sum(axis=1) + bias[own] - log_noise[own], -30, 30))) - 1
+            of_noise = _sigmoid(q @ r_noise.T + (bias[noise] - log_noise[noise]))
+            of_own = _sigmoid(np.einsum("ij,ij->i", q, r_own) + bias[own] - log_noise[own]) - 1
             g_q = (of_own[:, None] * r_own + of_noise @ r_noise) / len(own)
-            both = np.concatenate([own, noise])
-            move(2, both, np.concatenate([of_own[:, None] * q, of_noise.T @ q]) / len(own))
-            move(3, both, np.concatenate([of_own, of_noise.sum(axis=0)]) / len(own))
+            of_own, of_noise = of_own / len(own), of_noise / len(own)
+            move((2, 3), np.concatenate([own, noise]), np.concatenate([of_own[:, None] * q, of_noise.T @ q]), np.concatenate([of_own, of_noise.sum(axis=0)]))
             g_place = np.stack([c_two.T @ g_q, c_one.T @ g_q])
-            move(0, np.concatenate([two, one]), np.concatenate([g_q @ place[0].T, g_q @ place[1].T]))
+            move((0,), np.concatenate([two, one]), np.concatenate([g_q @ place[0].T, g_q @ place[1].T]))
             self.squares[1] += g_place * g_place
             place -= 0.1 * rate * g_place / np.sqrt(self.squares[1])
 
 
-def train_share(texts: DataFrame, shared, model: Bilinear, draws: int = 128, batch: int = 1024) -> Bilinear:
-    """The mean of what the tasks make of ``model``, each with its part of ``texts``; the same where there is none.
+def train_share(texts: DataFrame, shared, model: Bilinear, size: int, draws: int = 64, batch: int = 2048, tokens: int = 250_000) -> Bilinear:
+    """The mean of what the tasks make of ``model``, each with its part of ``texts`` (of about ``size`` tokens); the same where there is none.
 
-    Each task gives one row, its model (about a megabyte); ``FAN_IN`` of them are
-    averaged at a time until so few are left that the driver takes them.
+    Each task gives one row, its model (about a megabyte), so partitions are put
+    together until a task has about ``tokens`` tokens to learn from; ``FAN_IN``
+    models are averaged at a time until so few are left that the driver takes them.
     """
     sent = texts.sparkSession.sparkContext.broadcast(model)
+    texts = texts.coalesce(max(1, size // tokens))
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, mine = shared.value, sent.value.filled(sent.value.to_bytes())
@@ -241,19 +252,29 @@ def train_share(texts: DataFrame, shared, model: Bilinear, draws: int = 128, bat
             yield pa.RecordBatch.from_arrays([pa.array([task], pa.int64()), pa.array([float(seen)]), pa.array([mine.to_bytes()], pa.binary())], names=["task", "n", "model"])
 
     def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, total, task = 0.0, None, 0
+        at, n, total = None, 0.0, np.empty(0)
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([n]), pa.array([(total / n).astype(np.float32).tobytes()], pa.binary())], names=["task", "n", "model"])
+
         for part in batches:
-            for one, weight, data in zip(*(c.to_pylist() for c in part.columns), strict=True):
+            for group, weight, data in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 flat = np.frombuffer(data, dtype=np.float32).astype(np.float64) * weight
-                total, n, task = flat if total is None else total + flat, n + weight, task ^ one
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([task], pa.int64()), pa.array([n]), pa.array([(total / n).astype(np.float32).tobytes()], pa.binary())], names=["task", "n", "model"])
+                if group != at:
+                    if at is not None:
+                        yield done()
+                    at, n, total = group, 0.0, np.zeros(len(flat))
+                n, total = n + weight, total + flat
+        if at is not None:
+            yield done()
 
     kind = "task long, n double, model binary"
     models = durable(texts.mapInArrow(learn, kind))
     left = models.count()
     while left > FAN_IN:
-        models = durable(models.repartition(-(-left // FAN_IN), "task").sortWithinPartitions("task").mapInArrow(average, kind))
+        group = F.pmod(F.xxhash64("task", "n"), F.lit(-(-left // FAN_IN))).alias("group")
+        groups = models.select(group, "task", "n", "model").repartition("group").sortWithinPartitions("group", "task", "n")
+        models = durable(groups.select("group", "n", "model").mapInArrow(average, kind))
         left = models.count()
     rows = sorted((r["n"], bytes(r["model"])) for r in models.collect())
     if not rows:
@@ -271,7 +292,7 @@ def fit(texts: DataFrame, shared, words: Vocabulary) -> Bilinear:
     part = F.pmod(F.xxhash64("text"), F.lit(sum(SHARES)))
     at = 0
     for size in SHARES:
-        model = train_share(texts.where((part >= at) & (part < at + size)), shared, model)
+        model = train_share(texts.where((part >= at) & (part < at + size)), shared, model, words.total * size // sum(SHARES))
         at += size
     return model
 

@@ -142,7 +142,7 @@ def test_models_are_averaged_in_a_tree(spark, monkeypatch):
     docs = table(spark, "/root/testdata/sf0.001", "documents").select(text_bytes().alias("text")).repartition(7)
     words = bilinear.vocabulary(bilinear.token_counts(docs))
     first = bilinear.Bilinear.first(words.share)
-    tree = bilinear.train_share(docs, spark.sparkContext.broadcast(words), first)
+    tree = bilinear.train_share(docs, spark.sparkContext.broadcast(words), first, 10**9)
     monkeypatch.setattr(bilinear, "FAN_IN", 1000)
-    flat = bilinear.train_share(docs, spark.sparkContext.broadcast(words), first)
+    flat = bilinear.train_share(docs, spark.sparkContext.broadcast(words), first, 10**9)
     assert all(np.allclose(a, b, atol=1e-5) for a, b in zip(tree.params, flat.params, strict=True))
