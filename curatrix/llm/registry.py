@@ -10,6 +10,7 @@ from curatrix.llm.bilinear import op9_bilinear_lm
 from curatrix.llm.images import op10_image_copies
 from curatrix.llm.mixing import op4_pfair_mix
 from curatrix.llm.nbsvm import op6_nbsvm_quality
+from curatrix.llm.periodic import op12_periodic_runs
 from curatrix.llm.pieces import op5_sentencepiece
 from curatrix.llm.quality_rules import op7_quality_rules
 from curatrix.llm.secrets import ORACLE_SQL, op2_secret_ledger
@@ -30,6 +31,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash": op8_simhash,
         "op9_bilinear_lm": op9_bilinear_lm,
         "op10_image_copies": op10_image_copies,
+        "op12_periodic_runs": op12_periodic_runs,
     }
 
 
