@@ -12,6 +12,7 @@ from curatrix.llm.mixing import op4_pfair_mix
 from curatrix.llm.nbsvm import op6_nbsvm_quality
 from curatrix.llm.periodic import op12_periodic_runs
 from curatrix.llm.pieces import op5_sentencepiece
+from curatrix.llm.ppm import op13_ppm_language
 from curatrix.llm.quality_rules import op7_quality_rules
 from curatrix.llm.secrets import ORACLE_SQL, op2_secret_ledger
 from curatrix.llm.simhash import op8_simhash
@@ -32,6 +33,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_bilinear_lm": op9_bilinear_lm,
         "op10_image_copies": op10_image_copies,
         "op12_periodic_runs": op12_periodic_runs,
+        "op13_ppm_language": op13_ppm_language,
     }
 
 
