@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from curatrix.llm.bilinear import op9_bilinear_lm
 from curatrix.llm.images import op10_image_copies
+from curatrix.llm.importance import op11_importance
 from curatrix.llm.mixing import op4_pfair_mix
 from curatrix.llm.nbsvm import op6_nbsvm_quality
 from curatrix.llm.periodic import op12_periodic_runs
@@ -32,6 +33,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash": op8_simhash,
         "op9_bilinear_lm": op9_bilinear_lm,
         "op10_image_copies": op10_image_copies,
+        "op11_importance": op11_importance,
         "op12_periodic_runs": op12_periodic_runs,
         "op13_ppm_language": op13_ppm_language,
     }
