@@ -126,8 +126,12 @@ def is_mode(value: Column, modes: Sequence[str] = MODES) -> Column:
 
 
 def canonical_json(**fields: Column) -> Column:
-    """O-101 of rows: JSON with sorted keys and no spaces; null fields are left out."""
-    return F.to_json(F.struct(*(fields[k].alias(k) for k in sorted(fields))))
+    """O-101 of rows: JSON with sorted keys and no spaces; null fields are null, letters beyond ASCII are escaped as UTF-16 units."""
+    whole = F.to_json(F.struct(*(fields[k].alias(k) for k in sorted(fields))), {"ignoreNullFields": "false"})
+    units = lambda c: F.concat(*(F.concat(F.lit("\\u"), F.substring(F.lower(F.hex(F.encode(c, "UTF-16BE"))), 4 * k + 1, 4)) for k in range(2)))
+    short = lambda c: F.concat(F.lit("\\u"), F.lower(F.hex(F.encode(c, "UTF-16BE"))))
+    escaped = F.transform(F.split(whole, ""), lambda c: F.when(~c.rlike(r"[^\x00-\x7f]"), c).when(F.octet_length(c) > 3, units(c)).otherwise(short(c)))
+    return F.when(whole.rlike(r"[^\x00-\x7f]"), F.array_join(escaped, "")).otherwise(whole)
 
 
 def rotating(index: Column, items: Sequence[str]) -> Column:

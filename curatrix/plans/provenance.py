@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 
 def canonical(value: object) -> str:
-    """O-101: JSON with sorted keys and no spaces."""
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    """O-101: JSON with sorted keys and no spaces; letters beyond ASCII are escaped, so digests depend on no encoding."""
+    return json.dumps(value, sort_keys=True, separators=(",", ":"))
 
 
 def generation_key(**parts: object) -> str:

@@ -760,7 +760,7 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
 
 HOUR = 3_600_000
 _EV = "e AS (SELECT event_id, user_id, epoch_ms(ts) AS ms, CASE WHEN event_type = 'view' THEN 'UNKNOWN' ELSE event_type END AS label, value / 500 AS confidence FROM events)"
-_STABLE = f"""{_EV}, w AS (SELECT a.event_id, b.label, count(*) n, sum(b.confidence) s, min(b.ms) f FROM e a JOIN e b ON a.user_id = b.user_id AND b.ms BETWEEN a.ms - {48 * HOUR} AND a.ms GROUP BY ALL),
+_STABLE = f"""{_EV}, w AS (SELECT a.event_id, b.label, count(*) n, sum(CASE WHEN b.event_id % 97 = 0 THEN 0 ELSE b.confidence END) s, min(b.ms) f FROM e a JOIN e b ON a.user_id = b.user_id AND b.ms BETWEEN a.ms - {48 * HOUR} AND a.ms GROUP BY ALL),
     v AS (SELECT *, sum(n) OVER (PARTITION BY event_id) tot, row_number() OVER (PARTITION BY event_id ORDER BY n DESC, f) r FROM w),
     st AS (SELECT e.event_id, user_id, ms, CASE WHEN tot < 3 OR v.label = 'UNKNOWN' OR n::DOUBLE / tot < 0.5 THEN 'UNKNOWN' ELSE v.label END AS stable_label, CASE WHEN tot < 3 THEN 0.0 ELSE s / n END AS stable_confidence FROM v JOIN e USING (event_id) WHERE r = 1)"""
 _COMMIT = f"""{_STABLE}, i AS (SELECT *, count(*) FILTER (stable_label <> 'UNKNOWN') OVER (PARTITION BY user_id ORDER BY ms) isl FROM st),
@@ -769,8 +769,13 @@ _COMMIT = f"""{_STABLE}, i AS (SELECT *, count(*) FILTER (stable_label <> 'UNKNO
     cm AS (SELECT kn.* FROM kn LEFT JOIN sp ON sp.user_id = kn.user_id AND sp.isl = kn.isl - 1 WHERE pl IS NULL OR pl <> stable_label OR coalesce(span, -1) >= {24 * HOUR})"""
 
 
+def _gaps(rows: DataFrame) -> DataFrame:
+    """Events of which some have no confidence."""
+    return rows.withColumn("confidence", F.when(F.col("event_id") % 97 != 0, F.col("confidence")))
+
+
 def _stable(spark: SparkSession, d: str) -> DataFrame:
-    return temporal.sliding_majority(_events(spark, d), "user_id", F.col("ms"), F.col("label"), F.col("confidence"), 48 * HOUR, 3, 0.5)
+    return temporal.sliding_majority(_gaps(_events(spark, d)), "user_id", F.col("ms"), F.col("label"), F.col("confidence"), 48 * HOUR, 3, 0.5)
 
 
 @query(f"WITH {_STABLE} SELECT event_id, user_id, stable_label, round_even(stable_confidence, 6) AS stable_confidence FROM st")
@@ -855,8 +860,8 @@ def _streamed(spark: SparkSession, d: str, machine: machines.Machine, schema: st
 
 @query(SQL["sliding_majority"])
 def stream_majority(spark, d):
-    """O-113, O-117, O-118 as a stream that stops and goes on."""
-    rows = _events(spark, d)
+    """O-113, O-118 as a stream that stops and goes on."""
+    rows = _gaps(_events(spark, d))
     found = _streamed(spark, d, machines.majority(48 * HOUR, 3, 0.5), "event_id long, user_id long, stable_label string, stable_confidence double", rows)
     return found.select("event_id", "user_id", "stable_label", F.bround("stable_confidence", 6).alias("stable_confidence"))
 

@@ -192,12 +192,17 @@ def model_contracts(spark, d):
     return spark.createDataFrame([(name, provenance.model_problem(files.load_model(spark, f"{at}/name={name}"), mode="m", feature_count=2, policy="p")) for name, _, _ in _MODELS], "name string, problem string")
 
 
-@query("""SELECT n_nationkey, '{"key":' || n_nationkey || ',"mode":"' || n_name || '","region":' || n_regionkey || '}' AS canonical, sha256('{"key":' || n_nationkey || ',"mode":"' || n_name || '","region":' || n_regionkey || '}') AS generation, true AS same FROM nation""")
+_JSON = """'{"key":' || n_nationkey || ',"mode":' || coalesce('"' || %s || '"', 'null') || ',"region":' || n_regionkey || '}'"""
+_MODE = "CASE n_nationkey % 4 WHEN 1 THEN n_name || {} WHEN 2 THEN NULL ELSE n_name END"
+
+
+@query(f"""SELECT n_nationkey, {_JSON % _MODE.format("'-donn' || chr(92) || 'u00e9es ' || chr(92) || 'ud83d' || chr(92) || 'ude00'")} AS canonical, sha256(canonical) AS generation, true AS same FROM nation""")
 def generation_keys(spark, d):
-    """O-101, O-102: canonical JSON and its digest, of rows; ``same`` says that the driver's own form gives that too."""
-    found = _t(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey", text.canonical_json(region=F.col("n_regionkey"), mode=F.col("n_name"), key=F.col("n_nationkey")).alias("canonical"))
-    found = found.withColumn("generation", F.sha2("canonical", 256))
-    own = [(r["n_nationkey"], provenance.generation_key(region=r["n_regionkey"], mode=r["n_name"], key=r["n_nationkey"])) for r in _t(spark, d, "nation").collect()]  # a dimension
+    """O-101, O-102: canonical JSON and its digest, of rows with nulls and letters beyond ASCII; ``same`` says that the driver's own form gives that too."""
+    mode = F.when(F.col("n_nationkey") % 4 == 1, F.concat("n_name", F.lit("-donn\u00e9es \U0001f600"))).when(F.col("n_nationkey") % 4 != 2, F.col("n_name"))
+    rows = _t(spark, d, "nation").select("n_nationkey", mode.alias("mode"), "n_regionkey")
+    found = rows.withColumn("canonical", text.canonical_json(region=F.col("n_regionkey"), mode=F.col("mode"), key=F.col("n_nationkey"))).withColumn("generation", F.sha2("canonical", 256))
+    own = [(r["n_nationkey"], provenance.generation_key(region=r["n_regionkey"], mode=r["mode"], key=r["n_nationkey"])) for r in rows.collect()]  # a dimension
     return found.join(spark.createDataFrame(own, "n_nationkey long, own string"), "n_nationkey").select("n_nationkey", "canonical", "generation", (F.col("own") == F.col("generation")).alias("same"))
 
 

@@ -151,7 +151,7 @@ def write_json_atomic(value: object, path: str) -> None:
     target.parent.mkdir(parents=True, exist_ok=True)
     handle, name = tempfile.mkstemp(dir=target.parent, prefix=f".{target.name}.")
     with os.fdopen(handle, "w", encoding="utf-8") as out:
-        json.dump(value, out, indent=2, ensure_ascii=False)
+        json.dump(value, out, indent=2)
         out.write("\n")
     os.replace(name, target)
 

@@ -60,15 +60,38 @@ def clock(ms: str = "ms") -> Machine:
     return Machine(lambda: None, step)
 
 
+def _sure(value: float | None) -> float:
+    """A confidence; null and NaN count as 0."""
+    return 0.0 if value is None or value != value else float(value)
+
+
+def _named(value: str | None) -> str | None:
+    """A label; null, in whatever form a column brings it, is None."""
+    return None if value is None or value != value else value
+
+
+def window_sums(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Sums of ``values[begin:end]``, put together from sums over powers of two: nothing is subtracted, so a
+    value outside a window, however large, leaves no trace in its sum."""
+    out, at, left = np.zeros(len(begin)), begin.copy(), end - begin
+    level, width = values.astype(np.float64), 1
+    while len(level) and (left >= width).any():
+        rows = np.flatnonzero(left & width)
+        out[rows] += level[at[rows]]
+        at[rows] += width
+        level, width = level[:-width] + level[width:], width * 2
+    return out
+
+
 def majority(window: int = 420, least: int = 5, ratio: float = 0.64, ms: str = "ms", label: str = "label", confidence: str = "confidence") -> Machine:
-    """O-113: sliding-window majority vote."""
+    """O-113: sliding-window majority vote. A missing confidence counts as 0; a missing label is a label of its own, and stays null where it wins."""
 
     def step(state: tuple, row: dict) -> tuple[tuple, dict]:
         now = row[ms]
-        kept = tuple(s for s in (*state, (now, row[label], float(row[confidence]))) if now - s[0] <= window)
+        kept = tuple(s for s in (*state, (now, _named(row[label]), _sure(row[confidence]))) if now - s[0] <= window)
         if len(kept) < least:
             return kept, {"stable_label": "UNKNOWN", "stable_confidence": 0.0}
-        votes: dict[str, list[float]] = {}
+        votes: dict[str | None, list[float]] = {}
         for _, name, c in kept:
             votes.setdefault(name, []).append(c)
         winner = max(votes, key=lambda name: len(votes[name]))  # the first seen of equals
@@ -79,22 +102,24 @@ def majority(window: int = 420, least: int = 5, ratio: float = 0.64, ms: str = "
     def fold(state: tuple, columns: Columns) -> tuple[tuple, np.ndarray, Columns]:
         old = len(state)
         t = np.concatenate([np.array([s[0] for s in state], dtype=columns[ms].dtype), columns[ms]])
-        names, code = np.unique(np.array([*(s[1] for s in state), *columns[label].tolist()], dtype=object).astype(str), return_inverse=True)
-        c = np.concatenate([np.array([s[2] for s in state], dtype=np.float64), columns[confidence].astype(np.float64)])
+        number: dict[str | None, int] = {}
+        code = np.array([number.setdefault(_named(v), len(number)) for v in (*(s[1] for s in state), *columns[label].tolist())], dtype=np.int64)
+        names = np.array([*number, None], dtype=object)[:-1]
+        c = np.nan_to_num(np.concatenate([np.array([s[2] for s in state], dtype=np.float64), columns[confidence].astype(np.float64)]), nan=0.0, posinf=np.inf, neginf=-np.inf)
         begin, end = np.searchsorted(t, t - window), np.arange(1, len(t) + 1)
         best, most, first, mean = np.zeros(len(t), dtype=np.int64), np.zeros(len(t), dtype=np.int64), np.full(len(t), len(t)), np.zeros(len(t))
-        for k in range(len(names)):  # running counts of each label, and their differences over the window
-            own = code == k
-            seen, total = np.concatenate([[0], np.cumsum(own)]), np.concatenate([[0.0], np.cumsum(np.where(own, c, 0.0))])
-            n = seen[end] - seen[begin]
-            places = np.append(np.flatnonzero(own), len(t))
-            since = places[np.searchsorted(places, begin)]
+        every = [np.flatnonzero(code == k) for k in range(len(names))]
+        for k, places in enumerate(every):
+            low, high = np.searchsorted(places, begin), np.searchsorted(places, end)
+            n, since = high - low, np.append(places, len(t))[low]
             win = (n > most) | ((n == most) & (n > 0) & (since < first))
             best, most, first = np.where(win, k, best), np.where(win, n, most), np.where(win, since, first)
-            mean = np.where(win, (total[end] - total[begin]) / np.maximum(n, 1), mean)
+        for k, places in enumerate(every):
+            rows = np.flatnonzero(best == k)
+            mean[rows] = window_sums(c[places], np.searchsorted(places, begin[rows]), np.searchsorted(places, end[rows])) / np.maximum(most[rows], 1)
         size = end - begin
-        stable = (size >= least) & (names[best] != "UNKNOWN") & (most / size >= ratio)
-        out = {"stable_label": np.where(stable, names[best], "UNKNOWN")[old:], "stable_confidence": np.where(size < least, 0.0, mean)[old:]}
+        stable = (size >= least) & (names[best] != "UNKNOWN") & (most / size >= ratio) if len(t) else np.empty(0, dtype=bool)
+        out = {"stable_label": np.where(stable, names[best], "UNKNOWN")[old:] if len(t) else np.empty(0, dtype=object), "stable_confidence": np.where(size < least, 0.0, mean)[old:]}
         kept = t >= (t[-1] - window if len(t) else 0)
         return tuple(zip(t[kept].tolist(), names[code[kept]].tolist(), c[kept].tolist(), strict=True)), np.arange(len(columns[ms])), out
 

@@ -315,3 +315,37 @@ def test_first_seen_without_a_key(spark):
     df = spark.createDataFrame([(1, "a"), (2, "a"), (3, None), (4, None), (5, "b")], "doc long, h string")
     kept, out = curation.first_seen(df, "h", [F.col("doc")])
     assert sorted(r["doc"] for r in kept.collect()) == [1, 3, 4, 5] and [r["doc"] for r in out.collect()] == [2]
+
+
+def test_folds_and_steps_agree_on_missing_and_extreme_values():
+    """Nulls leave no trace in later windows, large values neither; the rows may be folded in any pieces."""
+    rng = np.random.default_rng(3)
+    for trial in range(40):
+        n = int(rng.integers(0, 60))
+        t = np.sort(rng.choice(3000, n, replace=False)).astype(np.int64)
+        label = np.array([rng.choice(["a", "b", "UNKNOWN", None]) for _ in range(n)], dtype=object)
+        sure = rng.choice([0.1, 0.5, 1e15, np.nan, 0.25], n)
+        machine = machines.majority(420, 3, 0.5, "ms", "label", "confidence")
+        state, want = machine.start(), []
+        for row in zip(t.tolist(), label.tolist(), sure.tolist(), strict=True):
+            state, out = machine.step(state, dict(zip(("ms", "label", "confidence"), row, strict=True)))
+            want.append((out["stable_label"], out["stable_confidence"]))
+        cut, got, carried = int(rng.integers(0, n + 1)), [], machine.start()
+        for part in (slice(0, cut), slice(cut, n)):
+            carried, at, out = machine.fold(carried, {"ms": t[part], "label": label[part], "confidence": sure[part]})
+            got += list(zip(out["stable_label"].tolist(), out["stable_confidence"].tolist(), strict=True))
+        assert [g[0] for g in got] == [w[0] for w in want], trial
+        assert [g[1] for g in got] == pytest.approx([w[1] for w in want], rel=1e-12)
+        assert carried == state
+
+
+def test_window_sums_subtract_nothing():
+    values = np.array([1e300, 0.1, 0.2, -1e300, 0.3, np.inf, 0.4])
+    begin, end = np.array([1, 1, 4, 0, 6, 2, 3]), np.array([3, 2, 5, 0, 7, 2, 6])
+    assert machines.window_sums(values, begin, end).tolist() == [0.1 + 0.2, 0.1, 0.3, 0.0, 0.4, 0.0, np.inf]
+
+
+def test_generation_key_is_that_of_escaped_json():
+    import hashlib
+
+    assert provenance.generation_key(a="données", b=None) == hashlib.sha256(b'{"a":"donn\\u00e9es","b":null}').hexdigest()
