@@ -7,7 +7,7 @@ from uuid import uuid4
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,7 +17,7 @@ from curatrix.operators import curation, detection, metrics, relations
 from curatrix.plans import provenance
 from curatrix.plans.queries import _hand_rows, _t, query
 from curatrix.session import durable, shared_dir
-from curatrix.sources import files
+from curatrix.sources import files, pictures
 from curatrix.streaming import stateful
 
 
@@ -57,6 +57,75 @@ def image_audit(spark, d):
     rows = found.select("path", "extension", "is_image").join(seen, "path", "left")
     return rows.select(F.url_decode(text.basename(F.col("path"))).alias("name"), "extension", "is_image", "dimensions", "mode", F.coalesce("digested", F.lit(False)).alias("digested"), F.coalesce("failed", F.lit(False)).alias("failed"))
 
+# --- pictures ------------------------------------------------------------------------------
+
+#: A pixel of an item's picture: its size and three channels come from the item's numbers.
+_WIDE, _HIGH = "13 + p_partkey % 12", "8 + p_partkey % 7 * 3"
+_PIXEL = "(p_partkey * 31 + x * x * (3 + p_partkey % 5) + y * (17 + c * 40) + x * y * (p_partkey % 11)) % 256"
+_LANCZOS = """sz AS (SELECT DISTINCT size, n FROM (SELECT w AS size, 9 AS n FROM p UNION ALL SELECT h, 8 FROM p)),
+    tap AS (SELECT size, n, o, i, (i + 0.5::DOUBLE - (o + 0.5::DOUBLE) * size / n) / greatest(size / n::DOUBLE, 1) AS t, (o + 0.5::DOUBLE) * size / n AS mid, 3 * greatest(size / n::DOUBLE, 1) AS reach
+    FROM sz, range(9) a(o), range(64) b(i) WHERE o < n AND i < size),
+    raw AS (SELECT size, n, o, i, CASE WHEN abs(t) >= 3 THEN 0 WHEN t = 0 THEN 1 ELSE sin(pi() * t) / (pi() * t) * sin(pi() * t / 3) / (pi() * t / 3) END AS v FROM tap WHERE i >= greatest(trunc(mid - reach + 0.5), 0) AND i < least(trunc(mid + reach + 0.5), size)),
+    wt AS (SELECT size, n, o, i, CAST(round(v / sum(v) OVER (PARTITION BY size, n, o) * 4194304) AS BIGINT) AS v FROM raw)"""
+
+
+@query(
+    f"""WITH p AS (SELECT p_partkey, {_WIDE} AS w, {_HIGH} AS h FROM part), px AS (SELECT p_partkey, w, h, x, y, c, {_PIXEL} AS v FROM p, range(24) a(x), range(26) b(y), range(3) d(c) WHERE x < w AND y < h),
+    l AS (SELECT p_partkey, w, h, x, y, (sum(v * CASE c WHEN 0 THEN 19595 WHEN 1 THEN 38470 ELSE 7471 END)::BIGINT + 32768) >> 16 AS v FROM px GROUP BY ALL), {_LANCZOS},
+    across AS (SELECT p_partkey, h, y, o AS x, greatest(0, least(255, (sum(l.v * wt.v)::BIGINT + 2097152) >> 22)) AS v FROM l JOIN wt ON wt.size = w AND n = 9 AND i = x GROUP BY ALL),
+    grid AS (SELECT p_partkey, x, o AS y, greatest(0, least(255, (sum(across.v * wt.v)::BIGINT + 2097152) >> 22)) AS v FROM across JOIN wt ON wt.size = h AND n = 8 AND i = y GROUP BY ALL),
+    hash AS (SELECT a.p_partkey, lower(lpad(to_hex(CAST(sum(CASE WHEN a.v > b.v THEN 1::HUGEINT << CAST(63 - (a.y * 8 + a.x) AS INTEGER) ELSE 0 END) AS UBIGINT)), 16, '0')) AS dhash FROM grid a JOIN grid b ON a.p_partkey = b.p_partkey AND a.y = b.y AND b.x = a.x + 1 GROUP BY 1)
+    SELECT p_partkey, CASE WHEN p_partkey % 9 <> 8 THEN w END AS width, CASE WHEN p_partkey % 9 <> 8 THEN h END AS height, CASE WHEN p_partkey % 9 <> 8 THEN dhash END AS dhash, p_partkey % 9 = 8 AS failed FROM p JOIN hash USING (p_partkey)"""
+)
+def picture_hashes(spark, d):
+    """O-11, O-83: pictures of items, drawn and written as PNG, PPM or cut-short files, then read, decoded, resampled and hashed."""
+
+    def draw(parts):
+        for part in parts:
+            made = []
+            for key in part["p_partkey"].tolist():
+                x, y, c = np.meshgrid(np.arange(13 + key % 12), np.arange(8 + key % 7 * 3), np.arange(3), indexing="xy")
+                pixels = ((key * 31 + x * x * (3 + key % 5) + y * (17 + c * 40) + x * y * (key % 11)) % 256).astype(np.uint8)
+                whole = b"P6 %d %d 255\n" % (pixels.shape[1], pixels.shape[0]) + pixels.tobytes() if key % 9 == 4 else pictures.encode_png(pixels)
+                made.append((f"{key}.png", whole[: len(whole) * 2 // 3] if key % 9 == 8 else whole))
+            yield pd.DataFrame(made, columns=["name", "content"])
+
+    at = _folder(spark)
+    files.write_files(_t(spark, d, "part").select("p_partkey").mapInPandas(draw, "name string, content binary"), at).agg(F.sum("length")).collect()
+    found = pictures.picture_facts(files.scan(spark, at, content=True))
+    key = text.stem(text.basename(F.col("path"))).cast("long")
+    return found.select(key.alias("p_partkey"), "width", "height", F.lower(F.lpad(F.hex("dhash"), 16, "0")).alias("dhash"), F.col("error").isNotNull().alias("failed"))
+
+
+_SHEET_SIDE = 8
+
+
+@query(
+    f"""WITH t AS (SELECT p_type, row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) - 1 AS k, p_partkey FROM part), n AS (SELECT p_type, k // 50 AS page, count(*) AS tiles FROM t GROUP BY ALL),
+    v AS (SELECT p_type, k // 50 AS page, sum(({_SHEET_SIDE} * {_SHEET_SIDE}) * (p_partkey * 37 % 256 + p_partkey * 11 % 256 + p_partkey % 256)) AS s FROM t GROUP BY ALL)
+    SELECT p_type, page, CAST(tiles AS INTEGER) AS tiles, CAST(7 * {_SHEET_SIDE} AS INTEGER) AS width, CAST(ceil(tiles / 7.0) * {_SHEET_SIDE} AS INTEGER) AS height,
+    CAST(s + (ceil(tiles / 7.0) * 7 - tiles) * {_SHEET_SIDE} * {_SHEET_SIDE} * 3 * 255 AS BIGINT) AS brightness FROM n JOIN v USING (p_type, page)"""
+)
+def contact_sheets(spark, d):
+    """O-14, O-136: one-coloured pictures, padded by repeating their edges, on sheets of seven columns; ``brightness`` sums up a sheet's samples."""
+
+    def paint(key: int) -> bytes:
+        return pictures.encode_png(np.full((4, 4, 3), [key * 37 % 256, key * 11 % 256, key % 256], dtype=np.uint8))
+
+    def draw(parts):
+        for part in parts:
+            yield part.assign(content=[paint(k) for k in part["p_partkey"].tolist()])
+
+    def measure(parts):
+        for part in parts:
+            each = [pictures.decode(c) for c in part["content"]]
+            yield part.drop(columns="content").assign(width=[p.shape[1] for p in each], height=[p.shape[0] for p in each], brightness=[int(p.sum(dtype="int64")) for p in each])
+
+    drawn = _t(spark, d, "part").select("p_type", "p_partkey").mapInPandas(draw, "p_type string, p_partkey long, content binary")
+    padded = pictures.rewritten(drawn, lambda pixels: pictures.edge_padded(pixels, 2), "p_type string, p_partkey long, content binary")
+    placed = padded.withColumn("k", F.row_number().over(Window.partitionBy("p_type").orderBy("p_partkey")) - 1)
+    return pictures.sheets(placed, "p_type", "k", _SHEET_SIDE, most=50).mapInPandas(measure, "p_type string, page long, tiles int, width int, height int, brightness long")
+
 
 def _manifest(spark: SparkSession, d: str) -> DataFrame:
     rows = _t(spark, d, "orders").select(
