@@ -346,8 +346,7 @@ def difference_hashes(spark, d):
 def near_dup_pairs(spark, d):
     """O-46, O-84: pairs of documents by distance, counted from pairs of hashes and their numbers of rows."""
     rows = durable(_fingerprints(spark, d).groupBy("lang", "h").agg(F.count("*").alias("n")))
-    near = similarity.hamming_join(rows.select("lang", "h"), rows.select("lang", "h"), "lang", 2)
-    near = near.join(rows.select("lang", F.col("h").alias("h1"), F.col("n").alias("n1")), ["lang", "h1"]).join(rows.select("lang", F.col("h").alias("h2"), F.col("n").alias("n2")), ["lang", "h2"])
+    near = similarity.hamming_join(rows, rows, "lang", 2, keep=("n",))
     pairs = F.sum(F.when(F.col("h1") == F.col("h2"), F.col("n1") * (F.col("n1") - 1)).otherwise(F.col("n1") * F.col("n2")))
     return near.groupBy("d").agg((pairs / 2).cast("long").alias("pairs")).where("pairs > 0")
 
@@ -380,6 +379,21 @@ def similarity_audit(spark, d):
     return similarity.similarity_audit(_split_fingerprints(spark, d), 2, "lang")
 
 
+@query(
+    f"""WITH {_GRID}, a AS (SELECT doc_id, lang, h FROM f WHERE doc_id % 20 = 0)
+    SELECT a.doc_id, count(*) AS found, CAST(coalesce(min(bit_count(xor(a.h, f.h))) FILTER (a.h <> f.h), -1) AS INTEGER) AS nearest FROM a JOIN f ON a.lang = f.lang AND bit_count(xor(a.h, f.h)) <= 6 GROUP BY 1"""
+)
+def hamming_index(spark, d):
+    """O-47: an index on disk that takes two inserts; documents whose id is divisible by 20 ask for all within six bits."""
+    rows = durable(_fingerprints(spark, d))
+    index = similarity.HammingIndex(spark, f"{shared_dir(spark)}/index-{uuid4().hex}", "lang")
+    for k in range(2):
+        index.insert(rows.where(F.col("doc_id") % 2 == k))
+    asked = rows.where(F.col("doc_id") % 20 == 0)
+    met = index.query(asked, 6).groupBy("lang", "h").agg(F.sum("n").alias("found"), F.coalesce(F.min(F.when(F.col("d") > 0, F.col("d"))), F.lit(-1)).alias("nearest"))
+    return asked.join(met, ["lang", "h"]).select("doc_id", "found", "nearest")
+
+
 # --- metrics -------------------------------------------------------------------------------
 
 
