@@ -15,11 +15,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from curatrix.operators import segments
 from curatrix.streaming import machines
 
 
-def monotone_clock(df: DataFrame, key: str, t: Column, order: Sequence[str]) -> DataFrame:
-    """O-104: ``clock``: the least integer at or above t that is above the one before it."""
+def monotone_clock(df: DataFrame, key: str, t: Column, order: Sequence[str], ranges: int | None = None) -> DataFrame:
+    """O-104: ``clock``: the least integer at or above t that is above the one before it. ``ranges``: see ``segments``; None counts the keys' rows."""
+    if (ranges := ranges or segments.ranges_for(df, key)) is not None:
+        return segments.monotone_clock(df, key, t, order, ranges)
     w = Window.partitionBy(key).orderBy(*order)
     n = F.row_number().over(w)
     rows = df.withColumn("_n", n).withColumn("_c", F.ceil(t) - F.col("_n"))
@@ -32,27 +35,34 @@ def frame_rate(df: DataFrame, key: str, ts: Column, span: str = "1 second") -> D
     return df.groupBy(key, F.window(ts, span).alias("w")).agg(F.count("*").alias("frames")).select(key, F.col("w.start").alias("start"), "frames")
 
 
-def sliding_majority(df: DataFrame, key: str, ms: Column, label: Column, confidence: Column, window_ms: int = 420, least: int = 5, ratio: float = 0.64) -> DataFrame:
+def sliding_majority(df: DataFrame, key: str, ms: Column, label: Column, confidence: Column, window_ms: int = 420, least: int = 5, ratio: float = 0.64, ranges: int | None = None) -> DataFrame:
     """O-113: adds stable_label and stable_confidence.
 
     The window reaches back ``window_ms``, its edge included. The commonest label
     wins, the first seen on a tie. Too few samples give UNKNOWN with 0; UNKNOWN
     itself, or too small a share, gives UNKNOWN with the winner's mean. Times have
     to be unique for a key. Running counts of each label are taken once and
-    subtracted, so a busy key costs its rows times its labels.
+    subtracted, so a busy key costs its rows times its labels. A key with more rows
+    than suit one task is cut into ``ranges``, each of which has the rows before it that reach into its windows.
     """
     rows = df.withColumns({"_ms": ms, "_label": label, "_confidence": F.coalesce(confidence.cast("double"), F.lit(0.0))})
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
     machine = machines.majority(window_ms, least, ratio, "_ms", "_label", "_confidence")
+    if (ranges := ranges or segments.ranges_for(df, key)) is not None:
+        parts = segments.with_lead_in(rows, key, F.col("_ms"), window_ms, ranges)
+        found = folded(parts, "_segment", ["_ms"], machine, f"{kept}, _own boolean, stable_label string, stable_confidence double")
+        return found.where("_own").drop("_own")
     return folded(rows, key, ["_ms"], machine, f"{kept}, stable_label string, stable_confidence double")
 
 
-def commit_latch(df: DataFrame, key: str, ms: Column, label: Column, release_ms: int = 300) -> DataFrame:
+def commit_latch(df: DataFrame, key: str, ms: Column, label: Column, release_ms: int = 300, ranges: int | None = None) -> DataFrame:
     """O-114: rows at which a label is committed: it is not the locked one.
 
     A run of UNKNOWN rows that spans ``release_ms`` unlocks, measured at its rows.
-    Gaps and islands: each known row carries the run of UNKNOWN rows before it.
+    Gaps and islands: each known row carries the run of UNKNOWN rows before it. ``ranges`` as for the clock.
     """
+    if (ranges := ranges or segments.ranges_for(df, key)) is not None:
+        return segments.commit_latch(df, key, ms, label, release_ms, ranges)
     w = Window.partitionBy(key).orderBy("_ms")
     known = F.col("_l") != "UNKNOWN"
     rows = df.withColumn("_ms", ms).withColumn("_l", label)

@@ -792,10 +792,10 @@ def _stable(spark: SparkSession, d: str) -> DataFrame:
     return temporal.sliding_majority(_gaps(_events(spark, d)), "user_id", F.col("ms"), F.col("label"), F.col("confidence"), 48 * HOUR, 3, 0.5)
 
 
-@query(f"WITH {_STABLE} SELECT event_id, user_id, stable_label, round_even(stable_confidence, 6) AS stable_confidence FROM st")
+@query(f"WITH {_STABLE} SELECT event_id, user_id, stable_label, round_even(stable_confidence, 9) AS stable_confidence FROM st")
 def sliding_majority(spark, d):
     """O-113."""
-    return _stable(spark, d).select("event_id", "user_id", "stable_label", F.bround("stable_confidence", 6).alias("stable_confidence"))
+    return _stable(spark, d).select("event_id", "user_id", "stable_label", F.bround("stable_confidence", 9).alias("stable_confidence"))
 
 
 @query(f"WITH {_COMMIT} SELECT event_id, user_id, stable_label AS label FROM cm")
@@ -846,6 +846,36 @@ def hold_accumulator(spark, d):
     return temporal.folded(rows, "user_id", ["ms"], machines.hold("click", gain=30, loss=5, least=0.05), "event_id long, user_id long, progress long, completed long")
 
 
+def _one_user(spark: SparkSession, d: str) -> DataFrame:
+    """All events as those of one user, an hour apart."""
+    return _gaps(_events(spark, d)).withColumns({"user_id": F.lit(0).cast("long"), "ms": F.col("event_id") * HOUR})
+
+
+def _single(sql: str) -> str:
+    """The SQL of users' events, for one user with an event each hour."""
+    return sql.replace("SELECT event_id, user_id, epoch_ms(ts) AS ms", f"SELECT event_id, 0::BIGINT AS user_id, event_id * {HOUR} AS ms")
+
+
+@query(f"WITH {_single(_EV)}, o AS (SELECT event_id, ceil(event_id * 0.37::DOUBLE)::BIGINT AS c, row_number() OVER (ORDER BY ms) AS n FROM e) SELECT event_id, max(c - n) OVER (ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) + n AS clock FROM o")
+def busy_clock(spark, d):
+    """O-104 of one key that is cut into ranges."""
+    return temporal.monotone_clock(_one_user(spark, d), "user_id", F.col("event_id") * F.lit(0.37), ["ms"], ranges=8).select("event_id", "clock")
+
+
+@query(f"WITH {_single(_STABLE)} SELECT event_id, stable_label, round_even(stable_confidence, 9) AS stable_confidence FROM st")
+def busy_majority(spark, d):
+    """O-113 of one key that is cut into ranges."""
+    found = temporal.sliding_majority(_one_user(spark, d), "user_id", F.col("ms"), F.col("label"), F.col("confidence"), 48 * HOUR, 3, 0.5, ranges=8)
+    return found.select("event_id", "stable_label", F.bround("stable_confidence", 9).alias("stable_confidence"))
+
+
+@query(f"WITH {_single(_EV)}, st AS (SELECT event_id, user_id, ms, label AS stable_label FROM e), {_COMMIT.removeprefix(_STABLE).removeprefix(', ').replace(f'>= {24 * HOUR}', f'>= {HOUR}')} SELECT event_id, stable_label AS label FROM cm")
+def busy_latch(spark, d):
+    """O-114 of one key that is cut into ranges."""
+    rows = _one_user(spark, d).select("event_id", "user_id", "ms", "label")
+    return temporal.commit_latch(rows, "user_id", F.col("ms"), F.col("label"), HOUR, ranges=8).select("event_id", "label")
+
+
 @query("SELECT user_id, date_trunc('day', ts) AS start, count(*) AS frames FROM events GROUP BY ALL")
 def frame_rate(spark, d):
     """O-110."""
@@ -877,7 +907,7 @@ def stream_majority(spark, d):
     """O-113, O-118 as a stream that stops and goes on."""
     rows = _gaps(_events(spark, d))
     found = _streamed(spark, d, machines.majority(48 * HOUR, 3, 0.5), "event_id long, user_id long, stable_label string, stable_confidence double", rows)
-    return found.select("event_id", "user_id", "stable_label", F.bround("stable_confidence", 6).alias("stable_confidence"))
+    return found.select("event_id", "user_id", "stable_label", F.bround("stable_confidence", 9).alias("stable_confidence"))
 
 
 @query(SQL["commit_latch"])
