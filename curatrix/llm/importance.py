@@ -35,16 +35,24 @@ from curatrix.llm.common import durable, give_back, table, text_bytes
 
 BUCKETS = 10_000
 ORDERS = 3
-#: Bytes of a chunk: fewer than 2^21 different words, so three of them fit in 63 bits.
-CHUNK = 8_000_000
+#: Bytes of a chunk; layout alone.
+CHUNK = 15_000_000
 SHARE = 5
 LEAST_WORDS = 20
 SEED = 42
 
+#: Words that are Python objects at once.
+_STEP = 50_000
 #: Bytes of words are themselves, A-Z are lower-cased, all others separate.
 _CLEAN = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
 
+def _free() -> None:
+    """Memory that Arrow and the allocator hold goes back, as a worker waits for its next task."""
+    pa.default_memory_pool().release_unused()
+    give_back()
+
+
 def pieces(text: bytes, most: int) -> Iterator[tuple[int, bytes]]:
     """(words that were counted before, clean bytes): a text in pieces of about ``most`` bytes, each led by the last words of the one before; words stay whole."""
     clean = text.translate(_CLEAN)
@@ -64,20 +72,27 @@ def pieces(text: bytes, most: int) -> Iterator[tuple[int, bytes]]:
         begin = end
 
 
-def chunks(texts: Iterable[bytes], most: int = CHUNK) -> Iterator[list[tuple[int, int, bytes]]]:
-    """Lists of (row, words counted before, clean bytes) of about ``most`` bytes."""
+Piece = tuple[int, int, bytes]
+
+
+def gathered(parts: Iterable[Piece], most: int) -> Iterator[list[Piece]]:
+    """Pieces in lists of about ``most`` bytes."""
     held, size = [], 0
-    for row, text in enumerate(texts):
-        for before, piece in pieces(text, most):
-            if held and size + len(piece) + 1 > most:
-                yield held
-                held, size = [], 0
-            held.append((row, before, piece))
-            size += len(piece) + 1
+    for part in parts:
+        if held and size + len(part[2]) + 1 > most:
+            yield held
+            held, size = [], 0
+        held.append(part)
+        size += len(part[2]) + 1
     if held:
         yield held
 
 
+def chunks(texts: Iterable[bytes], most: int = CHUNK) -> Iterator[list[Piece]]:
+    """Lists of (row, words counted before, clean bytes) of about ``most`` bytes."""
+    return gathered(((row, before, piece) for row, text in enumerate(texts) for before, piece in pieces(text, most)), most)
+
+
 def strings(data: bytes, separator: int) -> tuple[pa.Array, np.ndarray]:
     """The stretches between separators, and where they begin."""
     b = np.frombuffer(data, dtype=np.uint8)
@@ -120,11 +135,11 @@ class Words:
     """Different words, with what their features' crc32 is made of."""
 
     def __init__(self, words: pa.Array) -> None:
-        each = words.to_pylist()
         self.words = words
-        self.alone = np.fromiter(map(zlib.crc32, each), dtype=np.uint32, count=len(each))
-        self.spaced = np.fromiter((zlib.crc32(b" " + w) for w in each), dtype=np.uint32, count=len(each))
-        self.length = np.fromiter(map(len, each), dtype=np.int64, count=len(each)) + 1
+        self.alone = np.concatenate([np.empty(0, dtype=np.uint32), *(np.fromiter(map(zlib.crc32, words.slice(k, _STEP).to_pylist()), dtype=np.uint32) for k in range(0, len(words), _STEP))])
+        #: with a space before
+        self.length = pc.binary_length(words).to_numpy() + 1
+        self.spaced = joined_crc(np.full(len(words), zlib.crc32(b" "), dtype=np.uint32), self.alone, self.length - 1)
 
     def crc(self, parts: list[np.ndarray]) -> np.ndarray:
         """crc32 of features, given their words' places, first to last."""
@@ -146,13 +161,11 @@ def _split(numbers: np.ndarray, base: int, order: int) -> list[np.ndarray]:
 class Features:
     """The features of a chunk as numbers: a word's place in ``words``, or two or three of them in the base ``base``."""
 
-    def __init__(self, chunk: list[tuple[int, int, bytes]]) -> None:
+    def __init__(self, chunk: list[Piece]) -> None:
         every, begin = strings(b" ".join(piece for _, _, piece in chunk), 32)
         coded = every.dictionary_encode()
         self.words, self.ids = Words(coded.dictionary), coded.indices.to_numpy().astype(np.int64)
         self.base = max(len(coded.dictionary), 1)
-        if self.base**ORDERS >= 1 << 63:
-            raise ValueError("a chunk has too many different words")
         starts = np.cumsum([0, *(len(piece) + 1 for _, _, piece in chunk)])
         first = np.searchsorted(begin, starts)
         self.n_words = np.diff(first)
@@ -174,6 +187,18 @@ class Features:
         return number[last], last + order - 1
 
 
+def numbered(chunk: list[Piece]) -> Iterator[tuple[list[Piece], Features]]:
+    """The chunk with its features; one whose different words are too many for numbers of 63 bits is cut in halves first."""
+    features = Features(chunk)
+    if features.base**ORDERS < 1 << 63:
+        yield chunk, features
+        return
+    most = sum(len(piece) for _, _, piece in chunk) // 2
+    cut = ((row, lead if k else before, part) for row, before, piece in chunk for k, (lead, part) in enumerate(pieces(piece, most)))
+    for smaller in gathered(cut, most):
+        yield from numbered(smaller)
+
+
 #: A block is one chunk's features of one order for one part: their first words (one for each stretch of features that share it), then
 #: all second words and all third words, each with a line end; the stretches' lengths, then the features' counts.
 _BLOCK = pa.schema([("part", pa.int32()), ("words", pa.int32()), ("n", pa.int64()), ("firsts", pa.int64()), ("size", pa.int64()), ("strings", pa.binary()), ("numbers", pa.binary())])
@@ -188,9 +213,8 @@ def _column(lines: pa.Array, word: np.ndarray) -> tuple[memoryview, np.ndarray]:
     return memoryview(taken.buffers()[2] or b""), offsets
 
 
-def _blocks(chunk: list[tuple[int, int, bytes]], parts: int) -> Iterator[tuple]:
+def _blocks(features: Features, parts: int) -> Iterator[tuple]:
     """Rows of ``_BLOCK`` with a chunk's distinct features."""
-    features = Features(chunk)
     words = features.words
     lines = pc.binary_join_element_wise(words.words, pa.scalar(b"", pa.large_binary()), pa.scalar(b"\n", pa.large_binary()))
     mixed = words.alone.astype(np.uint64)
@@ -223,7 +247,7 @@ def _merged(group: pa.Table) -> pa.Table:
     for order in sorted(set(group["words"].to_pylist())):
         rows = group.filter(pc.equal(group["words"], order)).to_pylist()
         coded = strings(b"".join(_CODEC.decompress(r["strings"], r["size"], asbytes=True) for r in rows), 10)[0].dictionary_encode()
-        words, ids, at = Words(coded.dictionary), coded.indices.to_numpy().astype(np.int64), 0
+        words, ids, at = Words(coded.dictionary), coded.indices.to_numpy(), 0
         columns, counts = [], []
         for r in rows:
             n, firsts = r["n"], r["firsts"]
@@ -232,7 +256,8 @@ def _merged(group: pa.Table) -> pa.Table:
             counts.append(numbers[firsts:])
             at += firsts + n * (order - 1)
         of, base = [np.concatenate(c) for c in zip(*columns, strict=True)], len(words.words)
-        key = of[0]
+        del coded, columns, ids
+        key = of[0].astype(np.int64)
         for k, word in enumerate(of[1:], 2):
             if base**k >= 1 << 63:  # too many words for plain numbers: pairs are numbered first
                 key = np.unique(key, return_inverse=True)[1]
@@ -241,12 +266,13 @@ def _merged(group: pa.Table) -> pa.Table:
         bucket = words.crc([word[first] for word in of]) % BUCKETS
         sums += np.bincount(bucket, weights=np.bincount(place, weights=np.concatenate(counts)), minlength=BUCKETS)
         distinct += np.bincount(bucket, minlength=BUCKETS)
+        del words, of, key, first, place, bucket, counts, rows
+        _free()
     held = np.flatnonzero(distinct)
-    give_back()
     return pa.table({"bucket": held, "n": sums[held].astype(np.int64), "distinct": distinct[held]})
 
 
-def bucket_counts(docs: DataFrame, text_col: str = "text", part_bytes: int = 16_000_000) -> DataFrame:
+def bucket_counts(docs: DataFrame, text_col: str = "text", part_bytes: int = 8_000_000) -> DataFrame:
     """(bucket, n, distinct): features and distinct feature strings of all ``docs`` by bucket, from the dictionary.
 
     ``part_bytes`` of text come to one part of the dictionary; it decides the layout alone.
@@ -255,12 +281,12 @@ def bucket_counts(docs: DataFrame, text_col: str = "text", part_bytes: int = 16_
     parts = 1 + (texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // part_bytes
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for chunk in chunks(bytes(t.as_buffer()) for t in batch.column(0)):
-                rows = list(_blocks(chunk, parts))
+        for chunk in chunks(bytes(t.as_buffer()) for batch in batches for t in batch.column(0)):
+            for _, features in numbered(chunk):
+                rows = list(_blocks(features, parts))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _BLOCK, strict=True)], schema=_BLOCK)
-        give_back()
+        _free()
 
     blocks = texts.mapInArrow(deal, _BLOCK_SQL)
     return blocks.groupBy("part").applyInArrow(_merged, "bucket long, n long, distinct long").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("distinct").alias("distinct"))
@@ -287,8 +313,8 @@ def weigh(docs: DataFrame, gain: np.ndarray, id_col: str = "doc_id", text_col: s
         gain = shared.value
         for batch in batches:
             words, weight = np.zeros(batch.num_rows, dtype=np.int64), np.zeros(batch.num_rows, dtype=np.int64)
-            for chunk in chunks(bytes(t.as_buffer()) for t in batch.column(1)):
-                features, row = Features(chunk), np.array([r for r, _, _ in chunk])
+            for chunk, features in (x for c in chunks((bytes(t.as_buffer()) for t in batch.column(1)), CHUNK // 4) for x in numbered(c)):
+                row = np.array([r for r, _, _ in chunk])
                 np.add.at(words, row, features.n_words - np.array([before for _, before, _ in chunk]))
                 for order in range(1, ORDERS + 1):
                     number, last = features.of(order)
@@ -298,7 +324,7 @@ def weigh(docs: DataFrame, gain: np.ndarray, id_col: str = "doc_id", text_col: s
                     np.add.at(weight, row, sums.astype(np.int64))
             n = sum(np.maximum(words - k, 0) for k in range(ORDERS))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words), pa.array(n), pa.array(weight)], names=["doc_id", "n_words", "n_features", "weight"])
-        give_back()
+        _free()
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("text"))
     return source.mapInArrow(run, "doc_id long, n_words long, n_features long, weight long")

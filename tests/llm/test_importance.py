@@ -78,10 +78,12 @@ def test_dictionary_counts_every_string_once(spark):
 def test_pieces_overlap_by_two_words(monkeypatch):
     text = (b"Some Words of \xc3\xa9t\xc3\xa9, 12-and more_" * 40) + b"x" * 300 + b" end of it"
     want = collections.Counter(features_of(text.decode()))
-    for most in (20, 64, 100_000):
+    for most, halved in ((20, False), (64, False), (100_000, False), (100_000, True)):
         got = collections.Counter()
-        for chunk in importance.chunks([text, b"", text], most):
-            f = importance.Features(chunk)
+        made = (x for chunk in importance.chunks([text, b"", text], most) for x in importance.numbered(chunk))
+        if halved:  # each chunk in halves, as if it had too many words
+            made = (x for chunk in importance.chunks([text, b"", text], most) for half in importance.gathered(((r, lead if k else b, p) for r, b, piece in chunk for k, (lead, p) in enumerate(importance.pieces(piece, 700))), 700) for x in importance.numbered(half))
+        for _, f in made:
             w = f.words.words.to_pylist()
             for order in (1, 2, 3):
                 for parts in zip(*importance._split(f.of(order)[0], f.base, order), strict=True):
