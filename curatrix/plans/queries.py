@@ -17,7 +17,7 @@ from curatrix.operators import curation, detection, metrics, ranking, relations,
 from curatrix.plans import training
 from curatrix.session import durable, shared_dir
 from curatrix.sources import files
-from curatrix.streaming import machines, stateful
+from curatrix.streaming import machines, sessions, stateful
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -917,6 +917,31 @@ def stream_latch(spark, d):
     return found.select("event_id", "user_id", F.col("commit").alias("label"))
 
 
+_SESSIONS = f"""b AS (SELECT event_id, user_id, ms, label, CASE WHEN event_id % 97 = 0 THEN 0 ELSE confidence END AS confidence, CASE WHEN event_id // 61 % 3 = 0 THEN 'bisindo' ELSE 'asl' END AS mode,
+    CASE WHEN event_id % 40 = 7 THEN 2 ELSE least(2, event_id * 3 // (SELECT max(event_id) + 1 FROM e)) END AS batch FROM e),
+    u AS (SELECT user_id, batch, max(ms) AS top FROM b GROUP BY ALL), h AS (SELECT b.*, (SELECT max(top) FROM u WHERE u.user_id = b.user_id AND u.batch < b.batch) - {6 * HOUR} AS passed FROM b),
+    l AS (SELECT * FROM h WHERE passed IS NOT NULL AND ms <= passed), g AS (SELECT * FROM h WHERE passed IS NULL OR ms > passed),
+    s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ms) AS session FROM (SELECT *, CASE WHEN lag(mode) OVER (PARTITION BY user_id ORDER BY ms) = mode THEN 0 ELSE 1 END AS fresh FROM g)),
+    w AS (SELECT a.event_id, c.label, count(*) n, sum(c.confidence) s, min(c.ms) f FROM s a JOIN s c ON a.user_id = c.user_id AND a.session = c.session AND c.ms BETWEEN a.ms - {48 * HOUR} AND a.ms GROUP BY ALL),
+    v AS (SELECT *, sum(n) OVER (PARTITION BY event_id) tot, row_number() OVER (PARTITION BY event_id ORDER BY n DESC, f) r FROM w)"""
+
+
+@query(
+    f"""WITH {_EV}, {_SESSIONS} SELECT event_id, 'vote' AS kind, CAST(session AS INTEGER) AS session, CASE WHEN tot < 3 OR v.label = 'UNKNOWN' OR n::DOUBLE / tot < 0.5 THEN 'UNKNOWN' ELSE v.label END AS stable_label,
+    round_even(CASE WHEN tot < 3 THEN 0.0 ELSE v.s / n END, 9) AS stable_confidence FROM v JOIN s USING (event_id) WHERE r = 1 UNION ALL SELECT event_id, 'late', NULL, NULL, NULL FROM l"""
+)
+def stream_sessions(spark, d):
+    """O-113, O-117, O-118: sessions that begin anew with every mode, over three batches; some early rows come in the last one and are late."""
+    rows = _gaps(_events(spark, d)).withColumn("mode", F.when(F.floor(F.col("event_id") / 61) % 3 == 0, "bisindo").otherwise("asl"))
+    rows = durable(rows.select("event_id", "user_id", "ts", "ms", "mode", "label", "confidence"))
+    n = (rows.agg(F.max("event_id")).first()[0] or 0) + 1
+    batch = F.when(F.col("event_id") % 40 == 7, 2).otherwise(F.least(F.lit(2), F.floor(F.col("event_id") * 3 / n)))
+    end = spark.range(1).select(F.lit(-1).cast("long").alias("event_id"), F.lit(-1).cast("long").alias("user_id"), F.timestamp_millis(F.lit(4 * 10**12)).alias("ts"), F.lit(4 * 10**12).cast("long").alias("ms"), F.lit(None).cast("string").alias("mode"), F.lit(None).cast("string").alias("label"), F.lit(None).cast("double").alias("confidence"))
+    processor = sessions.Sessions(48 * HOUR, 3, 0.5, 24 * HOUR, lateness_ms=6 * HOUR, idle_ms=400 * 24 * HOUR)
+    found = sessions.replayed(spark, [rows.where(batch == k) for k in range(3)], f"{shared_dir(spark)}/sessions-{uuid4().hex}", processor, "ts", "1000 days", end)
+    return found.where("user_id >= 0").select("event_id", "kind", "session", "stable_label", F.bround("stable_confidence", 9).alias("stable_confidence"))
+
+
 @query(
     """WITH c AS (SELECT r_name AS mode, chr(65 + CAST(vec_id % 5 AS INTEGER)) AS letter, vec_id, vec_id * 7919 % 1000 AS score FROM embeddings JOIN region ON r_regionkey = vec_id // 5 % 5),
     r AS (SELECT *, row_number() OVER (PARTITION BY mode, letter ORDER BY score DESC, vec_id) n FROM c)
