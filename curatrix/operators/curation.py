@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from curatrix.functions.text import block_id, digest, range_split
 from curatrix.operators.metrics import declared
+from curatrix.session import durable
 
 #: Reasons under which a row has all its hands.
 COMPLETE = ("ok", "hard_negative")
@@ -104,6 +105,15 @@ def checked_ratios(ratios: Sequence[tuple[str, float]]) -> list[tuple[str, float
     return bounds
 
 
+def split_bounds(rows: DataFrame, key: str, name: str, ratio: str, order: str) -> DataFrame:
+    """O-124 of many plans of splits: (key, name, bound), bounds cumulative by ``order``; a plan whose ratios do not add up to 1 within 1e-9 has null bounds and ``refused``."""
+    whole = Window.partitionBy(key)
+    total = F.sum(ratio).over(whole.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    bound = F.sum(ratio).over(whole.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    refused = F.coalesce(F.abs(total - 1.0) > 1e-9, F.lit(True))
+    return rows.withColumn("refused", refused).withColumn("bound", F.when(~F.col("refused"), bound)).select(key, name, "bound", "refused")
+
+
 def group_split(df: DataFrame, group: str, ratios: Sequence[tuple[str, float]], seed: str, stratum: str | None = None, parts: int = 256) -> DataFrame:
     """O-72, O-73: (group, n, split), whole groups dealt by weight in the order of a digest of seed and group.
 
@@ -163,22 +173,28 @@ def violations(df: DataFrame, labels: DataFrame) -> DataFrame:
 
     Rules: rows there at all, the label set equal to ``labels``, sample_id unique,
     no group and no content digest in two splits, every split with every label.
+    The manifest is read once: grouping sets count by sample, by group and split, by digest and split, and by label and
+    split; only what breaks a rule, and the label cells, is kept of that.
     """
-    want, have = labels.select("label").distinct(), df.select("label").distinct()
+    keys = ["sample_id", "group_id", "content_sha256"]
+    sets = df.groupingSets([["sample_id"], ["group_id", "split"], ["content_sha256", "split"], ["label", "split"]], *keys, "label", "split").agg(F.grouping_id().alias("_set"), F.count("*").alias("_n"))
+    kind = F.when(F.col("_set") == 0b01111, "duplicate_sample_id").when(F.col("_set") == 0b10110, "group_leakage").when(F.col("_set") == 0b11010, "hash_leakage").otherwise("cell")
+    subject = F.coalesce(*(F.when(F.col("_set") == g, F.col(c).cast("string")) for g, c in ((0b01111, "sample_id"), (0b10110, "group_id"), (0b11010, "content_sha256"), (0b11100, "label"))))
+    marked = sets.select(kind.alias("rule"), subject.alias("subject"), F.when(kind == "cell", F.col("split")).alias("cell_split"), (kind == "cell").alias("cell"), "split", "_n")
+    found = marked.groupBy("rule", "subject", "cell_split", "cell").agg(F.count("split").alias("splits"), F.sum("_n").alias("n"))
+    broken = F.when(F.col("rule") == "duplicate_sample_id", F.col("n") > 1).otherwise(F.col("splits") > 1)
+    found = durable(found.where(F.col("cell") | broken).select("rule", "subject", "cell_split", "cell"))
+    cells = found.where("cell").select(F.col("cell_split").alias("split"), F.col("subject").alias("label"))
     told = lambda frame, rule, subject: frame.select(F.lit(rule).alias("rule"), subject.cast("string").alias("subject"))
-    leaked = lambda key: df.groupBy(key).agg(F.count_distinct("split").alias("n")).where("n > 1")
-    cells = df.select("split").distinct().select("split", F.explode(declared(labels)).alias("label"))
-    found = [
-        told(df.agg(F.count("*").alias("n")).where("n = 0"), "empty", F.lit("manifest")),
+    want, have = labels.select(F.col("label").cast("string")).distinct(), cells.select("label").distinct()
+    every = cells.select("split").distinct().select("split", F.explode(declared(labels)).alias("label"))
+    out = found.where("NOT cell").select("rule", "subject")
+    for frame in (
+        told(cells.agg(F.count("*").alias("n")).where("n = 0"), "empty", F.lit("manifest")),
         told(want.exceptAll(have), "label_missing", F.col("label")),
         told(have.exceptAll(want), "label_unexpected", F.col("label")),
-        told(df.groupBy("sample_id").count().where("count > 1"), "duplicate_sample_id", F.col("sample_id")),
-        told(leaked("group_id"), "group_leakage", F.col("group_id")),
-        told(leaked("content_sha256"), "hash_leakage", F.col("content_sha256")),
-        told(cells.join(df.select("split", "label").distinct(), ["split", "label"], "left_anti"), "split_lacks_label", F.concat_ws(":", "split", "label")),
-    ]
-    out = found[0]
-    for frame in found[1:]:
+        told(every.join(cells, ["split", "label"], "left_anti"), "split_lacks_label", F.concat_ws(":", "split", "label")),
+    ):
         out = out.unionByName(frame)
     return out
 

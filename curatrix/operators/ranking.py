@@ -25,9 +25,9 @@ def best(df: DataFrame, *scores: Column, key: str) -> DataFrame:
     return df.orderBy(*(s.desc() for s in scores), key).limit(1)
 
 
-def lookup_letter(catalog: DataFrame, letter: str) -> DataFrame:
-    """O-92: entries of a letter, in either case."""
-    return catalog.where(F.col("letter") == letter.upper())
+def lookup_letters(catalog: DataFrame, letters: Sequence[str], rank: str = "rank", letter: str = "letter") -> DataFrame:
+    """O-92 of several letters at once, case ignored: their best entries, from one pass over the catalog."""
+    return catalog.where(F.upper(letter).isin([x.upper() for x in letters]) & (F.col(rank) == 1))
 
 
 def letter_coverage(modes: DataFrame, letters: Sequence[str], candidates: DataFrame, static: Column) -> DataFrame:

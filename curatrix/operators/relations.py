@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from curatrix.session import durable
+
 
 def pair(left: DataFrame, right: DataFrame, key: str, last: str | None = None) -> DataFrame:
     """O-41: inner pairs by key; with ``last``, of right rows that share a key the one with the greatest ``last`` counts."""
@@ -64,7 +66,7 @@ def duplicate_summary(df: DataFrame, digest: str, label: str) -> DataFrame:
 
 
 def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """O-58, O-80: (field, value, n) of several columns in one pass over the rows."""
+    """O-58: (field, value, n) of several columns in one pass over the rows."""
     pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in columns)))
     return df.select(pairs.alias("p")).groupBy("p.field", "p.value").agg(F.count("*").alias("n"))
 
@@ -104,3 +106,20 @@ def with_dimension(df: DataFrame, dimension: DataFrame, key: str, **fields: Sequ
 def with_misses(truth: DataFrame, predictions: DataFrame, key: str) -> DataFrame:
     """O-54: rows without a prediction are predicted UNKNOWN."""
     return truth.join(predictions, key, "left").withColumn("pred", F.coalesce("pred", F.lit("UNKNOWN")))
+
+
+def in_order(df: DataFrame, order: Sequence[str], position: str = "position") -> DataFrame:
+    """O-80: the rows in a total order, with their places from 0; ranges of the order are sorted apart, and a range begins where those before it end.
+
+    ``order`` has to tell rows apart for places to be the same in every run.
+    """
+    spark = df.sparkSession
+    ranges = durable(df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order).withColumn("_range", F.spark_partition_id()))
+    sizes, at = {r["_range"]: r["count"] for r in ranges.groupBy("_range").count().collect()}, 0
+    offsets = []
+    for k in sorted(sizes):
+        offsets.append((k, at))
+        at += sizes[k]
+    places = spark.createDataFrame(offsets, "_range int, _at long")
+    number = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+    return ranges.join(F.broadcast(places), "_range").withColumn(position, F.col("_at") + number).drop("_range", "_at")

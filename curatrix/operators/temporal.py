@@ -35,6 +35,21 @@ def frame_rate(df: DataFrame, key: str, ts: Column, span: str = "1 second") -> D
     return df.groupBy(key, F.window(ts, span).alias("w")).agg(F.count("*").alias("frames")).select(key, F.col("w.start").alias("start"), "frames")
 
 
+def frame_meter(df: DataFrame, key: str, ms: Column, latency: Column, span_ms: int = 1000) -> DataFrame:
+    """O-110: adds fps (of the last closed window), frames and closed (at rows that close a window) and latency_ms.
+
+    Windows follow each other: each begins with the frame that closed the one before. Times ascend within a key.
+    """
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    rows = df.withColumns({"_ms": ms, "latency_ms": latency.cast("double")})
+    return folded(rows, key, ["_ms"], machines.meter(span_ms, "_ms"), f"{kept}, latency_ms double, fps double, frames long, closed boolean")
+
+
+def observed(stream: DataFrame, latency: str, name: object = "meter") -> DataFrame:
+    """O-110: a stream, or a batch, whose every (micro-)batch reports its frames and latency under ``name``: ``query.lastProgress.observedMetrics``."""
+    return stream.observe(name, F.count(F.lit(1)).alias("frames"), F.avg(latency).alias("latency_ms"), F.max(latency).alias("worst_ms"))
+
+
 def sliding_majority(df: DataFrame, key: str, ms: Column, label: Column, confidence: Column, window_ms: int = 420, least: int = 5, ratio: float = 0.64, ranges: int | None = None) -> DataFrame:
     """O-113: adds stable_label and stable_confidence.
 

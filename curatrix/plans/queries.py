@@ -876,6 +876,20 @@ def busy_latch(spark, d):
     return temporal.commit_latch(rows, "user_id", F.col("ms"), F.col("label"), HOUR, ranges=8).select("event_id", "label")
 
 
+@query(
+    f"""WITH RECURSIVE {_EV}, o AS (SELECT e.event_id, e.user_id, e.ms, v.value AS latency, row_number() OVER (PARTITION BY e.user_id ORDER BY e.ms) rn FROM e JOIN events v USING (event_id)),
+    r AS (SELECT event_id, user_id, rn, latency, ms AS since, 1::BIGINT AS open, 0.0::DOUBLE AS fps, 0::BIGINT AS frames, false AS closed FROM o WHERE rn = 1 UNION ALL
+    SELECT o.event_id, o.user_id, o.rn, o.latency, CASE WHEN o.ms - r.since >= {24 * HOUR} THEN o.ms ELSE r.since END, CASE WHEN o.ms - r.since >= {24 * HOUR} THEN 0 ELSE r.open + 1 END,
+    CASE WHEN o.ms - r.since >= {24 * HOUR} THEN ((r.open + 1) * 1000)::DOUBLE / (o.ms - r.since) ELSE r.fps END, CASE WHEN o.ms - r.since >= {24 * HOUR} THEN r.open + 1 ELSE 0 END, o.ms - r.since >= {24 * HOUR} FROM r JOIN o ON o.user_id = r.user_id AND o.rn = r.rn + 1)
+    SELECT event_id, fps * 1000000.0::DOUBLE AS frames_a_megasecond, frames, closed, latency AS latency_ms FROM r"""
+)
+def frame_meter(spark, d):
+    """O-110: windows that begin anew at the frame that closed the last one, and the latency beside the rate."""
+    rows = _events(spark, d).join(_t(spark, d, "events").select("event_id", "value"), "event_id").select("event_id", "user_id", "ms", "value")
+    found = temporal.frame_meter(rows, "user_id", F.col("ms"), F.col("value"), 24 * HOUR)
+    return found.select("event_id", (F.col("fps") * F.lit(1e6)).alias("frames_a_megasecond"), "frames", "closed", "latency_ms")
+
+
 @query("SELECT user_id, date_trunc('day', ts) AS start, count(*) AS frames FROM events GROUP BY ALL")
 def frame_rate(spark, d):
     """O-110."""
@@ -954,8 +968,5 @@ def letter_coverage(spark, d):
     v = F.col("vec_id")
     rows = _t(spark, d, "embeddings").select(v.alias("candidate"), F.floor(v / 5 % 5).alias("r_regionkey"), F.char(v % 5 + 65).alias("letter"), (v * 7919 % 1000).alias("score"))
     catalog = ranking.ranked(rows.join(F.broadcast(modes), "r_regionkey"), ["mode", "letter"], [F.desc("score"), F.col("candidate")])
-    found = None
-    for letter in letters:
-        part = ranking.lookup_letter(catalog, letter.lower())
-        found = part if found is None else found.unionByName(part)
+    found = ranking.lookup_letters(catalog, [x.lower() for x in letters])
     return ranking.letter_coverage(modes, letters, found, ~F.col("letter").isin("D", "E"))

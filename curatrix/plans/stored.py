@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from uuid import uuid4
 
@@ -195,70 +196,113 @@ def consolidated(spark, d):
     return found.select(F.col("sample_id").cast("long").alias("vec_id"), "feature_row", F.col("chunk_index").alias("chunk"))
 
 
-@query("SELECT * FROM (VALUES ('a', 'One', 'id', '1', '10.1/a', 'https://a.test'), ('b', 'Two', NULL, NULL, '10.1/b', 'https://b.test')) t(id, name, language, version, doi, page_url)")
+@query(
+    """SELECT lower(n_name) AS id, n_name AS name, CASE WHEN n_nationkey % 3 = 0 THEN 'id' END AS language, CASE WHEN n_nationkey % 2 = 0 THEN CAST(n_regionkey AS VARCHAR) END AS version, '10.1/' || n_nationkey AS doi, CASE WHEN n_nationkey % 5 <> 4 THEN 'https://' || lower(n_name) || '.test' END AS page_url FROM nation"""
+)
 def source_registry(spark, d):
-    """O-18."""
-    return files.source_registry(spark, [{"id": "a", "name": "One", "language": "id", "version": "1", "doi": "10.1/a", "page_url": "https://a.test"}, {"id": "b", "name": "Two", "dataset_doi": "10.1/b", "repository_url": "https://b.test"}])
+    """O-18: sources written as JSON with either name of a field, read as one table."""
+    k, at = F.col("n_nationkey"), _folder(spark)
+    doi, url = F.concat(F.lit("10.1/"), k), F.when(k % 5 != 4, F.concat(F.lit("https://"), F.lower("n_name"), F.lit(".test")))
+    sources = _t(spark, d, "nation").select(F.lower("n_name").alias("id"), F.col("n_name").alias("name"), F.when(k % 3 == 0, "id").alias("language"), F.when(k % 2 == 0, F.col("n_regionkey").cast("string")).alias("version"), F.when(k % 4 > 0, doi).alias("doi"), F.when(k % 4 == 0, doi).alias("dataset_doi"), F.when(k % 5 < 2, url).alias("page_url"), F.when(k % 5 >= 2, url).alias("repository_url"), F.col("n_nationkey").alias("file"))
+    sources.repartition("file").write.partitionBy("file").json(at)
+    return files.source_registry(spark, at)
+
+
+@query("SELECT o_orderstatus AS status, count(*) AS orders FROM orders GROUP BY 1")
+def control_file(spark, d):
+    """O-08: counts in a control file that is published twice by renaming, the second time whole; read through Spark."""
+    at = f"{_folder(spark)}/state.json"
+    counts = {r["o_orderstatus"]: r["count"] for r in _t(spark, d, "orders").groupBy("o_orderstatus").count().collect()}  # a dimension
+    for value in ({"status": "running", "counts": {}}, {"status": "complete", "counts": counts}):
+        files.write_json_atomic(value, at, spark)
+    state = files.read_json(spark, at, T.StructType.fromDDL("status string, counts map<string,long>")).where("status = 'complete'")
+    return state.select(F.explode("counts").alias("status", "orders"))
+
+
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderstatus, o_custkey, o_orderkey) - 1 AS position FROM orders")
+def sorted_manifest(spark, d):
+    """O-80: rows in the order of a manifest, with their places."""
+    return relations.in_order(_t(spark, d, "orders").select("o_orderstatus", "o_custkey", "o_orderkey"), ["o_orderstatus", "o_custkey", "o_orderkey"]).select("o_orderkey", "position")
 
 
 # --- contracts -----------------------------------------------------------------------------
 
-_STATE = {"status": "complete", "feature_version": "v2", "feature_count": 132, "generation_key": "k"}
-_SUMMARY = {"generation_key": "k"}
-_KEPT = {"generation_key": "k", "manifest_sha256": "m", "model_sha256": "d", "feature_version": "v2"}
-_STALE = [
-    ("whole", {}, None),
-    ("no state", {"state": None}, "missing extraction state"),
-    ("running", {"state": _STATE | {"status": "running"}}, "extraction is not complete"),
-    ("older features", {"state": _STATE | {"feature_count": 126}}, "feature schema does not match"),
-    ("no model", {"model_sha256": None}, "detector model is missing"),
-    ("older key", {"state": _STATE | {"generation_key": "x"}}, "stale extraction state"),
-    ("no summary", {"summary": None}, "missing summary"),
-    ("other summary", {"summary": {"generation_key": "x"}}, "summary does not match the state"),
-    ("bare store", {"store": {"generation_key": "k"}}, "store has no provenance"),
-    ("older store", {"store": _KEPT | {"generation_key": "x"}}, "stale store"),
-    ("older manifest", {"store": _KEPT | {"manifest_sha256": "x"}}, "stale manifest digest"),
-    ("older detector", {"store": _KEPT | {"model_sha256": "x"}}, "stale detector digest"),
-    ("older store features", {"store": _KEPT | {"feature_version": "v1"}}, "stale feature version"),
+_BREAKS = [
+    None,
+    "missing extraction state",
+    "extraction is not complete",
+    "feature schema does not match",
+    "detector model is missing",
+    "stale extraction state",
+    "missing summary",
+    "summary does not match the state",
+    "store has no provenance",
+    "stale store",
+    "stale manifest digest",
+    "stale detector digest",
+    "stale feature version",
 ]
+_PROFILE, _POLICY = {"confidence": 0.5, "name": "détecteur"}, {"retries": 2}
+
+
+def _broken_run(key: int, name: str) -> list[tuple[str, bytes]]:
+    """The files of a run (name, content), broken in the way of its number."""
+    manifest, model = f"sample_id,label\n{key},{name}\n".encode(), f"model of {name}".encode()
+    digest = lambda data: hashlib.sha256(data).hexdigest()
+    reason = _BREAKS[key % len(_BREAKS)]
+    own = provenance.generation_key(feature_version="v2", feature_count=132, manifest_sha256=digest(manifest), model_sha256=None if key % 13 == 4 else digest(model), detector_profile=_PROFILE, recovery_policy=_POLICY)
+    state = {"status": "running" if key % 13 == 2 else "complete", "feature_version": "v2", "feature_count": 126 if key % 13 == 3 else 132, "generation_key": "x" if key % 13 == 5 else own}
+    summary = {"generation_key": "x" if key % 13 == 7 else own}
+    store = {"generation_key": own, "manifest_sha256": digest(manifest), "model_sha256": digest(model), "feature_version": "v2"}
+    if key % 13 == 8:
+        store = {"generation_key": own}
+    elif key % 13 > 8:
+        store |= {list(store)[key % 13 - 9]: "x"}
+    made = {"manifest.csv": manifest, "model.task": model, "state.json": json.dumps(state).encode(), "summary.json": json.dumps(summary).encode(), "store.json": json.dumps(store).encode()}
+    lacking = {"missing extraction state": "state.json", "detector model is missing": "model.task", "missing summary": "summary.json"}.get(reason)
+    return [(f"{name}/{file}", content) for file, content in made.items() if file != lacking]
+
+
+@query("SELECT n_name AS run, CASE n_nationkey % 13 " + " ".join(f"WHEN {k} THEN '{reason}'" for k, reason in enumerate(_BREAKS) if reason) + " END AS reason FROM nation")
+def stale_artifacts(spark, d):
+    """O-122: runs of real files, a folder each, broken in as many ways as there are checks; digests are taken of what lies there."""
 
+    def make(parts):
+        for part in parts:
+            yield pd.DataFrame([f for k, n in zip(part["n_nationkey"].tolist(), part["n_name"], strict=True) for f in _broken_run(k, n)], columns=["name", "content"])
 
-@query(f"SELECT * FROM (VALUES {_values([(name, reason) for name, _, reason in _STALE])}) t(name, reason)")
-def stale_artifacts(spark, d):
-    """O-122: the control files go through JSON files; each broken in one way."""
     at = _folder(spark)
-    usual = {"state": _STATE, "summary": _SUMMARY, "store": _KEPT, "feature_version": "v2", "feature_count": 132, "manifest_sha256": "m", "model_sha256": "d", "key": "k"}
-    spark.createDataFrame([(name, provenance.canonical(usual | change)) for name, change, _ in _STALE], "name string, value string").write.parquet(at)
-    rows = spark.read.parquet(at).collect()
-    return spark.createDataFrame([(r["name"], provenance.stale(**json.loads(r["value"]))) for r in rows], "name string, reason string")
+    files.write_files(_t(spark, d, "nation").select("n_nationkey", "n_name").mapInPandas(make, "name string, content binary"), at).agg(F.sum("length")).collect()
+    found = provenance.audit_artifacts(files.scan(spark, at, content=True), feature_version="v2", feature_count=132, profile=_PROFILE, policy=_POLICY)
+    return found.select(F.url_decode("run").alias("run"), "reason")
 
 
-def _contract(**change: object) -> dict:
+_PROBLEMS = [None, "schema or mode", "features", "policy", "classes", "classes", "detector profile", "threshold", "routes", "scaler", "layers", "classes", "unreadable"]
+
+
+def _contract(key: int, name: str, two: str) -> bytes:
+    """A model of the classes ``name`` and UNKNOWN, its contract broken in the way of its number."""
     layers = [{"inputSize": 2, "outputSize": 2, "activation": "softmax", "weights": [[0.1, 0.2], [0.3, 0.4]], "bias": [0.0, 0.1]}]
-    model = {"schemaVersion": 1, "mode": "m", "featureVersion": "hand-pose-v2", "featureCount": 2, "classes": ["A", "UNKNOWN"], "confidenceThreshold": 0.4, "expectedHands": {"A": 1, "UNKNOWN": 0}, "inferencePolicy": "p", "scaler": {"mean": [0.0, 0.0], "scale": [1.0, 2.0]}, "layers": layers}
-    return model | change
-
-
-_MODELS = [
-    ("whole", {}, None),
-    ("other mode", {"mode": "x"}, "schema or mode"),
-    ("other width", {"featureCount": 3}, "features"),
-    ("other policy", {"inferencePolicy": "x"}, "policy"),
-    ("no unknown", {"classes": ["A", "B"]}, "classes"),
-    ("twice a class", {"classes": ["A", "A", "UNKNOWN"]}, "classes"),
-    ("threshold", {"confidenceThreshold": 1.5}, "threshold"),
-    ("route", {"expectedHands": {"A": 3, "UNKNOWN": 0}}, "routes"),
-    ("scale", {"scaler": {"mean": [0.0, 0.0], "scale": [1.0, 0.0]}}, "scaler"),
-    ("no layers", {"layers": []}, "layers"),
-]
+    model = {"schemaVersion": 1, "mode": "m", "featureVersion": "hand-pose-v2", "featureCount": 2, "classes": ["UNKNOWN", "A"], "confidenceThreshold": 0.4, "expectedHands": {"A": 1, "UNKNOWN": 0}, "inferencePolicy": "p", "detectorProfile": {"two": 2, "one": {"y": 1.5, "x": name}}, "scaler": {"mean": [0.0, 0.0], "scale": [1.0, 2.0]}, "layers": layers}
+    model["detectorProfile"]["one"]["x"] = two
+    change = [{}, {"mode": "x"}, {"featureCount": 3}, {"inferencePolicy": "x"}, {"classes": ["A", "B"]}, {"classes": ["A", "A", "UNKNOWN"]}, {"detectorProfile": {"two": 2, "one": {"x": two}}}, {"confidenceThreshold": 1.5}, {"expectedHands": {"A": 3, "UNKNOWN": 0}}, {"scaler": {"mean": [0.0, 0.0], "scale": [1.0, 0.0]}}, {"layers": []}, {"classes": ["C", "UNKNOWN"]}, {}]
+    data = json.dumps(model | change[key % 13]).encode()
+    return data[: len(data) // 2] if key % 13 == 12 else data
 
 
-@query(f"SELECT * FROM (VALUES {_values([(name, problem) for name, _, problem in _MODELS])}) t(name, problem)")
+@query("SELECT n_nationkey, CASE n_nationkey % 13 " + " ".join(f"WHEN {k} THEN '{p}'" for k, p in enumerate(_PROBLEMS) if p) + " END AS problem FROM nation")
 def model_contracts(spark, d):
-    """O-16, O-123: model files written, read through Spark and checked, each broken in one way."""
+    """O-16, O-123: a model file for each nation, each broken in one way or none, read through Spark and checked where it is read."""
+
+    def make(parts):
+        for part in parts:
+            rows = zip(part["n_nationkey"].tolist(), part["n_name"], strict=True)
+            yield pd.DataFrame([(f"{k}.json", _contract(k, n, "é")) for k, n in rows], columns=["name", "content"])
+
     at = _folder(spark)
-    spark.createDataFrame([(name, provenance.canonical(_contract(**change))) for name, change, _ in _MODELS], "name string, value string").write.partitionBy("name").text(at)
-    return spark.createDataFrame([(name, provenance.model_problem(files.load_model(spark, f"{at}/name={name}"), mode="m", feature_count=2, policy="p")) for name, _, _ in _MODELS], "name string, problem string")
+    files.write_files(_t(spark, d, "nation").select("n_nationkey", "n_name").mapInPandas(make, "name string, content binary"), at).agg(F.sum("length")).collect()
+    found = provenance.audit_models(files.scan(spark, at, content=True), mode="m", feature_count=2, policy="p", classes=["A", "UNKNOWN"], profile={"one": {"x": "é", "y": 1.5}, "two": 2})
+    return found.select(text.stem(text.basename(F.col("path"))).cast("int").alias("n_nationkey"), "problem")
 
 
 _JSON = """'{"key":' || n_nationkey || ',"mode":' || coalesce('"' || %s || '"', 'null') || ',"region":' || n_regionkey || '}'"""
@@ -275,15 +319,24 @@ def generation_keys(spark, d):
     return found.join(spark.createDataFrame(own, "n_nationkey long, own string"), "n_nationkey").select("n_nationkey", "canonical", "generation", (F.col("own") == F.col("generation")).alias("same"))
 
 
-@query("SELECT * FROM (VALUES ('train', 0.8), ('val', 0.9), ('test', 1.0), ('refused', -1.0)) t(name, bound)")
+@query(
+    """WITH r AS (SELECT o_orderpriority AS plan, o_orderstatus AS name, count(*) AS n FROM orders GROUP BY ALL), s AS (SELECT plan, name, n::DOUBLE / sum(n) OVER (PARTITION BY plan) + CASE WHEN plan < '3' AND name = 'F' THEN 0.001 ELSE 0 END AS ratio FROM r),
+    b AS (SELECT plan, name, sum(ratio) OVER (PARTITION BY plan ORDER BY name) AS bound, abs(sum(ratio) OVER (PARTITION BY plan) - 1) > 1e-9 AS refused FROM s) SELECT plan, name, round_even(CASE WHEN NOT refused THEN bound END, 9) AS bound, refused FROM b"""
+)
 def split_bounds(spark, d):
-    """O-124: cumulative bounds; ratios that do not add up are refused."""
-    rows = [(name, round(bound, 9)) for name, bound in curation.checked_ratios([("train", 0.8), ("val", 0.1), ("test", 0.1)])]
-    try:
-        curation.checked_ratios([("train", 0.8), ("val", 0.1)])
-    except ValueError:
-        rows.append(("refused", -1.0))
-    return spark.createDataFrame(rows, "name string, bound double")
+    """O-124: plans of splits from the orders' shares, some of which do not add up; and the driver's own check gives the same bounds."""
+    counts = _t(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("plan"), F.col("o_orderstatus").alias("name")).agg(F.count("*").alias("n"))
+    share = F.col("n") / F.sum("n").over(Window.partitionBy("plan")) + F.when((F.col("plan") < "3") & (F.col("name") == "F"), 0.001).otherwise(0.0)
+    rows = durable(counts.select("plan", "name", share.alias("ratio")))
+    for r in rows.groupBy("plan").agg(F.array_sort(F.collect_list(F.struct("name", "ratio"))).alias("ratios")).collect():  # a dimension
+        try:
+            curation.checked_ratios([(x["name"], x["ratio"]) for x in r["ratios"]])
+            refused = False
+        except ValueError:
+            refused = True
+        if refused != (r["plan"] < "3"):
+            raise AssertionError(r)
+    return curation.split_bounds(rows, "plan", "name", "ratio", "name").select("plan", "name", F.bround("bound", 9).alias("bound"), "refused")
 
 
 # --- filters and variants ------------------------------------------------------------------
@@ -395,12 +448,13 @@ def handedness_values(spark, d):
 
 
 @query(
-    """SELECT CAST(i AS INTEGER) AS at, CASE WHEN i < 126 THEN 'hand_' || (i // 63) || '_landmark_' || lpad(CAST(i % 63 // 3 AS VARCHAR), 2, '0') || '_' || ['x', 'y', 'z'][i % 3 + 1]
-    ELSE ['hand_0_present', 'hand_1_present', 'interhand_dx', 'interhand_dy', 'interhand_distance', 'interhand_log_scale_ratio'][i - 125] END AS name FROM range(132) t(i)"""
+    """SELECT vec_id, CASE WHEN i < 126 THEN 'hand_' || (i // 63) || '_landmark_' || lpad(CAST(i % 63 // 3 AS VARCHAR), 2, '0') || '_' || ['x', 'y', 'z'][i % 3 + 1]
+    ELSE ['hand_0_present', 'hand_1_present', 'interhand_dx', 'interhand_dy', 'interhand_distance', 'interhand_log_scale_ratio'][i - 125] END AS name FROM (SELECT vec_id, vec_id % 132 AS i FROM embeddings)"""
 )
 def feature_names(spark, d):
-    """O-89."""
-    return spark.createDataFrame(list(enumerate(pose.feature_names())), "at int, name string")
+    """O-89: the name of a feature of every row."""
+    names = F.array(*map(F.lit, pose.feature_names()))
+    return _t(spark, d, "embeddings").select("vec_id", F.element_at(names, (F.col("vec_id") % 132 + 1).cast("int")).alias("name"))
 
 
 @query("SELECT vec_id, CASE vec_id % 5 WHEN 1 THEN 'shape' WHEN 2 THEN 'non_finite' WHEN 3 THEN 'scale' WHEN 4 THEN 'shape' END AS problem FROM embeddings")

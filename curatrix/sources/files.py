@@ -10,6 +10,7 @@ import tempfile
 import zlib
 from collections.abc import Iterator
 from pathlib import Path
+from uuid import uuid4
 
 import numpy as np
 import pandas as pd
@@ -145,8 +146,19 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame
     return spark.read.schema(schema).option("multiLine", "true").json(path)
 
 
-def write_json_atomic(value: object, path: str) -> None:
-    """O-08, O-15: control files on the driver; written beside the target and renamed."""
+def write_json_atomic(value: object, path: str, spark: SparkSession | None = None) -> None:
+    """O-08, O-15: control files from the driver; written beside the target and renamed. With ``spark`` the path may be in any store that Spark knows."""
+    if spark is not None:
+        hadoop = spark._jvm.org.apache.hadoop.fs
+        target, beside = hadoop.Path(path), hadoop.Path(f"{path}.{uuid4().hex}.tmp")
+        store = target.getFileSystem(spark._jsc.hadoopConfiguration())
+        out = store.create(beside, True)
+        out.write(bytearray((json.dumps(value, indent=2) + "\n").encode()))
+        out.close()
+        store.delete(target, False)
+        if not store.rename(beside, target):
+            raise OSError(f"cannot publish {path}")
+        return
     target = Path(path)
     target.parent.mkdir(parents=True, exist_ok=True)
     handle, name = tempfile.mkstemp(dir=target.parent, prefix=f".{target.name}.")
@@ -185,8 +197,13 @@ def load_model(spark: SparkSession, path: str) -> dict:
     return json.loads("\n".join(r["value"] for r in spark.read.text(path, wholetext=True).collect()))
 
 
-def source_registry(spark: SparkSession, sources: list[dict]) -> DataFrame:
-    """O-18: sources with optional fields under either name as one table."""
-    fields = ("id", "name", "language", "version", "doi", "dataset_doi", "page_url", "repository_url")
-    rows = spark.createDataFrame([tuple(s.get(f) for f in fields) for s in sources], ", ".join(f"{f} string" for f in fields))
-    return rows.select("id", "name", "language", "version", F.coalesce("doi", "dataset_doi").alias("doi"), F.coalesce("page_url", "repository_url").alias("page_url"))
+def registered(rows: DataFrame) -> DataFrame:
+    """O-18: sources with optional fields under either name (doi or dataset_doi, page_url or repository_url) as one table; columns that are lacking are null."""
+    have = {c.lower() for c in rows.columns}
+    field = lambda *names: F.coalesce(*(F.col(n) if n in have else F.lit(None).cast("string") for n in names), F.lit(None).cast("string")).alias(names[0])
+    return rows.select(*map(field, ("id", "name", "language", "version")), field("doi", "dataset_doi"), field("page_url", "repository_url"))
+
+
+def source_registry(spark: SparkSession, path: str) -> DataFrame:
+    """O-18: the registry of JSON files of sources, a file or line each."""
+    return registered(read_json(spark, path, T.StructType.fromDDL("id string, name string, language string, version string, doi string, dataset_doi string, page_url string, repository_url string")))

@@ -180,3 +180,40 @@ def hold(target: str, gain: int = 10, loss: int = 25, least: float = 0.7, full:
         return (progress, done, (name[-1], float(sure[-1]))), np.arange(n), {"progress": shown, "completed": ends}
 
     return Machine(lambda: (0, 0, None), step, fold)
+
+
+def meter(span: int = 1000, ms: str = "ms") -> Machine:
+    """O-110: a rate that is taken anew whenever ``span`` has gone by since the frame that closed the last window; the first window begins with the first frame.
+
+    Frames of a window over its length, in frames a second; 0 before the first window closes. ``closed`` says that the row closes one.
+    """
+
+    def step(state: tuple, row: dict) -> tuple[tuple, dict]:
+        since, frames, fps = state
+        since, frames = row[ms] if since is None else since, frames + 1
+        elapsed = row[ms] - since
+        if elapsed < span:
+            return (since, frames, fps), {"fps": fps, "frames": 0, "closed": False}
+        return (row[ms], 0, frames * 1000 / elapsed), {"fps": frames * 1000 / elapsed, "frames": frames, "closed": True}
+
+    def fold(state: tuple, columns: Columns) -> tuple[tuple, np.ndarray, Columns]:
+        since, frames, rate = state
+        t = columns[ms]
+        n = len(t)
+        fps, count, closed = np.zeros(n), np.zeros(n, dtype=np.int64), np.zeros(n, dtype=bool)
+        if n and since is None:
+            since = int(t[0])
+        begin = 0
+        while begin < n:  # one turn for each window
+            k = max(begin, int(np.searchsorted(t, since + span)))
+            fps[begin:k] = rate
+            if k >= n:
+                frames += n - begin
+                break
+            frames += k - begin + 1
+            rate = frames * 1000 / int(t[k] - since)
+            fps[k], count[k], closed[k] = rate, frames, True
+            since, frames, begin = int(t[k]), 0, k + 1
+        return (since, frames, rate), np.arange(n), {"fps": fps, "frames": count, "closed": closed}
+
+    return Machine(lambda: (None, 0, 0.0), step, fold)

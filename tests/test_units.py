@@ -349,3 +349,38 @@ def test_generation_key_is_that_of_escaped_json():
     import hashlib
 
     assert provenance.generation_key(a="données", b=None) == hashlib.sha256(b'{"a":"donn\\u00e9es","b":null}').hexdigest()
+
+
+def test_meter_folds_as_it_steps():
+    rng = np.random.default_rng(4)
+    for _ in range(50):
+        t = np.sort(rng.integers(0, 9000, rng.integers(0, 60))).astype(np.int64)
+        machine = machines.meter(1000)
+        state, want = machine.start(), []
+        for x in t.tolist():
+            state, out = machine.step(state, {"ms": x})
+            want.append((out["fps"], out["frames"], out["closed"]))
+        cut, got, carried = int(rng.integers(0, len(t) + 1)), [], machine.start()
+        for part in (t[:cut], t[cut:]):
+            carried, _, out = machine.fold(carried, {"ms": part})
+            got += list(zip(out["fps"].tolist(), out["frames"].tolist(), out["closed"].tolist(), strict=True))
+        assert got == want and carried == state
+
+
+def test_frames_and_latency_are_observed(spark):
+    from pyspark.sql import Observation
+
+    seen = Observation("meter")
+    df = spark.createDataFrame([(1, 5.0), (2, 9.0)], "ms long, latency double")
+    assert temporal.observed(df, "latency", seen).count() == 2
+    assert seen.get == {"frames": 2, "latency_ms": 7.0, "worst_ms": 9.0}
+
+
+def test_constraints_of_odd_manifests(spark):
+    labels = spark.createDataFrame([("A",), ("B",)], "label string")
+    schema = "sample_id string, group_id string, content_sha256 string, label string, split string"
+    rules = lambda rows: sorted((r["rule"], r["subject"]) for r in curation.violations(spark.createDataFrame(rows, schema), labels).collect())
+    assert rules([]) == [("empty", "manifest"), ("label_missing", "A"), ("label_missing", "B")]
+    good = [("1", "g", "h", "A", "train"), ("2", "g", "i", "B", "train")]
+    assert rules(good) == []
+    assert rules([*good, ("2", "k", "h", "C", "val"), (None, "g", None, "A", "val")]) == [("duplicate_sample_id", "2"), ("group_leakage", "g"), ("hash_leakage", "h"), ("label_unexpected", "C"), ("split_lacks_label", "val:B")]
