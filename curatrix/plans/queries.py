@@ -773,7 +773,7 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
 
 
 HOUR = 3_600_000
-_EV = "e AS (SELECT event_id, user_id, epoch_ms(ts) AS ms, CASE WHEN event_type = 'view' THEN 'UNKNOWN' ELSE event_type END AS label, value / 500 AS confidence FROM events)"
+_EV = "e AS (SELECT event_id, user_id, epoch_us(ts) // 1000 AS ms, CASE WHEN event_type = 'view' THEN 'UNKNOWN' ELSE event_type END AS label, value / 500 AS confidence FROM events)"
 _STABLE = f"""{_EV}, w AS (SELECT a.event_id, b.label, count(*) n, sum(CASE WHEN b.event_id % 97 = 0 THEN 0 ELSE b.confidence END) s, min(b.ms) f FROM e a JOIN e b ON a.user_id = b.user_id AND b.ms BETWEEN a.ms - {48 * HOUR} AND a.ms GROUP BY ALL),
     v AS (SELECT *, sum(n) OVER (PARTITION BY event_id) tot, row_number() OVER (PARTITION BY event_id ORDER BY n DESC, f) r FROM w),
     st AS (SELECT e.event_id, user_id, ms, CASE WHEN tot < 3 OR v.label = 'UNKNOWN' OR n::DOUBLE / tot < 0.5 THEN 'UNKNOWN' ELSE v.label END AS stable_label, CASE WHEN tot < 3 THEN 0.0 ELSE s / n END AS stable_confidence FROM v JOIN e USING (event_id) WHERE r = 1)"""
@@ -853,7 +853,7 @@ def _one_user(spark: SparkSession, d: str) -> DataFrame:
 
 def _single(sql: str) -> str:
     """The SQL of users' events, for one user with an event each hour."""
-    return sql.replace("SELECT event_id, user_id, epoch_ms(ts) AS ms", f"SELECT event_id, 0::BIGINT AS user_id, event_id * {HOUR} AS ms")
+    return sql.replace("SELECT event_id, user_id, epoch_us(ts) // 1000 AS ms", f"SELECT event_id, 0::BIGINT AS user_id, event_id * {HOUR} AS ms")
 
 
 @query(f"WITH {_single(_EV)}, o AS (SELECT event_id, ceil(event_id * 0.37::DOUBLE)::BIGINT AS c, row_number() OVER (ORDER BY ms) AS n FROM e) SELECT event_id, max(c - n) OVER (ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) + n AS clock FROM o")
