@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from curatrix.functions import bits, geometry, pose, text
 from curatrix.operators import curation, detection, metrics, ranking, relations, scoring, similarity, temporal
-from curatrix.plans import training
+from curatrix.plans import distributed, training
 from curatrix.session import durable, shared_dir
 from curatrix.sources import files
 from curatrix.streaming import machines, sessions, stateful
@@ -764,6 +764,22 @@ def train_candidates(spark, d):
     return spark.createDataFrame([(r["name"], r["macro_f1"], r["epochs"], r["name"] == chosen) for r in reports], "name string, macro_f1 double, epochs int, chosen boolean")
 
 
+@query()
+def train_over_tables(spark, d):
+    """O-125, O-128: two networks whose rows stay in their table; losses and scores by epoch, ``chosen`` by the best macro F1."""
+    classes = [str(k) for k in range(10)]
+    v = F.col("vec_id")
+    rows = _t(spark, d, "embeddings").select(v, "embedding", F.col("label").cast("string").alias("label"))
+    part = lambda which: distributed.prepared(rows.where(which), F.col("embedding"), F.col("label"), v, classes, group_rows=500)
+    fit, held = part(v % 5 != 0), part(v % 5 == 0)
+    reports = []
+    for name, hidden in (("small", (16,)), ("large", (32, 16))):
+        _, net = distributed.train(fit, held, classes, f"{shared_dir(spark)}/train-{uuid4().hex}", hidden, epochs=4)
+        reports.append({"name": name, "macro_f1": max(net.scores), "curve": list(zip(net.losses, net.scores, strict=True))})
+    chosen = training.choose(reports, ["macro_f1"])["name"]
+    return spark.createDataFrame([(r["name"], k, round(loss, 9), round(score, 9), r["name"] == chosen) for r in reports for k, (loss, score) in enumerate(r["curve"], 1)], "name string, epoch int, loss double, macro_f1 double, chosen boolean")
+
+
 # --- time ----------------------------------------------------------------------------------
 
 
