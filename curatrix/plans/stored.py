@@ -171,16 +171,14 @@ def chunk_store(spark, d):
         made = {"features": F.array_repeat(F.lit(0.5).cast("float"), 132), "usable": F.lit(True), "generation_key": F.lit(key)}
         files.write_store(rows.select(*(F.col(f.name) if f.name in rows.columns else made.get(f.name, F.lit(None).cast(f.dataType)).alias(f.name) for f in schemas.STORE.fields)), at)
 
-    def valid() -> DataFrame:
-        return spark.createDataFrame([(k,) for k in range(4) if files.valid_chunk(spark, at, k, f"key{k}", counts.get(k, 0))], "chunk_index int")
-
+    expected = spark.createDataFrame([(k, f"key{k}", counts.get(k, 0)) for k in range(4)], "chunk_index int, key string, count long")
+    valid = lambda: files.valid_chunks(spark, at, expected).where("valid")
     for _ in range(2):
         for row in stateful.pending(items, valid(), "chunk_index", most=2).collect():
             write(row["chunk_index"], f"key{row['chunk_index']}")
         write(1, "of an older run")
-    good = {r["chunk_index"] for r in valid().collect()}
-    left = {r["chunk_index"] for r in stateful.pending(items, valid(), "chunk_index").collect()}
-    return spark.createDataFrame([(k, counts.get(k, 0), k in good, k in left) for k in range(4)], "chunk int, n long, whole boolean, pending boolean")
+    found = expected.join(valid(), "chunk_index", "left")
+    return found.select(F.col("chunk_index").alias("chunk"), F.col("count").alias("n"), F.col("valid").isNotNull().alias("whole"), F.col("valid").isNull().alias("pending"))
 
 
 @query("SELECT vec_id, CAST(row_number() OVER (ORDER BY vec_id DESC) AS INTEGER) AS feature_row, CAST(vec_id % 3 AS INTEGER) AS chunk FROM embeddings")

@@ -7,6 +7,7 @@ import json
 import os
 import struct
 import tempfile
+import time
 import zlib
 from collections.abc import Iterator
 from pathlib import Path
@@ -168,23 +169,54 @@ def write_json_atomic(value: object, path: str, spark: SparkSession | None = Non
     os.replace(name, target)
 
 
-def write_store(df: DataFrame, path: str) -> None:
-    """O-09: the landmark store, a folder for each chunk; rewriting a chunk replaces that chunk alone."""
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def _chunk_facts(store: DataFrame, width: int) -> DataFrame:
+    """(chunk_index, rows, whole, low_key, high_key, digest) of every chunk: one aggregate; the digest does not depend on the rows' order."""
+    marks = F.xxhash64(*(f.name for f in schemas.STORE.fields if f.name != "chunk_index"))
+    return store.groupBy("chunk_index").agg(F.count("*").alias("rows"), F.count_if(F.size("features") == width).alias("whole"), F.min("generation_key").alias("low_key"), F.max("generation_key").alias("high_key"), F.bit_xor(marks).alias("digest"), F.sum(F.shiftright(marks, 16)).alias("total"))
+
+
+def write_store(df: DataFrame, path: str, width: int = 132) -> None:
+    """O-09: the landmark store, a folder for each chunk; rewriting a chunk replaces that chunk alone.
+
+    A commit log beside the chunks takes their rows and digests, from what was written, once the chunks stand.
+    """
+    spark = df.sparkSession
     df.select(*schemas.STORE.fieldNames()).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("chunk_index").parquet(path)
+    written = df.select("chunk_index").distinct()
+    facts = _chunk_facts(read_store(spark, path).join(F.broadcast(written), "chunk_index", "left_semi"), width)
+    facts.withColumn("version", F.lit(time.time_ns())).write.mode("append").parquet(f"{path}/_commits")
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.STORE).parquet(path)
 
 
+def valid_chunks(spark: SparkSession, path: str, expected: DataFrame, width: int = 132) -> DataFrame:
+    """O-10: (chunk_index, valid) for every row of ``expected`` (chunk_index, key, count), all chunks in one pass.
+
+    Valid: as many rows as expected, whole vectors, this key throughout, and what the last commit of the chunk logged. Files that
+    cannot be read, or are not there, count as no rows, so their chunks are invalid; other faults are errors.
+    """
+    if not _exists(spark, f"{path}/_commits"):
+        return expected.select("chunk_index", F.lit(False).alias("valid"))
+    lenient = {"ignoreCorruptFiles": "true", "ignoreMissingFiles": "true"}
+    have = _chunk_facts(spark.read.options(**lenient).schema(schemas.STORE).parquet(path), width)
+    facts = [c for c in have.columns if c != "chunk_index"]
+    log = spark.read.options(**lenient).parquet(f"{path}/_commits").groupBy("chunk_index").agg(F.max_by(F.struct(*facts), "version").alias("logged"))
+    met = expected.select("chunk_index", "key", "count").join(have, "chunk_index", "left").join(log, "chunk_index", "left")
+    good = (F.col("rows") == F.col("count")) & (F.col("whole") == F.col("count")) & (F.col("low_key") == F.col("key")) & (F.col("high_key") == F.col("key")) & F.col("logged").eqNullSafe(F.struct(*facts))
+    return met.select("chunk_index", F.coalesce(good, F.lit(False)).alias("valid"))
+
+
 def valid_chunk(spark: SparkSession, path: str, index: int, key: str, count: int, width: int = 132) -> bool:
-    """O-10: the chunk has this key, this many rows and whole vectors; what cannot be read is invalid."""
-    try:
-        rows = read_store(spark, path).where(F.col("chunk_index") == index)
-        got = rows.agg(F.count("*").alias("n"), F.count_if((F.col("generation_key") == key) & (F.size("features") == width)).alias("good")).first()
-        return got["n"] == count and got["good"] == count
-    except Exception:  # a missing or broken file, or another schema
-        return False
+    """O-10 of one chunk."""
+    expected = spark.createDataFrame([(index, key, count)], "chunk_index int, key string, count long")
+    return valid_chunks(spark, path, expected, width).first()["valid"]
 
 
 def parse_annotations(text: Column) -> Column:
