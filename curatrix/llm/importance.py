@@ -97,8 +97,11 @@ def strings(data: bytes, separator: int) -> tuple[pa.Array, np.ndarray]:
     """The stretches between separators, and where they begin."""
     b = np.frombuffer(data, dtype=np.uint8)
     inside = b != separator
-    edge = np.diff(np.concatenate([[0], inside.view(np.int8), [0]]).astype(np.int8))
-    begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    edge = np.zeros(len(b) + 1, dtype=bool)
+    edge[:-1] = inside
+    edge[1:] ^= inside
+    edges = np.flatnonzero(edge)
+    begin, end = edges[::2], edges[1::2]
     offsets = np.zeros(len(begin) + 1, dtype=np.int64)
     np.cumsum(end - begin, out=offsets[1:])
     array = pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(b[inside])])
@@ -164,12 +167,12 @@ class Features:
     def __init__(self, chunk: list[Piece]) -> None:
         every, begin = strings(b" ".join(piece for _, _, piece in chunk), 32)
         coded = every.dictionary_encode()
-        self.words, self.ids = Words(coded.dictionary), coded.indices.to_numpy().astype(np.int64)
+        self.words, self.ids = Words(coded.dictionary), coded.indices.to_numpy()
         self.base = max(len(coded.dictionary), 1)
         starts = np.cumsum([0, *(len(piece) + 1 for _, _, piece in chunk)])
         first = np.searchsorted(begin, starts)
         self.n_words = np.diff(first)
-        self.piece = np.repeat(np.arange(len(chunk)), self.n_words)
+        self.piece = np.repeat(np.arange(len(chunk), dtype=np.int32), self.n_words)
         #: words that belong to the piece itself
         self.new = np.ones(len(self.ids), dtype=bool)
         for k, (_, before, _) in enumerate(chunk):
@@ -180,7 +183,7 @@ class Features:
         n = len(self.ids) - order + 1
         if n < 1:
             return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
-        number = self.ids[:n].copy()
+        number = self.ids[:n].astype(np.int64)
         for k in range(1, order):
             number = number * self.base + self.ids[k : k + n]
         last = np.flatnonzero(self.new[order - 1 :] & (self.piece[order - 1 :] == self.piece[:n]))
@@ -222,7 +225,7 @@ def _blocks(features: Features, parts: int) -> Iterator[tuple]:
         number, count = np.unique(features.of(order)[0], return_counts=True)
         if not len(number):
             continue
-        of = _split(number, features.base, order)
+        of = [word.astype(np.int32) for word in _split(number, features.base, order)]
         h = np.full(len(number), order, dtype=np.uint64)
         for word in of:
             h = (h ^ mixed[word]) * np.uint64(0x9E3779B97F4A7C15)
@@ -230,6 +233,7 @@ def _blocks(features: Features, parts: int) -> Iterator[tuple]:
         part = (h % np.uint64(parts)).astype(np.int32)
         by_part = np.argsort(part, kind="stable")
         part, of, count = part[by_part], [word[by_part] for word in of], count[by_part].astype("<u4")
+        del number, h, by_part
         opens = np.append(True, (of[0][1:] != of[0][:-1]) | (part[1:] != part[:-1]))
         stretch = np.flatnonzero(opens)
         columns = [_column(lines, of[0][stretch]), *(_column(lines, word) for word in of[1:])]
