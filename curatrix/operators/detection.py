@@ -1,13 +1,17 @@
-"""Choosing among detector results (O-49, O-50, O-112, O-135)."""
+"""Choosing among detector results (O-49, O-50, O-112, O-129, O-135)."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from curatrix.sources import pictures
+
 
 def cascade(candidates: Sequence[tuple[str, Column]], expected: Column | None = None) -> tuple[Column, Column]:
     """O-49, O-112: (strategy, hands) of the first candidate with hands; the first candidate when all are empty."""
@@ -51,3 +55,57 @@ def detect(df: DataFrame, open_detectors: Callable[[], Sequence[tuple[str, Calla
             yield part.assign(strategy=names, hands=results)
 
     return df.mapInPandas(run, schema)
+
+
+@dataclass(frozen=True)
+class Strategy:
+    """How a picture comes to a detector: its threshold, whether it is cut to its box, and a border of repeated edges as a share of the longer side."""
+
+    name: str
+    threshold: float
+    cropped: bool = False
+    padding: float | None = None
+
+    def image(self, pixels: np.ndarray, box: Sequence[int] | None) -> np.ndarray | None:
+        """The picture for the detector; None where a box is needed and there is none, or an empty one."""
+        if self.cropped:
+            if box is None:
+                return None
+            left, top, right, bottom = box
+            pixels = pixels[max(top, 0) : bottom, max(left, 0) : right]
+            if not pixels.size:
+                return None
+        if self.padding is not None:
+            pixels = pictures.edge_padded(pixels, max(1, round(max(pixels.shape[:2]) * self.padding)))
+        return pixels
+
+
+def evaluate_strategies(df: DataFrame, strategies: Sequence[Strategy], open_detector: Callable[[float], Callable[[np.ndarray], int]], content: str = "content", box: str = "box") -> DataFrame:
+    """O-112, O-129: a row for each row and strategy, with strategy, hands and error; one pass in which every picture is decoded once.
+
+    A table function in a lateral join: each task opens a detector for each threshold once. ``box`` holds (left, top, right, bottom) or null.
+    A picture that cannot be decoded, or a detector that fails on it, gives an error and no hands; a strategy without its box gives neither.
+    """
+    plan = list(strategies)
+
+    class Evaluate:
+        def __init__(self) -> None:
+            self.detectors = {s.threshold: open_detector(s.threshold) for s in plan}
+
+        def eval(self, data: bytes, corners: list) -> Iterator[tuple]:
+            try:
+                pixels, error = pictures.decode(None if data is None else bytes(data)), None
+            except Exception as fault:  # whatever a decoder raises is the row's result
+                pixels, error = None, f"{type(fault).__name__}: {fault}"
+            for s in plan:
+                hands, fault = None, error
+                if pixels is not None:
+                    try:
+                        image = s.image(pixels, None if corners is None else [int(c) for c in corners])
+                        hands = None if image is None else int(self.detectors[s.threshold](image))
+                    except Exception as failed:  # a row's failure is its result
+                        fault = f"{type(failed).__name__}: {failed}"
+                yield s.name, hands, fault
+
+    function = F.udtf(Evaluate, returnType="strategy string, hands int, error string")
+    return df.lateralJoin(function(F.col(content).outer(), F.col(box).outer()))

@@ -128,6 +128,38 @@ def contact_sheets(spark, d):
     return pictures.sheets(placed, "p_type", "k", _SHEET_SIDE, most=50).mapInPandas(measure, "p_type string, page long, tiles int, width int, height int, brightness long")
 
 
+_STRATEGIES = [("full_50", 0.5, False, None), ("full_30", 0.3, False, None), ("full_10", 0.1, False, None), ("cut_50", 0.5, True, None), ("padded_50", 0.5, False, 0.34), ("padded_30", 0.3, False, 0.2), ("cut_padded_30", 0.3, True, 0.5)]
+#: Times that a padded pixel stands on an axis of so many pixels: once, and at an edge as often as the border is wide besides.
+_TIMES = "(1 + CASE WHEN {0} = {1} THEN s.border ELSE 0 END + CASE WHEN {0} = {2} THEN s.border ELSE 0 END)"
+
+
+@query(
+    f"""WITH s AS (SELECT * FROM (VALUES {_values([(n, t, int(c), 0 if p is None else max(1, round((4 if c else 6) * p))) for n, t, c, p in _STRATEGIES])}) t(strategy, threshold, cut, border)),
+    p AS (SELECT p_partkey, x, y, (p_partkey * 31 + x * x * 7 + y * 13 + x * y * (p_partkey % 11)) % 256 AS v FROM part, range(6) a(x), range(6) b(y)),
+    c AS (SELECT p_partkey, strategy, sum(CASE WHEN v > threshold * 255 THEN CASE WHEN cut = 1 THEN {_TIMES.format("x", 1, 4)} * {_TIMES.format("y", 2, 5)} ELSE {_TIMES.format("x", 0, 5)} * {_TIMES.format("y", 0, 5)} END ELSE 0 END) AS n
+    FROM p, s WHERE cut = 0 OR (x BETWEEN 1 AND 4 AND y BETWEEN 2 AND 5) GROUP BY ALL)
+    SELECT p_partkey, strategy, CASE WHEN p_partkey % 10 = 9 OR (p_partkey % 3 = 0 AND strategy LIKE 'cut%') THEN NULL ELSE CAST(least(2, n // 8) AS INTEGER) END AS hands, p_partkey % 10 = 9 AS failed FROM c"""
+)
+def strategy_evaluation(spark, d):
+    """O-112, O-129: seven strategies over every item's picture in one pass; the detector counts bright pixels by eights."""
+
+    def draw(parts):
+        for part in parts:
+            made = []
+            for key in part["p_partkey"].tolist():
+                x, y = np.meshgrid(np.arange(6), np.arange(6))
+                grey = ((key * 31 + x * x * 7 + y * 13 + x * y * (key % 11)) % 256).astype(np.uint8)
+                made.append((key, pictures.encode_png(np.repeat(grey[..., None], 3, axis=2))[: 40 if key % 10 == 9 else None], [1, 2, 5, 6] if key % 3 else None))
+            yield pd.DataFrame(made, columns=["p_partkey", "content", "box"])
+
+    def open_detector(threshold: float):
+        return lambda pixels: min(2, int((pixels[..., 0] > threshold * 255).sum()) // 8)
+
+    rows = _t(spark, d, "part").select("p_partkey").mapInPandas(draw, "p_partkey long, content binary, box array<int>")
+    found = detection.evaluate_strategies(rows, [detection.Strategy(*s) for s in _STRATEGIES], open_detector)
+    return found.select("p_partkey", "strategy", "hands", F.col("error").isNotNull().alias("failed"))
+
+
 def _manifest(spark: SparkSession, d: str) -> DataFrame:
     rows = _t(spark, d, "orders").select(
         text.sample_id(F.col("o_orderstatus"), F.col("o_orderkey")).alias("sample_id"),
