@@ -5,7 +5,8 @@ subdomains, and the longest that fits decides. Other urls are judged by their
 words: host and path are cut into runs of letters, each run is split into words
 by a Viterbi search over unigram probabilities, and naive Bayes adds up the
 words' log odds. The urls that a rule judges are its labelled examples, but for
-a held-out fifth (crc32 of host and path mod 5 is 0); there are no word lists.
+a held-out fifth (crc32 of host and path mod 5 is 0); there are no word lists. Words where
+rules look (host endings, first folders) have no odds: examples would only teach the rules back.
 
 The unigrams are the counts of all runs of the whole table. A run of at most
 ``longest`` letters is a word of the dictionary, unless it is a compound: a chain
@@ -205,15 +206,16 @@ def judge(pages: DataFrame, known: DataFrame, prior: float, rules=RULES, id_col:
             found = [[get(x) for x in runs] for runs in batch.column(5).to_pylist()]
             full = [None not in f for f in found]
             words = [" ".join(w for w, _ in f) if k else None for f, k in zip(found, full, strict=True)]
-            odds = [sum(o for _, o in f) if k else None for f, k in zip(found, full, strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(6)), pa.array(words, pa.string()), pa.array(odds, pa.int64())], names=["page_id", "host", "path", "rule", "verdict", "runs", "words", "odds"])
+            silent = zip(batch.column(6).to_pylist(), batch.column(7).to_pylist(), strict=True)
+            odds = [sum(o for _, o in [*f[:a], *f[b:]]) if k else None for f, k, (a, b) in zip(found, full, silent, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(8)), pa.array(words, pa.string()), pa.array(odds, pa.int64())], names=["page_id", "host", "path", "rule", "verdict", "runs", "skip", "skip_end", "words", "odds"])
 
-    done = rows.mapInArrow(run, "page_id long, host string, path string, rule string, verdict string, runs array<string>, words string, odds long")
+    done = rows.mapInArrow(run, "page_id long, host string, path string, rule string, verdict string, runs array<string>, skip int, skip_end int, words string, odds long")
     if not all_of_them:
         open_ = done.where(F.col("words").isNull())
-        urls = open_.select("host", "path", "runs").distinct().select(F.struct("host", "path").alias("at"), F.posexplode("runs").alias("k", "run"))
+        urls = open_.select("host", "path", "runs", "skip", "skip_end").distinct().select(F.struct("host", "path").alias("at"), "skip", "skip_end", F.posexplode("runs").alias("k", "run"))
         met = meet(urls.withColumn("by", F.xxhash64("at")), known.select("run", "words", "odds"), "run", "by")
-        found = met.groupBy("at").agg(F.array_sort(F.collect_list(F.struct("k", "words"))).alias("all"), F.sum("odds").alias("odds"))
+        found = met.groupBy("at").agg(F.array_sort(F.collect_list(F.struct("k", "words"))).alias("all"), F.sum(F.when((F.col("k") < F.col("skip")) | (F.col("k") >= F.col("skip_end")), F.col("odds")).otherwise(0)).alias("odds"))
         found = found.select(F.xxhash64("at").alias("by"), "at", F.array_join(F.col("all.words"), " ").alias("words"), "odds")
         left = meet(open_.drop("words", "odds").select("*", F.xxhash64(F.struct("host", "path")).alias("by")), found, "by", "page_id")
         left = left.where(F.col("at") == F.struct("host", "path"))
@@ -223,12 +225,31 @@ def judge(pages: DataFrame, known: DataFrame, prior: float, rules=RULES, id_col:
     return done.select("page_id", "host", "path", "rule", F.coalesce("verdict", verdict).alias("verdict"), "words", margin.alias("log_odds"))
 
 
+def unseen_part(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
+    """Host and path without the places where rules look: at the end of the host as many labels as the longest rule host has (or, of
+    a host that is no longer than that, the last one, or all if it is a rule's), and the first folder of the path.
+
+    Words of these places would teach the rules back, so they have no odds, neither in examples nor in urls that are judged.
+    """
+    labels = max((h.count(".") + 1 for _, h, _ in rules), default=1)
+    whole = host.isin(*sorted({h for _, h, _ in rules})) if rules else F.lit(False)
+    many = F.size(F.split(host, r"\.")) > labels
+    before = F.when(whole, "").when(many, F.regexp_replace(host, rf"(\.[^.]*){{{labels}}}$", "")).otherwise(F.regexp_replace(host, r"[^.]*$", ""))
+    return before, F.regexp_replace(path, r"(?s)\A/[^/]*/", "/")
+
+
 def ruled(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """(page_id, host, path, rule, verdict, runs) for every row; rule and verdict are null where no rule fits."""
+    """(page_id, host, path, rule, verdict, runs, skip, skip_end) for every row; rule and verdict are null where no rule fits.
+
+    Runs from place ``skip`` up to ``skip_end`` are those that rules look at.
+    """
     host, path = host_and_path(F.col(url_col))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    return rows.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("verdict"), runs_of(F.col("host"), F.col("path")).alias("runs"))
+    runs = runs_of(F.col("host"), F.col("path"))
+    before, after = unseen_part(F.col("host"), F.col("path"), rules)
+    skip, skip_end = F.size(runs_of(before, F.lit(""))), F.size(runs) - F.size(runs_of(F.lit(""), after))
+    return rows.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("verdict"), runs.alias("runs"), skip.alias("skip"), skip_end.alias("skip_end"))
 
 
 def examples_of(rows: DataFrame, held_out: bool = False) -> DataFrame:
@@ -242,7 +263,8 @@ def fit(pages: DataFrame, rules=RULES, url_col: str = "url") -> tuple[DataFrame,
     rows = ruled(pages.select(F.lit(0).alias("page_id"), F.col(url_col).alias("url")), rules)
     runs = durable(unigrams(rows))
     segmented = durable(segment(runs, durable(dictionary(runs))))
-    odds, prior = fit_bayes(examples_of(rows), segmented)
+    told = F.filter("runs", lambda r, k: (k < F.col("skip")) | (k >= F.col("skip_end")))
+    odds, prior = fit_bayes(examples_of(rows).withColumn("runs", told), segmented)
     return durable(run_odds(segmented, odds)), prior
 
 
