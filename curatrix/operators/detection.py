@@ -7,8 +7,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from curatrix.sources import pictures
 
@@ -83,29 +85,39 @@ class Strategy:
 def evaluate_strategies(df: DataFrame, strategies: Sequence[Strategy], open_detector: Callable[[float], Callable[[np.ndarray], int]], content: str = "content", box: str = "box") -> DataFrame:
     """O-112, O-129: a row for each row and strategy, with strategy, hands and error; one pass in which every picture is decoded once.
 
-    A table function in a lateral join: each task opens a detector for each threshold once. ``box`` holds (left, top, right, bottom) or null.
+    Each task opens a detector for each threshold once. ``box`` holds (left, top, right, bottom) or null.
     A picture that cannot be decoded, or a detector that fails on it, gives an error and no hands; a strategy without its box gives neither.
+    A row's results leave Python as one array, so its own columns are not repeated there.
     """
     plan = list(strategies)
-
-    class Evaluate:
-        def __init__(self) -> None:
-            self.detectors = {s.threshold: open_detector(s.threshold) for s in plan}
-
-        def eval(self, data: bytes, corners: list) -> Iterator[tuple]:
-            try:
-                pixels, error = pictures.decode(None if data is None else bytes(data)), None
-            except Exception as fault:  # whatever a decoder raises is the row's result
-                pixels, error = None, f"{type(fault).__name__}: {fault}"
-            for s in plan:
-                hands, fault = None, error
-                if pixels is not None:
-                    try:
-                        image = s.image(pixels, None if corners is None else [int(c) for c in corners])
-                        hands = None if image is None else int(self.detectors[s.threshold](image))
-                    except Exception as failed:  # a row's failure is its result
-                        fault = f"{type(failed).__name__}: {failed}"
-                yield s.name, hands, fault
-
-    function = F.udtf(Evaluate, returnType="strategy string, hands int, error string")
-    return df.lateralJoin(function(F.col(content).outer(), F.col(box).outer()))
+    kinds = T.StructType.fromDDL("strategy string, hands int, error string")
+
+    def evaluate(detectors: dict, data: bytes | None, corners: list | None) -> Iterator[tuple]:
+        try:
+            pixels, error = pictures.decode(data), None
+        except Exception as fault:  # whatever a decoder raises is the row's result
+            pixels, error = None, f"{type(fault).__name__}: {fault}"
+        for s in plan:
+            hands, fault = None, error
+            if pixels is not None:
+                try:
+                    image = s.image(pixels, None if corners is None else [int(c) for c in corners])
+                    hands = None if image is None else int(detectors[s.threshold](image))
+                except Exception as failed:  # a row's failure is its result
+                    fault = f"{type(failed).__name__}: {failed}"
+            yield s.name, hands, fault
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        detectors = {s.threshold: open_detector(s.threshold) for s in plan}
+        for batch in batches:
+            rows = zip(batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True)
+            found = [r for data, corners in rows for r in evaluate(detectors, data, corners)]
+            flat = [pa.array(c, k) for c, k in zip(zip(*found, strict=True) if found else [()] * 3, (pa.string(), pa.int32(), pa.string()), strict=True)]
+            results = pa.ListArray.from_arrays(pa.array(range(0, len(found) + 1, len(plan) or 1) if found else [0] * (batch.num_rows + 1), pa.int32()), pa.StructArray.from_arrays(flat, names=kinds.names))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], results], names=[f"c{k}" for k in range(batch.num_columns - 2)] + ["found"])
+
+    # columns go by place, so names that clash are the caller's own
+    given = df.select(*df.columns, F.col(content), F.col(box)).toDF(*(f"c{k}" for k in range(len(df.columns) + 2)))
+    schema = T.StructType([T.StructField(f"c{k}", f.dataType) for k, f in enumerate(df.schema)]).add("found", T.ArrayType(kinds))
+    own = [F.col(f"c{k}").alias(name) for k, name in enumerate(df.columns)]
+    return given.mapInArrow(run, schema).select(*own, F.inline("found"))
