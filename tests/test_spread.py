@@ -59,3 +59,35 @@ def test_pictures_are_not_a_file_each(spark, tmp_path, monkeypatch):
     tasks, share = busiest(found)
     assert tasks == tasks_for(spark) and share < 2 / tasks
     assert found.count() == 2000 and len([p for p in at.rglob("*") if p.is_file() and not p.name.startswith((".", "_"))]) <= tasks_for(spark)
+
+
+def events(spark, tmp_path, n=2000):
+    """A table of events in one small file."""
+    k = F.col("id")
+    rows = spark.range(n).select(k.alias("event_id"), F.timestamp_seconds(1_700_000_000 + k * 977).alias("ts"), (k % 97).alias("user_id"), F.when(k % 3 == 0, "view").otherwise("click").alias("event_type"), (k % 500).cast("double").alias("value"))
+    rows.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    return str(tmp_path)
+
+
+def files_of_streams(monkeypatch):
+    """The numbers of files that a folder of stream input has got, call by call."""
+    from pathlib import Path
+
+    from curatrix.streaming import stateful
+
+    seen, read = [], stateful.read_frames
+
+    def read_frames(spark, path, *rest, **more):
+        seen.append(len(list(Path(path.removeprefix("file:")).glob("*.parquet"))))
+        return read(spark, path, *rest, **more)
+
+    monkeypatch.setattr(stateful, "read_frames", read_frames)
+    return seen
+
+
+def test_session_batches_come_in_many_files(spark, tmp_path, monkeypatch):
+    from curatrix.plans import queries
+
+    seen = files_of_streams(monkeypatch)
+    assert queries.stream_sessions(spark, events(spark, tmp_path)).count() == 2000
+    assert len(seen) == 4 and seen[0] >= 4 and seen[2] >= seen[1] + 4
