@@ -91,3 +91,13 @@ def test_session_batches_come_in_many_files(spark, tmp_path, monkeypatch):
     seen = files_of_streams(monkeypatch)
     assert queries.stream_sessions(spark, events(spark, tmp_path)).count() == 2000
     assert len(seen) == 4 and seen[0] >= 4 and seen[2] >= seen[1] + 4
+
+
+def test_machine_batches_come_in_many_files(spark, tmp_path, monkeypatch):
+    from curatrix.plans import queries
+
+    seen, folder = files_of_streams(monkeypatch), events(spark, tmp_path)
+    out = queries.stream_majority(spark, folder)
+    assert len(seen) == 3 and seen[0] >= 4 and seen[2] >= seen[0] + 8
+    assert out.exceptAll(queries.sliding_majority(spark, folder)).count() == 0 and out.count() == 2000
+    assert sorted(queries.stream_latch(spark, folder).collect()) == sorted(queries.commit_latch(spark, folder).collect())
