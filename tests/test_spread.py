@@ -116,3 +116,20 @@ def test_sheets_reach_every_core(spark, tmp_path):
     got = sorted((r["kind"] is None, r["n"], r["k"]) for r in placed.collect())
     want = [(False, n, k) for k, n in enumerate(n for n in range(1000) if n % 3)] + [(True, n, n // 3) for n in range(0, 1000, 3)]
     assert got == want
+
+
+def test_fingerprints_in_bounded_memory(spark, monkeypatch):
+    """Few words are kept at a time and texts come in slices; fingerprints are the same."""
+    import pyarrow as pa
+
+    from curatrix.plans import queries
+    from curatrix.session import slices
+
+    at = "/root/testdata/sf0.001"
+    whole = sorted(queries.difference_hashes(spark, at).collect())
+    assert queries.KNOWN_WORDS <= 50_000
+    monkeypatch.setattr(queries, "KNOWN_WORDS", 3)
+    assert sorted(queries.difference_hashes(spark, at).collect()) == whole
+    batch = pa.RecordBatch.from_arrays([pa.array(range(50)), pa.array(["x" * 1000] * 50)], names=["k", "text"])
+    parts = list(slices(iter([batch, batch.slice(0, 0)]), 1, 10_000))
+    assert sum(p.num_rows for p in parts) == 50 and max(p.num_rows for p in parts) <= 10
