@@ -7,9 +7,12 @@ that BPE scores amount to, and byte fallback.
 Where no piece has a marker after another character, no merge crosses the start
 of a run of markers, and none crosses a character that is in no longer piece
 (a line end, say). A text is then a chain of chunks whose ids do not depend on
-each other. Each task encodes a distinct chunk once, in multithreaded batches,
-checks it against the sentencepiece library, and keeps at most ``CACHE`` of them.
-A chunk on which the two differ keeps the rebuilt backend's ids and is counted.
+each other. Each task encodes a distinct chunk once, checks it against the
+sentencepiece library and decodes it, and keeps at most ``CACHE`` of them. Where a
+line end is one piece that no other holds, ``GROUP`` chunks go through both
+libraries and back as one text of a line each; a group that is not equal
+throughout is gone through again chunk by chunk. A chunk on which the two differ
+keeps the rebuilt backend's ids and is counted.
 """
 
 from __future__ import annotations
@@ -32,6 +35,8 @@ MARK = "▁"
 CACHE = 400_000
 #: Longer chunks are not remembered.
 LONG = 200
+#: Chunks that are encoded as one text.
+GROUP = 200
 UNKNOWN, CONTROL, USER, BYTE = 2, 3, 4, 6
 UNIGRAM, BPE = 1, 2
 
@@ -150,6 +155,7 @@ class Codec:
         self.normalise = _normaliser(self.model)
         self.memory: dict[str, bytes] = {}
         self.differs: set[str] = set()
+        self.bent: set[str] = set()
         plain = [p for p, _, kind in self.model.pieces if kind not in (UNKNOWN, CONTROL, BYTE)]
         inner = {c for p in plain if len(p) > 1 for c in p}
         self.splits = self.model.kind == BPE and not any(MARK in p.lstrip(MARK) for p in plain)
@@ -160,6 +166,15 @@ class Codec:
         for piece, _, kind in self.model.pieces:
             table.append(bytes([int(piece[3:5], 16)]) if kind == BYTE else b" \xe2\x81\x87 " if kind == UNKNOWN else b"" if kind == CONTROL else piece.replace(MARK, " ").encode())
         self.table = table
+        self.line = self._line_end() if self.splits and lone else None
+
+    def _line_end(self) -> int | None:
+        """The id of a line end that both libraries keep and give to no other text."""
+        if self.model.charsmap or self.model.trim:
+            return None
+        ids, right = self.twin.encode("\n", add_special_tokens=False).ids, self.own.encode("\n")
+        holds = [k for k, piece in enumerate(self.table) if b"\n" in piece]
+        return ids[0] if ids == right[-1:] == holds and self.table[ids[0]] == b"\n" else None
 
     def _reference(self, chunks: list[str]) -> list[list[int]]:
         """sentencepiece's ids of chunks that are normalised already."""
@@ -172,38 +187,73 @@ class Codec:
         found = self.own.encode(inner, num_threads=1)
         return [ids if t[0] == " " and t != " " else ids[lead:] for t, ids in zip(texts, found, strict=True)]
 
-    def _encoded(self, chunks: list[str], at_once: int = 20_000) -> Iterator[list[int]]:
-        """The rebuilt backend's ids, in multithreaded batches that keep no offsets."""
-        for at in range(0, len(chunks), at_once):
-            for found in self.twin.encode_batch_fast(chunks[at : at + at_once], add_special_tokens=False):
-                yield found.ids
-
-    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
+    def _together(self, chunks: list[str]) -> dict[str, bytes] | None:
+        """Ids of chunks that pass both checks, by one text with a line for each; None where the text fails one."""
+        if self.line is None:
+            return None
+        text = "\n" + "\n".join(chunks)
+        plain = text.replace(MARK, " ")
+        ids = self.twin.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        # the dummy prefix stands before the first line end
+        if ids != self.own.encode(plain)[int(self.model.dummy_prefix) :] or b"".join(map(self.table.__getitem__, ids)) != plain.encode():
+            return None
+        found = np.array(ids, dtype="<i4")
+        ends = 4 * np.append(np.flatnonzero(found == self.line), len(found))
+        if len(ends) != len(chunks) + 1:
+            return None
+        whole, ends = found.tobytes(), ends.tolist()
+        return {c: whole[a + 4 : b] for c, a, b in zip(chunks, ends[:-1], ends[1:], strict=True)}
+
+    def _singly(self, chunks: list[str]) -> dict[str, bytes]:
         out = {}
-        for chunk, found, right in zip(chunks, self._encoded(chunks), self._reference(chunks), strict=True):
-            if found != right:
+        for chunk, found, right in zip(chunks, self.twin.encode_batch_fast(chunks, add_special_tokens=False), self._reference(chunks), strict=True):
+            if found.ids != right:
                 self.differs.add(chunk)
-            out[chunk] = np.array(found, dtype="<i4").tobytes()
+            if b"".join(map(self.table.__getitem__, found.ids)) != chunk.replace(MARK, " ").encode():
+                self.bent.add(chunk)
+            out[chunk] = np.array(found.ids, dtype="<i4").tobytes()
         return out
 
+    def _learn(self, chunks: list[str]) -> None:
+        for at in range(0, len(chunks), GROUP):
+            some = chunks[at : at + GROUP]
+            found = self._together(some)
+            self.memory.update(self._singly(some) if found is None else found)
+
+    def _chunks(self, text: str) -> list[str]:
+        """The chunks of a normalised text, in order; empty strings may stand between them."""
+        if self.line is None or "\0" in text or MARK + MARK in text:
+            return self.chunk.findall(text)
+        return text.replace(MARK, "\0" + MARK).replace("\n", "\0\n\0").split("\0")
+
     def encode(self, texts: list[str]) -> tuple[list[bytes], list[int]]:
         """Ids of each text as little-endian int32 bytes, and its chunks whose parity failed."""
+        return self.checked(texts)[:2]
+
+    def checked(self, texts: list[str]) -> tuple[list[bytes], list[int], list[bool]]:
+        """What ``encode`` gives, and whether decoding gives the normalised text back."""
         if not self.splits:
-            ids = [e.ids for e in self.twin.encode_batch([self.normalise(t) for t in texts], add_special_tokens=False)]
+            found = [e.ids for e in self.twin.encode_batch([self.normalise(t) for t in texts], add_special_tokens=False)]
             right = self.own.encode(texts, num_threads=1)
-            wrong = [int(a != b) for a, b in zip(ids, right, strict=True)]
-            return [np.array(a, dtype="<i4").tobytes() for a in ids], wrong
-        chains = [self.chunk.findall(self.normalise(t)) for t in texts]
-        new = list({c for chain in chains for c in chain if c not in self.memory})
+            wrong = [int(a != b) for a, b in zip(found, right, strict=True)]
+            same = [self.decode(np.array(a, dtype=np.int64)) == self.expected(t) for t, a in zip(texts, found, strict=True)]
+            return [np.array(a, dtype="<i4").tobytes() for a in found], wrong, same
+        chains = [self._chunks(self.normalise(t)) for t in texts]
+        every = set().union(*chains) - {""}
+        new = every.difference(self.memory)
         if len(self.memory) + len(new) > CACHE:
-            self.memory, self.differs = {}, set()
-            new = list({c for chain in chains for c in chain})
-        fresh = self._learn(new)
-        self.memory.update((c, b) for c, b in fresh.items() if len(c) <= LONG)
-        get = {**self.memory, **fresh} if any(len(c) > LONG for c in new) else self.memory
-        ids = [b"".join(map(get.__getitem__, chain)) for chain in chains]
+            self.memory, self.differs, self.bent = {}, set(), set()
+            new = every
+        self._learn(list(new))
+        self.memory[""] = b""
+        ids = [b"".join(map(self.memory.__getitem__, chain)) for chain in chains]
         wrong = [sum(c in self.differs for c in chain) if self.differs else 0 for chain in chains]
-        return ids, wrong
+        # where every chunk comes back, so does the text
+        same = [self.bent.isdisjoint(chain) or self.decode(np.frombuffer(b, dtype="<i4")) == self.expected(t) for t, b, chain in zip(texts, ids, chains, strict=True)]
+        for c in new:
+            if len(c) > LONG:
+                del self.memory[c]
+        return ids, wrong, same
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids; the space of the dummy prefix goes, bad bytes become U+FFFD."""
@@ -248,11 +298,10 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
         codec = codec_of(model)
         for batch in slices(batches, 1_000_000):
             texts = batch.column(1).to_pylist()
-            found, wrong = codec.encode(texts)
+            found, wrong, same = codec.checked(texts)
             sizes = np.array([len(b) // 4 for b in found], dtype=np.int32)
             flat = np.frombuffer(b"".join(found), dtype="<i4")
             offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            same = [codec.decode(flat[a:b]) == codec.expected(t) for t, a, b in zip(texts, offsets[:-1], offsets[1:], strict=True)]
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(sizes.astype(np.int64)), pa.array(wrong, pa.int64()), pa.array(same), *batch.columns[2:]], names=["doc_id", "ids", "n_tokens", "parity_errors", "round_trip", *keep])
 

@@ -292,6 +292,43 @@ def test_pieces(spark, docs, edge):
         assert np.frombuffer(ids[0], "<i4").tolist() == own.encode(text) and wrong == [0]
 
 
+class Watched:
+    """A library that counts the texts it is given, and gives other ids to a word."""
+
+    def __init__(self, library, word=None):
+        self.library, self.word, self.texts = library, word, 0
+
+    def encode_batch_fast(self, texts, **options):
+        self.texts += len(texts)
+        return self.library.encode_batch_fast(texts, **options)
+
+    def encode(self, texts, **options):
+        self.texts += 1 if isinstance(texts, str) else len(texts)
+        found = self.library.encode(texts, **options)
+        spoilt = lambda t, ids: ids + [5] if self.word and self.word in t else ids
+        return spoilt(texts, found) if isinstance(texts, str) else [spoilt(t, ids) for t, ids in zip(texts, found, strict=True)]
+
+
+def test_chunks_go_through_both_libraries_in_groups():
+    data = pieces.read_model()
+    texts = [" ".join(f"w{k * 7919 % 4000}x" for k in range(4000)), "a qzword\n\nb qzword  c qzword", "", "a\0b c\n", "x" * 500 + " y", "one ninety two", "▁x ▁▁y \n z"]
+    codec = pieces.Codec(data)
+    codec.twin, codec.own = Watched(codec.twin), Watched(codec.own)
+    codec.encode(texts[:1])
+    assert max(codec.twin.texts, codec.own.texts) <= 4000 // 100  # one text for each chunk before
+    codec.encode(texts[:1])
+    assert max(codec.twin.texts, codec.own.texts) <= 4000 // 100 and not any(len(c) > pieces.LONG for c in codec.memory)
+    plain, grouped = pieces.Codec(data), pieces.Codec(data)
+    plain.line = None  # chunk by chunk
+    bent = next(k for k, (p, _, _) in enumerate(plain.model.pieces) if p == "▁one")
+    found = []
+    for one in (plain, grouped):
+        one.own, one.table[bent] = Watched(one.own, "qzword"), b" two"
+        found.append(one.checked(texts))
+    assert found[0] == found[1] and grouped.line is not None
+    assert found[1][1] == [0, 3, 0, 0, 0, 0, 0] and found[1][2] == [True] * 5 + [False, True]
+
+
 def as_unigram(data):
     """The model at hand as a unigram model: the same pieces, trainer type 1, and a score for each piece by its length and a hash (nothing is trained)."""
 
