@@ -26,6 +26,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -55,8 +56,8 @@ def bucket(word: bytes) -> int:
     return WORD_CLASSES + zlib.crc32((b"\0\0" + word)[-2:]) % (CLASSES - WORD_CLASSES)
 
 
-#: The bucket of every ending of one or two bytes.
-_ENDINGS = {w: bucket(w) for a in range(256) for w in (bytes([a]), *(bytes([a, b]) for b in range(256)))}
+#: The bucket of every ending of two bytes; zero stands before a lone byte.
+_ENDINGS = np.array([[bucket(bytes([a, b])) for b in range(256)] for a in range(256)])
 
 
 def token_counts(texts: DataFrame) -> DataFrame:
@@ -84,29 +85,44 @@ def token_counts(texts: DataFrame) -> DataFrame:
 
 @dataclass
 class Vocabulary:
-    """Totals, the counts and classes of the head tokens, and the counts of each class."""
+    """Totals, the words that are classes, the counts and classes of the head tokens, and the counts of each class."""
 
     total: int
     distinct: int
+    named: dict[bytes, int]
     index: dict[bytes, int]
     count: np.ndarray
     klass: np.ndarray
     class_total: np.ndarray
     class_distinct: np.ndarray
 
-    def classes(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Head index (-1: not in the head) and class of each word, the end token last."""
-        get = self.index.get
-        at = np.fromiter((get(w, -1) for w in words), dtype=np.int64, count=len(words))
-        klass = self.klass[at]
-        tail = np.flatnonzero(at < 0)
-        if len(tail):
-            klass[tail] = [_ENDINGS[words[k][-2:]] for k in tail.tolist()]
-        return np.append(at, self.index.get(END, -1)), np.append(klass, 0)
+    def tokens(self, texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """All tokens of the texts, the class of each, and where each text's end token stands."""
+        words: list[bytes] = []
+        ends = np.empty(len(texts), dtype=np.int64)
+        for k, text in enumerate(texts):
+            words += text.lower().split()
+            ends[k] = len(words)
+            words.append(END)
+        every = np.frombuffer(b"\0 " + b" ".join(words) + b" ", dtype=np.uint8)
+        after = np.flatnonzero(every == 32)[1:]
+        before = every[after - 2]
+        klass = _ENDINGS[np.where(before == 32, 0, before), every[after - 1]]
+        own = np.fromiter(map(self.named.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+        return words, np.where(own < 0, klass, own), ends
+
+    def heads(self, words: list[bytes], klass: np.ndarray) -> np.ndarray:
+        """Head index of each token; -1: not in the head."""
+        place = np.full(CLASSES, -1)
+        place[list(self.named.values())] = [self.index.get(t, -1) for t in self.named]
+        at = place[klass]
+        rest = np.flatnonzero(klass >= WORD_CLASSES)
+        at[rest] = np.fromiter(map(self.index.get, [words[k] for k in rest.tolist()], repeat(-1)), dtype=np.int64, count=len(rest))
+        return at
 
     def triples(self, texts: list[bytes]) -> np.ndarray:
         """Classes (two before, one before, own) of all tokens; a text begins after two ends."""
-        return np.concatenate([contexts(self.classes(t.lower().split())[1]) for t in texts], axis=1)
+        return contexts(*self.tokens(texts)[1:])
 
     @property
     def share(self) -> np.ndarray:
@@ -114,8 +130,12 @@ class Vocabulary:
         return (self.class_total + 0.1) / (self.class_total.sum() + 0.1 * CLASSES)
 
 
-def contexts(klass: np.ndarray) -> np.ndarray:
-    return np.stack([np.concatenate([[0, 0], klass[:-2]])[: len(klass)], np.concatenate([[0], klass[:-1]]), klass])
+def contexts(klass: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Triples of texts that follow each other; an end's class is 0, so it stands for one of the two before the next text."""
+    out = np.zeros((3, len(klass)), dtype=klass.dtype)
+    out[0, 2:], out[1, 1:], out[2] = klass[:-2], klass[:-1], klass
+    out[0, ends[:-1] + 1] = 0
+    return out
 
 
 def vocabulary(counts: DataFrame, head: int = HEAD) -> Vocabulary:
@@ -144,19 +164,24 @@ def vocabulary(counts: DataFrame, head: int = HEAD) -> Vocabulary:
     rest = counts.where(~F.col("token").isin([F.lit(t) for t in named]))
     for row in rest.groupBy((F.crc32(last) % (CLASSES - WORD_CLASSES)).cast("int").alias("k")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
         class_total[WORD_CLASSES + row["k"]], class_distinct[WORD_CLASSES + row["k"]] = row["n"], row["v"]
-    return Vocabulary(int(totals["n"]), int(totals["v"]), index, np.append(number, 0), klass, class_total, class_distinct)
+    return Vocabulary(int(totals["n"]), int(totals["v"]), named, index, np.append(number, 0), klass, class_total, class_distinct)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+    """In place; far below zero the exponential is infinite and the result zero."""
+    np.negative(x, out=x)
+    with np.errstate(over="ignore"):
+        np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 def _gather(index: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     """Distinct indices (of 65,536 at most) and the sums of their rows."""
     by = np.argsort(index.astype(np.uint16), kind="stable")
-    index = index[by]
+    index = index.take(by)
     starts = np.flatnonzero(np.concatenate([[True], index[1:] != index[:-1]]))
-    return index[starts], *(np.add.reduceat(v[by], starts, axis=0) for v in values)
+    return index[starts], *(np.add.reduceat(v.take(by, axis=0), starts, axis=0) for v in values)
 
 
 @dataclass
@@ -197,29 +222,36 @@ class Bilinear:
         mini-batch are shared by its tokens.
         """
         context, place, output, bias = self.params
-        triples = triples[:, rng.permutation(triples.shape[1])]
+        triples = triples.take(rng.permutation(triples.shape[1]), axis=1)
         draws = round(float(np.exp(log_noise.astype(np.float64)).sum()))
 
         def move(kinds: tuple[int, ...], index: np.ndarray, *slopes: np.ndarray) -> None:
             index, *slopes = _gather(index, *slopes)
             for k, slope in zip(kinds, slopes, strict=True):
-                squares = self.squares[k][index] + slope * slope
+                squares = self.squares[k].take(index, axis=0) + slope * slope
                 self.squares[k][index] = squares
                 self.params[k][index] -= rate * slope / np.sqrt(squares)
 
+        width = context.shape[1]
+        both = place.reshape(2 * width, width)  # the same numbers: either place's matrix under the other
         for at in range(0, triples.shape[1], batch):
-            two, one, own = triples[:, at : at + batch]
+            before, own = triples[:2, at : at + batch].T.ravel(), triples[2, at : at + batch]
             noise = np.minimum(np.searchsorted(below, rng.random(draws) * below[-1]), len(bias) - 1)
-            c_two, c_one = context[two], context[one]
-            q = c_two @ place[0] + c_one @ place[1]
-            r_noise, r_own = output[noise], output[own]
-            of_noise = _sigmoid(q @ r_noise.T + (bias[noise] - log_noise[noise]))
+            c = context.take(before, axis=0).reshape(len(own), 2 * width)
+            q = c @ both
+            r_noise, r_own = output[noise], output.take(own, axis=0)
+            of_noise = q @ r_noise.T
+            of_noise += bias[noise] - log_noise[noise]
+            of_noise = _sigmoid(of_noise)
             of_own = _sigmoid(np.einsum("ij,ij->i", q, r_own) + bias[own] - log_noise[own]) - 1
-            g_q = (of_own[:, None] * r_own + of_noise @ r_noise) / len(own)
-            of_own, of_noise = of_own / len(own), of_noise / len(own)
+            of_own /= len(own)
+            of_noise /= len(own)
+            g_q = of_noise @ r_noise
+            r_own *= of_own[:, None]
+            g_q += r_own
             move((2, 3), np.concatenate([own, noise]), np.concatenate([of_own[:, None] * q, of_noise.T @ q]), np.concatenate([of_own, of_noise.sum(axis=0)]))
-            g_place = np.stack([c_two.T @ g_q, c_one.T @ g_q])
-            move((0,), np.concatenate([two, one]), np.concatenate([g_q @ place[0].T, g_q @ place[1].T]))
+            g_place = (c.T @ g_q).reshape(place.shape)
+            move((0,), before, (g_q @ both.T).reshape(-1, width))
             self.squares[1] += g_place * g_place
             place -= 0.1 * rate * g_place / np.sqrt(self.squares[1])
 
@@ -334,7 +366,7 @@ class Normaliser:
         new = np.unique(two[self.row[two] < 0])
         if len(new):
             self._learn(new)
-        s = np.einsum("ij,ij->i", self.two[two] + self.one[one], output[own]) + bias[own]
+        s = np.einsum("ij,ij->i", self.two.take(two, axis=0) + self.one.take(one, axis=0), output.take(own, axis=0)) + bias[own]
         return (s - self.known[self.row[two], one]).astype(np.float64) / np.log(10)
 
 
@@ -360,32 +392,40 @@ def score(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: s
         named = np.arange(CLASSES) < WORD_CLASSES
         share = np.where(named, 0.0, np.log10(words.class_total + 0.1 * (words.class_distinct + 1)))
         for batch in slices(batches):
-            ids, sums, tails, chains = [], [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                tokens = text.lower().split()
-                at, klass = words.classes(tokens)
-                head_at = at[at >= 0]
-                lexical = log_count[at[(at >= 0) & ~named[klass]]].sum() - share[klass].sum()
-                lone = int(at[-1] < 0)  # the end token was never seen
-                ids.append((doc, xxhash.xxh64_intdigest(text) - (1 << 63)))
-                sums.append((len(at), len(head_at), log_count[head_at].sum() - lone, lexical))
-                chains.append(contexts(klass))
-                tails.append(Counter(tokens[k] for k in np.flatnonzero(at[:-1] < 0).tolist()))
-            n = len(ids)
-            sizes = np.array([c.shape[1] for c in chains])
-            chain = np.bincount(np.repeat(np.arange(n), sizes), normaliser.log10(*np.concatenate(chains, axis=1)), minlength=n)
-            owner = [k for k, tail in enumerate(tails) for _ in tail]
-            pad = [None] * len(owner)
+            found = batch.column(1).to_pylist()
+            n = len(found)
+            tokens, klass, ends = words.tokens(found)
+            at = words.heads(tokens, klass)
+            sizes = np.diff(ends, prepend=-1)
+            owner = np.repeat(np.arange(n), sizes)
+            total = lambda values, of=owner: np.bincount(of, values, minlength=n)  # noqa: B023, E731
+            inside = at >= 0
+            bare = np.where(inside, log_count[at], 0.0)
+            known = total(inside).astype(np.int64)
+            base = total(bare) - ~inside[ends]  # the end token was never seen
+            lexical = total(np.where(named[klass], 0.0, bare)) - total(share[klass])
+            sums = lexical + total(normaliser.log10(*contexts(klass, ends)))
+            inside[ends] = True
+            out = np.flatnonzero(~inside)
+            cuts = np.searchsorted(out, ends).tolist()
+            rare = [tokens[k] for k in out.tolist()]
+            tails = [Counter(rare[a:b]) for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
+            rows = np.append(np.arange(n), np.repeat(np.arange(n), [len(tail) for tail in tails]))
+            first = np.arange(len(rows)) < n
+            sigs = np.array([xxhash.xxh64_intdigest(text) - (1 << 63) for text in found], dtype=np.int64)
+            only = lambda values: pa.array(values[rows], mask=~first)  # noqa: B023, E731
+            ids = batch.column(0)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([d for d, _ in ids] + [ids[k][0] for k in owner], pa.int64()),
-                    pa.array([s for _, s in ids] + [ids[k][1] for k in owner], pa.int64()),
-                    pa.array([f" {doc}".encode() for doc, _ in ids] + [t for tail in tails for t in tail], pa.binary()),
-                    pa.array([0] * n + [c for tail in tails for c in tail.values()], pa.int64()),
-                    pa.array([1] * n + [0] * len(owner), pa.int64()),
-                    *(pa.array([x[k] for x in sums] + pad, pa.int64()) for k in (0, 1)),
-                    pa.array([float(x[2]) for x in sums] + pad, pa.float64()),
-                    pa.array([x[3] + c for x, c in zip(sums, chain.tolist(), strict=True)] + pad, pa.float64()),
+                    ids.take(pa.array(rows)),
+                    pa.array(sigs[rows]),
+                    pa.array([f" {doc}".encode() for doc in ids.to_pylist()] + list(chain.from_iterable(tails)), pa.binary()),
+                    pa.array([0] * n + list(chain.from_iterable(tail.values() for tail in tails)), pa.int64()),
+                    pa.array(first.astype(np.int64)),
+                    only(sizes),
+                    only(known),
+                    only(base),
+                    only(sums),
                 ],
                 names=["doc_id", "sig", "token", "tf", "rows", "n_tokens", "n_known", "base", "chain"],
             )

@@ -146,3 +146,21 @@ def test_models_are_averaged_in_a_tree(spark, monkeypatch):
     monkeypatch.setattr(bilinear, "FAN_IN", 1000)
     flat = bilinear.train_share(docs, spark.sparkContext.broadcast(words), first, 10**9)
     assert all(np.allclose(a, b, atol=1e-5) for a, b in zip(tree.params, flat.params, strict=True))
+
+
+def test_training_looks_up_words_that_are_classes_alone(spark):
+    """All texts of a slice at once, against classes and contexts token by token; the head's many words are not asked for."""
+    docs = table(spark, "/root/testdata/sf0.001", "documents").select(text_bytes().alias("text"))
+    words = bilinear.vocabulary(bilinear.token_counts(docs))
+    own = {t: int(words.klass[k]) for t, k in words.index.items() if 0 < words.klass[k] < bilinear.WORD_CLASSES}
+    texts = [b"", b"a \x00 \xff\x0bzq", b"", b"Aa b the\x00 \x00\x00 \xc3\xa9", *(bytes(r["text"]) for r in docs.limit(40).collect()), b"x"]
+    right, heads = [], []
+    for text in texts:
+        two = one = 0
+        for t in text.lower().split() + [b"\n"]:
+            right.append((two, one, plain_class(t, own)))
+            heads.append(words.index.get(t, -1))
+            two, one = one, right[-1][2]
+    assert words.heads(*words.tokens(texts)[:2]).tolist() == heads
+    words.index = None
+    assert list(map(tuple, words.triples(texts).T.tolist())) == right
